@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, rules, secretscan, toxicity
+from . import bpe, chat, quality, rules, secretscan, toxicity
 from .common import cut, table
 
 
@@ -24,6 +25,23 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
+    """The vocabulary file and the pattern of a byte-level tokenizer."""
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read(), public_tokenizers.PATTERN
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = bpe.round_trip(docs, *tokenizer())
+    return made.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "\\### Assistant: </turn> ok"
@@ -103,6 +121,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_byte_bpe": op2_byte_bpe,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_toxicity": op6_toxicity,
     "op8_secret_scans": op8_secret_scans,
