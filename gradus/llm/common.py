@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Repository root, so that Python workers find the package wherever they start.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-#: Rows of an Arrow batch: documents can be long, so batches stay small.
-BATCH_ROWS = 512
+#: Bytes of an Arrow batch: documents can be long, so batches are bounded by size.
+BATCH_BYTES = 4_000_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -20,7 +20,7 @@ def ready(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

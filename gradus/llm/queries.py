@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, rules, secretscan, toxicity
+from . import bpe, chat, jaccard, quality, rules, secretscan, toxicity
 from .common import cut, table
 
 
@@ -92,6 +92,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secretscan.scan(docs, secretscan.fit(docs)).drop("text")
@@ -124,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_toxicity": op6_toxicity,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_secret_scans": op8_secret_scans,
     "op10_quality_rules": op10_quality_rules,
 }
