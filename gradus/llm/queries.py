@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, quality, rules, secretscan, tokens, toxicity
+from . import bpe, chat, decontaminate, jaccard, licences, quality, rules, secretscan, tokens, toxicity
 from .common import cut, table
 
 
@@ -42,6 +42,45 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return found.select(
+        "doc_id",
+        F.size("licences").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["licence"]))), ",").alias("licences"),
+        F.coalesce(F.array_max(F.transform("licences", lambda x: x["dice"])), F.lit(0.0)).alias("best_dice"),
+    )
+
+
+OP3_SQL = (
+    "WITH templates(licence, said) AS (VALUES "
+    + ", ".join(f"('{n}', '{t}')" for n, t in licences.TEMPLATES)
+    + r"""), normal AS (
+  SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\n0-9a-z\x{80}-\x{10FFFF}]+', ' ', 'g') AS t FROM documents
+), units AS (
+  SELECT doc_id, trim(unnest(string_split(t, chr(10)))) AS said FROM normal
+  UNION ALL
+  SELECT doc_id, trim(regexp_replace(said, ' ?\n ?', ' ', 'g'))
+  FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\n ?(?:\n ?)+')) AS said FROM normal) WHERE contains(said, chr(10))
+), grams AS (
+  SELECT *, row_number() OVER () AS unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM (SELECT doc_id, string_split(said, ' ') AS w FROM units) WHERE len(w) > 1
+), marks AS (
+  SELECT licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM (SELECT licence, string_split(trim(regexp_replace(lower(said), '[^0-9a-z\x{80}-\x{10FFFF}]+', ' ', 'g')), ' ') AS w FROM templates)
+), scored AS (
+  SELECT doc_id, unit, licence, 2.0::DOUBLE * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) AS dice
+  FROM grams a JOIN marks b ON len(a.g) <= 1.5 * len(b.g) AND len(b.g) <= 1.5 * len(a.g)
+), best AS (
+  SELECT * FROM scored WHERE dice >= 0.8 - 1e-12 QUALIFY row_number() OVER (PARTITION BY unit ORDER BY dice DESC, licence) = 1
+)
+SELECT d.doc_id, count(b.unit) AS n_matches, coalesce(string_agg(DISTINCT licence, ',' ORDER BY licence), '') AS licences,
+  coalesce(max(round(dice, 6)), 0)::DOUBLE AS best_dice
+FROM documents d LEFT JOIN best b USING (doc_id) GROUP BY d.doc_id
+"""
+)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "\\### Assistant: </turn> ok"
@@ -173,6 +212,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_licence_scans": op3_licence_scans,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
@@ -181,4 +221,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_ids": op9_token_ids,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op5_decontamination": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_licence_scans": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op5_decontamination": OP5_SQL}
