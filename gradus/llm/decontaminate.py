@@ -66,8 +66,8 @@ def _small(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, n_words, spans, items) of every row: spans are [first word, end word), items the ids with occurring windows."""
+def _judge(source: DataFrame, benchmark: DataFrame, item: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """Of ``source`` (id, text, mark): (id, mark, n_words) of its distinct rows, and (id, mark, spans, items) of those with hits."""
     given = cut(
         benchmark.select(F.col(item).alias("item"), _exact(F.col(item_text)).alias("words"), words(F.lower(item_text)).alias("loose"))
         .where(F.size("words") > 0)
@@ -83,9 +83,6 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
         prints = prints.unionByName(loose.where(F.size("words") == n).select(F.explode(_grams("words", n)).alias("print")))
     prints = _small(cut(prints.distinct().withColumn("met", F.lit(True))), BROADCAST_ROWS)
 
-    # rows of one id and text are one key with a count, so that repeated rows stay rows
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    source = source.withColumn("mark", F.xxhash64("text"))
     split = source.select("id", "mark", words(F.lower(F.coalesce("text", F.lit("")))).alias("words"))
     printed = _fingerprints(split, short).select("id", "mark", F.size("words").cast("long").alias("n_words"), F.explode_outer("prints").alias("print"))
     met = printed.join(prints, "print", "left")
@@ -116,28 +113,37 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
         ).otherwise(F.concat(made, F.array(x))),
     )
     hit = spotted.groupBy("id", "mark").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    copies = source.groupBy("id", "mark").agg(F.count("*").alias("copies")).where("copies > 1") if not _keyed(judged, source) else None
-    result = judged.alias("j").join(hit.alias("h"), F.col("j.id").eqNullSafe(F.col("h.id")) & F.col("j.mark").eqNullSafe(F.col("h.mark")), "left")
-    columns = ["j.id", "j.n_words", "h.spans", "h.items"]
-    if copies is not None:
-        result = result.join(copies.alias("c"), F.col("j.id").eqNullSafe(F.col("c.id")) & F.col("j.mark").eqNullSafe(F.col("c.mark")), "left")
-        result = result.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.coalesce("c.copies", F.lit(1)))))
-    return result.select(*columns).select(
+    return judged.select("id", "mark", "n_words"), hit
+
+
+def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows are known by id and text hash, so that rows which repeat an id are judged each by its text."""
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, n_words, spans, items) of every row: spans are [first word, end word), items the ids with occurring windows."""
+    source = _marked(docs, key, text)
+    judged, hit = _judge(source, benchmark, item, item_text)
+    if judged.count() < source.select("id").count():  # repeated rows stay rows
+        copies = source.groupBy("id", "mark").agg(F.count("*").alias("copies"))
+        one = (F.col("j.id").eqNullSafe(F.col("c.id"))) & (F.col("j.mark") == F.col("c.mark"))
+        judged = judged.alias("j").join(copies.alias("c"), one).select("j.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    same = F.col("j.id").eqNullSafe(F.col("h.id")) & (F.col("j.mark") == F.col("h.mark"))
+    result = judged.alias("j").join(hit.alias("h"), same, "left").select("j.id", "j.n_words", "h.spans", "h.items")
+    return result.select(
         F.col("id").alias(key), "n_words",
         F.coalesce("spans", F.array().cast("array<struct<at:int,end:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
 
 
-def _keyed(judged: DataFrame, source: DataFrame) -> bool:
-    """No two rows share id and text (two cheap counts)."""
-    return judged.count() == source.select("id").count()
-
-
 def hit_words(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["at"]))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit word, columns unchanged; rows of null id stay unless all rows of null id are hit."""
-    dirty = cut(hits(docs, benchmark, key=key, text=text).where(F.size("spans") > 0).select(key).distinct())
-    return docs.join(_small(dirty, CANDIDATE_ROWS), key, "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a hit word, columns unchanged."""
+    _, hit = _judge(_marked(docs, key, text), benchmark, item, item_text)
+    dirty = _small(cut(hit.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))), CANDIDATE_ROWS)
+    same = docs[key].eqNullSafe(dirty["__id"]) & (F.xxhash64(docs[text]) == dirty["__mark"])
+    return docs.join(dirty, same, "left_anti")
