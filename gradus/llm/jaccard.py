@@ -13,8 +13,12 @@ similar set wherever a relation between sets allows it:
    frequent shingles (by a fixed-size count sketch over all texts) come last. A shingle's list is
    sorted by set size and cut into blocks. Blocks whose members all lie in the probing set's component
    are skipped, their answer being known; so are blocks that no position lets reach the needed
-   overlap, and sizes outside ``[t n, n / t]``. Remaining pairs are verified exactly. Two linked sets
-   share their first common prefix shingle, and at that place both bounds hold, so the join is exact.
+   overlap, and sizes outside ``[t n, n / t]``. Two linked sets share their first common prefix
+   shingle, and at that place both bounds hold, so the join is exact.
+4. *Parities.* A set's parity vector holds the parity of its shingles in each of at least twice as many
+   buckets as it has shingles. Two vectors differ in no more bits than the sets differ in shingles, so
+   pairs whose vectors differ too much are ruled out before their texts are shipped; the rest are
+   verified exactly.
 
 The sketch only orders shingles and the bands only propose; neither affects results. Shingles are
 compared as 64-bit hashes.
@@ -65,6 +69,43 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, dtype=np.uint64).view(np.int64)
 
 
+def _parity(own: np.ndarray) -> bytes:
+    """Parity of the set's size in each bucket of its low hash bits, packed; folding halves gives the parity in half as many."""
+    buckets = max(64, 1 << int(2 * len(own) - 1).bit_length()) if len(own) else 64
+    odd = np.bincount((own & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _fold(parity: bytes, size: int) -> int:
+    """The vector as a number, folded to ``size`` bytes."""
+    value, n = int.from_bytes(parity, "little"), len(parity)
+    while n > size:
+        n //= 2
+        value = (value >> (8 * n)) ^ (value & ((1 << (8 * n)) - 1))
+    return value
+
+
+def _plausible(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose parity vectors do not rule a link out; ``rows`` has (id, size, parity)."""
+    needed = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    held = rows.select("id", "size", "parity").join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "id")
+    sides = pairs
+    for x in ("a", "b"):
+        sides = sides.join(held.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("parity").alias(f"p{x}")), x)
+
+    def over(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            keep = []
+            for na, pa_, nb, pb in zip(*columns[2:], strict=True):
+                width = min(len(pa_), len(pb))
+                apart = (_fold(pa_, width) ^ _fold(pb, width)).bit_count()  # at most the size of the difference
+                keep.append(apart <= na + nb - 2 * least_overlap(na + nb, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return sides.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(over, "a long, b long").distinct()
+
+
 def _profile(docs: DataFrame) -> DataFrame:
     """Of each row (id, text): set size, signature and band keys; and of each task, its blocks of the count sketch."""
     step = (1 << SKETCH_BITS) // SKETCH_BLOCKS
@@ -73,12 +114,13 @@ def _profile(docs: DataFrame) -> DataFrame:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         known: set[int] = set()
         for batch in source:
-            size, one, two, bands = [], [], [], []
+            size, one, two, bands, parity = [], [], [], [], []
             for own in sets(batch.column(1).to_pylist()):
                 size.append(len(own))
                 spread = mix(own)
                 one.append(own.sum(dtype=np.uint64))
                 two.append(spread.sum(dtype=np.uint64))
+                parity.append(_parity(own))
                 if not len(own):
                     bands.append(None)
                     continue
@@ -88,16 +130,16 @@ def _profile(docs: DataFrame) -> DataFrame:
                     known.add(one[-1])
                     np.add.at(counts, (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             n = batch.num_rows
-            yield _rows(batch.column(0), pa.array(size, pa.int32()), pa.array(_signed(one)), pa.array(_signed(two)), pa.array(bands, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()))
+            yield _rows(batch.column(0), pa.array(size, pa.int32()), pa.array(_signed(one)), pa.array(_signed(two)), pa.array(bands, pa.list_(pa.int64())), pa.array(parity, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()))
         pack = zstandard.ZstdCompressor(level=1).compress
         blocks = [pack(counts[i * step : (i + 1) * step].tobytes()) for i in range(SKETCH_BLOCKS)]
-        none = [pa.nulls(SKETCH_BLOCKS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+        none = [pa.nulls(SKETCH_BLOCKS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())]
         yield _rows(*none, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(blocks, pa.binary()))
 
     def _rows(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(list(columns), names=["id", "size", "one", "two", "bands", "block", "counts"])
+        return pa.RecordBatch.from_arrays(list(columns), names=["id", "size", "one", "two", "bands", "parity", "block", "counts"])
 
-    return docs.mapInArrow(over, "id long, size int, one long, two long, bands array<long>, block int, counts binary")
+    return docs.mapInArrow(over, "id long, size int, one long, two long, bands array<long>, parity binary, block int, counts binary")
 
 
 def _levels(profile: DataFrame) -> np.ndarray:
@@ -281,7 +323,7 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     spark = ready(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     profile = cut(_profile(source))
-    rows = profile.where("block IS NULL").select("id", "size", "one", "two", "bands")
+    rows = profile.where("block IS NULL").select("id", "size", "one", "two", "bands", "parity")
     levels = spark.sparkContext.broadcast(_levels(profile))  # 4 MB, whatever the input
 
     # equal sets
@@ -297,7 +339,7 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
         .groupBy(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("votes"))
         .groupBy("b").agg(F.max_by("a", F.struct(F.col("votes"), -F.col("a"))).alias("a"))
     )
-    near = components(verified(source, cut(votes.select("a", "b")), percent))
+    near = components(verified(source, cut(_plausible(rows, cut(votes.select("a", "b")), percent)), percent))
 
     # index lists: only pairs of different labels are left to decide
     labels = classes.select("size", "one", "two", "rep").join(near, F.col("rep") == F.col("node"), "left")
@@ -308,7 +350,7 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
         moved = F.broadcast(moved)
     labelled = source.where("id IS NOT NULL").join(moved, "id", "left").select("id", "text", F.coalesce("label", "id").alias("label"))
     pairs = cut(_candidates(_entries(labelled, levels, percent), percent))
-    late = cut(verified(source, pairs, percent))
+    late = cut(verified(source, cut(_plausible(rows, pairs, percent)), percent))
     by_id = of_rows.groupBy("id").agg(F.min("label").alias("label"))
     crossing = (
         late.join(by_id.select(F.col("id").alias("a"), F.col("label").alias("x")), "a")
