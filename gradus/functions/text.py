@@ -53,9 +53,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def clean_heading(text: Column) -> Column:
     """A heading without emphasis marks and stray hashes; underscores stay."""
-    return strip(F.regexp_replace(F.regexp_replace(text, r"\*+|`+|~~", ""), r"^[#\s]+|[#\s]+$", ""))
+    return strip(F.regexp_replace(strip(F.regexp_replace(text, r"\*+|`+|~~", "")), r"^#+|#+$", ""))
 
 
+UNDERLINE = r"^[=-]{3,}\s*$"
 ATX = r"^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$"
 
 
@@ -67,15 +68,18 @@ def headings(text: Column) -> Column:
     def heading(i: Column) -> Column:
         line, following = F.get(lines, i), F.get(lines, i + 1)
         atx = F.regexp_extract(line, ATX, 1)
-        under = F.coalesce(following.rlike(r"^\s{0,3}(=+|-{2,})\s*$"), F.lit(False)) & line.rlike(r"\S")
-        return clean_heading(F.when(atx != "", atx).when(under & ~line.rlike(r"^\s{0,3}#"), line).otherwise(""))
+        under = F.coalesce(following.rlike(UNDERLINE), F.lit(False)) & line.rlike(r"\S")
+        return clean_heading(F.when(atx != "", atx).when(under, line).otherwise(""))
 
     return F.filter(F.transform(at, heading), lambda x: x != "")
 
 
 def leading_heading(text: Column) -> Column:
-    """The cleaned heading with which a text opens; null without."""
-    found = clean_heading(F.regexp_extract(F.regexp_replace(text, r"^\s+", ""), r"^#{1,6}[ \t]+([^\n]+)", 1))
+    """The heading with which a text opens, front matter aside; null without."""
+    body = F.regexp_replace(F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n", ""), r"^\s+", "")
+    line, following = F.substring_index(body, "\n", 1), F.get(F.split(body, "\n"), F.lit(1))
+    atx = F.regexp_extract(line, ATX, 1)
+    found = clean_heading(F.when(atx != "", atx).when(F.coalesce(following.rlike(UNDERLINE), F.lit(False)), line).otherwise(""))
     return F.when(found != "", found)
 
 
@@ -112,23 +116,29 @@ def word_characters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^0-9A-Za-z_]+", ""))
 
 
-def locator(page: Column, estimated: Column, section: Column) -> Column:
-    """``p. 3 (est.) § Title``; parts that are missing are left out."""
-    return F.concat_ws(
+def locator(page: Column, estimated: Column, section: Column, index: Column) -> Column:
+    """``p. 3 (est.) § Title``; the chunk where neither is known."""
+    known = F.concat_ws(
         " ",
         F.when(page.isNotNull(), F.concat(F.lit("p. "), page.cast("string"), F.when(estimated, F.lit(" (est.)")).otherwise(F.lit("")))),
-        F.when(F.trim(section) != "", F.concat(F.lit("§ "), F.trim(section))),
+        F.when(F.trim(section) != "", F.concat(F.lit("§ "), section)),
     )
+    return F.when(known != "", known).when(index.isNotNull(), F.concat(F.lit("chunk "), index.cast("string"))).otherwise("location unknown")
+
+
+def label(title: Column, place: Column) -> Column:
+    return F.concat(title, F.lit(" — "), place)
 
 
 def citation_line(rank: Column, title: Column, page: Column, section: Column, index: Column, total: Column, score: Column) -> Column:
-    """One citation with the fields that are known, parted by bars."""
+    """``[1] Source: Title | Page: 3 | Section: Sorting | Chunk: 0/9 | Score: 0.5000``; page and section where known."""
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     return F.concat_ws(
         " | ",
-        F.concat(F.lit("["), rank.cast("string"), F.lit("] Source: "), F.coalesce(F.nullif(title, F.lit("")), F.lit("unknown"))),
+        F.concat(F.lit("["), rank.cast("string"), F.lit("] Source: "), F.coalesce(F.nullif(title, F.lit("")), F.lit("Unknown source"))),
         F.when(page.isNotNull(), F.concat(F.lit("Page: "), page.cast("string"))),
-        F.when(F.trim(section) != "", F.concat(F.lit("Section: "), section)),
-        F.when(index.isNotNull() & total.isNotNull(), F.concat(F.lit("Chunk: "), (index + 1).cast("string"), F.lit("/"), total.cast("string"))),
+        F.when(section != "", F.concat(F.lit("Section: "), section)),
+        F.concat(F.lit("Chunk: "), shown(index), F.lit("/"), shown(total)),
         F.concat(F.lit("Score: "), F.format_string("%.4f", score)),
     )
 
@@ -166,3 +176,14 @@ def fenced_json(text: Column) -> Column:
     """The one JSON document of a reply, out of one optional code fence."""
     fenced = F.regexp_extract(strip(text), r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)
     return F.when(fenced != "", fenced).otherwise(strip(text))
+
+
+def even_seeds(headings: Column, title: Column, most: int = 10) -> Column:
+    """Distinct headings (case aside), evenly thinned to ``most``, and the title if none of them is it."""
+    clean = F.filter(F.transform(headings, lambda h: F.regexp_replace(strip(h), r"\s+", " ")), lambda h: h != "")
+    lows = F.transform(clean, lambda h: F.lower(h))
+    distinct = F.filter(clean, lambda h, i: F.array_position(lows, F.lower(h)) == i + 1)
+    stride = F.size(distinct) / F.lit(float(most))
+    thin = F.when(F.size(distinct) > most, F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(distinct, F.floor(i * stride).cast("int")))).otherwise(distinct)
+    name = F.regexp_replace(strip(title), r"\s+", " ")
+    return F.when((name != "") & ~F.exists(thin, lambda h: F.lower(h) == F.lower(name)), F.concat(thin, F.array(name))).otherwise(thin)

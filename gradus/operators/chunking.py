@@ -142,10 +142,10 @@ def citation(fields: dict[str, Column]) -> Column:
 
 
 def sampled_pages(pages: DataFrame, *, key: str = "doc_id", number: str = "page_no", body: str = "text", total: int = 12_000, each: int = 1_500, least: int = 3) -> DataFrame:
-    """Evenly spread pages of each document, cut to ``each`` characters, as many as ``total`` holds and ``least`` at least."""
-    order = Window.partitionBy(key).orderBy(number)
-    counted = pages.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy(key))})
-    wanted = F.least(F.col("n"), F.greatest(F.lit(least), F.lit(total // each)))
-    # page i is taken where the running quotient of even strides moves on
-    taken = F.floor((F.col("i") + 1) * wanted / F.col("n")) > F.floor(F.col("i") * wanted / F.col("n"))
-    return counted.where(taken).select(key, number, F.left(body, F.lit(each)).alias("text"))
+    """Pages of each document, cut to ``each`` characters: all, or as many evenly spread ones as ``total`` holds, ``least`` at least."""
+    most = max(least, total // each)
+    own = Window.partitionBy(key)
+    counted = pages.withColumns({"__i": F.row_number().over(own.orderBy(number)) - 1, "__n": F.count("*").over(own)})
+    spread = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: F.bround(j * ((F.col("__n") - 1) / F.lit(float(most - 1)))).cast("int"))
+    taken = counted.where((F.col("__n") <= most) | F.array_contains(spread, F.col("__i")))
+    return taken.select(key, number, F.left(body, F.lit(each)).alias("text"))

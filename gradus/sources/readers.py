@@ -24,7 +24,7 @@ EVAL_CASE = T.StructType([
 ])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _docx_text(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
