@@ -205,9 +205,9 @@ def located(requests: DataFrame, chunks: DataFrame, grants: DataFrame, *, excerp
     """The source of a document (and chunk): its first chunk by index, or a reason; only for documents that the user is granted."""
     allowed = requests.join(grants.where("state = 'active'").select("user_id", "document_id").distinct().withColumn("granted", F.lit(True)), ["user_id", "document_id"], "left")
     wanted = F.col("want").isNull() | (F.col("want") == F.col("chunk_index"))
-    met = allowed.join(chunks, ["user_id", "document_id"], "left").where(F.col("chunk_index").isNull() | wanted | F.col("granted").isNull())
+    met = allowed.join(chunks.select("user_id", "document_id", "chunk_index", "content"), ["user_id", "document_id"], "left")
     first = met.groupBy("user_id", "document_id", "want").agg(
-        F.max("granted").alias("granted"), F.min(F.when(wanted, F.struct("chunk_index", "content"))).alias("hit")
+        F.max("granted").alias("granted"), F.min(F.when(wanted & F.col("chunk_index").isNotNull(), F.struct("chunk_index", "content"))).alias("hit")
     )
     reason = F.when(F.col("granted").isNull(), NO_GRANT).when(F.col("hit").isNull(), NO_HITS)
     return first.select("user_id", "document_id", "want", reason.alias("refusal"), F.when(reason.isNull(), F.left("hit.content", F.lit(excerpt))).alias("excerpt"))

@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Repository root, so that Python workers find the package wherever they start.
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let the Python workers of this session import the package."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    return spark
+
 
 def session(name: str = "gradus", **settings: str) -> SparkSession:
     """A session in UTC with adaptive execution; further settings override."""
@@ -15,8 +28,8 @@ def session(name: str = "gradus", **settings: str) -> SparkSession:
     } | settings
     for key, value in chosen.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return importable(builder.getOrCreate())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")

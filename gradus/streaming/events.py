@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
-def read(spark: SparkSession, folder: str, schema: str, *, files: int | None = None, glob: str | None = None) -> DataFrame:
+def read(spark: SparkSession, folder: str, schema: StructType | str, *, files: int | None = None, glob: str | None = None) -> DataFrame:
     """A stream of the Parquet files of a folder; timestamps without zone are taken as UTC."""
     reader = spark.readStream.schema(schema)
     if files:
@@ -43,8 +44,11 @@ def first_only(events: DataFrame, keys: list[str], late: str = "1 day") -> DataF
     return timed.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if timed.isStreaming else timed.dropDuplicates(keys)
 
 
-def artifact_states(events: DataFrame, *, key: str = "artifact_key", timeout_ms: int = 60_000) -> DataFrame:
-    """(key, state, n_events) after each batch of a stream of events; a build without news for ``timeout_ms`` turns stale."""
+def artifact_states(events: DataFrame, *, key: str = "artifact_key", timeout_ms: int | None = 60_000) -> DataFrame:
+    """(key, state, n_events) after each batch of a stream of events; a build without news for ``timeout_ms`` turns stale.
+
+    A query with timeouts never runs out of batches; give None where it is to end with its input.
+    """
     from ..operators.grants import STATES
 
     def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -59,13 +63,13 @@ def artifact_states(events: DataFrame, *, key: str = "artifact_key", timeout_ms:
             now = STATES.get(event, now)
         n += len(rows)
         state.update((now, n))
-        if now == "building":
+        if now == "building" and timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({key: [keys[0]], "state": [now], "n_events": [n]})
 
     kind = dict(events.dtypes)[key]
     return events.groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {kind}, state string, n_events long", "state string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"`{key}` {kind}, state string, n_events long", "state string, n long", "update", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
