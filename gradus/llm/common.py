@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Repository root, so that Python workers find the package wherever they start.
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..session import importable
+
 #: Bytes of an Arrow batch: documents can be long, so batches are bounded by size.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and keep Arrow batches of texts small."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
@@ -42,10 +40,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """The one large object that a Python worker keeps from task to task; another key drops the one before."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        if make is not None:
+            _KEPT[key] = make()
+    return _KEPT.get(key)
+
+
+def alone() -> None:
+    """Drop what earlier operators kept in this worker: workers outlive stages."""
+    kept("", None)
+
+
 def batches(function: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table]) -> Callable:
     """A function for mapInArrow that applies ``function`` to each batch."""
 
     def over(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in source:
             if batch.num_rows:
                 made = function(batch)

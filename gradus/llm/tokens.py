@@ -22,11 +22,14 @@ rows are stored repeatedly; an empty table gives no block and no row; further co
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,151 +39,176 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import checkpoint_folder, ready
+from .common import checkpoint_folder, kept, ready
 
-MEMO = 300_000
+MEMO = 400_000
 BLOCK_IDS = 1_000_000
 #: Lengths of the four ids of each control byte.
 _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
-_MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit values."""
     ranks = ranks.astype(np.uint32)
-    lengths = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF).astype(np.int64)
+    lengths = np.ones(len(ranks), dtype=np.uint8)
+    for most in (0xFF, 0xFFFF, 0xFFFFFF):
+        lengths += ranks > most
     codes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
     codes[: len(ranks)] = lengths - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | (codes[:, 1] << 2) | (codes[:, 2] << 4) | (codes[:, 3] << 6)
-    starts = np.cumsum(lengths) - lengths
-    data = np.empty(int(lengths.sum()), dtype=np.uint8)
-    data[starts] = ranks & 0xFF
+    ends = np.cumsum(lengths, dtype=np.int64)
+    data = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    starts = ends - lengths
+    data[starts] = ranks.astype(np.uint8)
     for k in (1, 2, 3):
-        more = lengths > k
-        if more.any():
-            data[starts[more] + k] = (ranks[more] >> np.uint32(8 * k)) & np.uint32(0xFF)
+        more = np.flatnonzero(lengths > k)
+        if len(more):
+            data[starts[more] + k] = (ranks[more] >> np.uint32(8 * k)).astype(np.uint8)
     return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
-    lengths = _LENGTHS[np.frombuffer(control, dtype=np.uint8)].ravel()[:count].astype(np.int64)
-    starts = np.cumsum(lengths) - lengths
-    raw = np.concatenate([np.frombuffer(data, dtype=np.uint8), np.zeros(3, dtype=np.uint8)]).astype(np.uint32)
-    width = int(lengths.max(initial=1))
-    values = raw[starts]
-    for k in range(1, width):
-        values |= raw[starts + k] << np.uint32(8 * k)
-    return values & _MASKS[lengths]
+    lengths = _LENGTHS[np.frombuffer(control, dtype=np.uint8)].ravel()[:count]
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    raw = np.frombuffer(data, dtype=np.uint8)
+    values = raw[starts].astype(np.uint32)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(lengths > k)
+        if len(more):
+            values[more] |= raw[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return values
 
 
-def _bordered(word: str) -> bool:
-    return any(word[:k] == word[-k:] for k in range(1, len(word)))
+#: A character that no other text of a batch has, so its token ends parts.
+MARK = "\x01"
 
 
 class Encoder:
-    """A tokenizer with a memo of the ids of parts between white space, as little-endian bytes."""
+    """A tokenizer with a memo of the ids of parts between white space, as little-endian bytes of ``width`` each.
+
+    Parts are tokenized many at a time. Parts of letters alone are joined by spaces and told apart by
+    the tokens that end words; others are held apart by a control character that none of them has.
+    Either way the count of parts must come out right, or the parts are tokenized one by one.
+    """
 
     def __init__(self, definition: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition.decode())
-        added = self.tokenizer.get_added_tokens_decoder()
-        # a special token without a border (no start of it is an end of it) cannot overlap its neighbours
-        self.mark = next(((x.content, i) for i, x in added.items() if x.special and not (x.lstrip or x.rstrip or x.single_word or _bordered(x.content))), None)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        words = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = max(words.values()) + 1
+        self.width = 2 if self.size <= 1 << 16 else 4
+        self.last = np.zeros(self.size, dtype=bool)
+        if suffix:
+            self.last[[i for w, i in words.items() if w.endswith(suffix)]] = True
+        letters = [chr(c) for c in range(97, 123)]
+        one = lambda x: self._ids([x])[0]
+        alone = one(MARK)
+        self.mark = alone[0] if len(alone) == 1 else None
+        #: Whether A-Z counts as a-z, and a stop or comma after a letter stands for itself; both make parts repeat more often.
+        self.folds = all(one(x.upper()) == one(x) for x in letters)
+        self.parts = self.folds and all(one(x + y) == one(x) + one(y) for x in (*letters, "\xe9") for y in ".,")
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # the memo stands before it
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _bytes(self, ids) -> bytes:
+        return np.asarray(ids, dtype=f"<u{self.width}").tobytes()
+
+    def _sliced(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        flat, w = self._bytes(ids), self.width
+        return [flat[w * s : w * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def _letters(self, texts: list[str]) -> list[bytes] | None:
+        ids = np.array(self._ids([" ".join(texts)])[0], dtype=np.int64)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        return self._sliced(ids, np.concatenate([[0], ends[:-1]]), ends) if len(ends) == len(texts) and ends[-1] == len(ids) else None
+
+    def _apart(self, texts: list[str]) -> list[bytes] | None:
+        if self.mark is None or any(MARK in x for x in texts):
+            return None
+        ids = np.array(self._ids([f" {MARK} ".join(texts)])[0], dtype=np.int64)
+        at = np.flatnonzero(ids == self.mark)
+        return self._sliced(ids, np.concatenate([[0], at + 1]), np.append(at, len(ids))) if len(at) == len(texts) - 1 else None
+
     def _learn(self, parts: list[bytes]) -> None:
-        """Parts are tokenized many at a time, held apart by a special token; among parts that hold it, each goes alone."""
-        texts = [x.decode() for x in parts]
-        step, i = 2000, 0
-        while i < len(texts):
-            some = texts[i : i + step]
-            found: list[bytes] | None = None
-            if self.mark and not any(self.mark[0] in x for x in some):
-                ids = np.array(self._ids([self.mark[0].join(some)])[0], dtype="<u4")
-                at = np.flatnonzero(ids == self.mark[1])
-                if len(at) == len(some) - 1:
-                    ends = np.append(at, len(ids))
-                    starts = np.concatenate([[0], at + 1])
-                    flat = ids.tobytes()
-                    found = [flat[4 * s : 4 * e] for s, e in zip(starts, ends, strict=True)]
-            if found is None:
-                found = [np.array(x, dtype="<u4").tobytes() for x in self._ids(some)]
-            self.new.update(zip(parts[i : i + step], found, strict=True))
-            i += step
+        texts = [(x, x.decode()) for x in parts]
+        letters = [x for x in texts if x[1].isalpha()]
+        for chosen, way in ((letters, self._letters), ([x for x in texts if not x[1].isalpha()], self._apart)):
+            for i in range(0, len(chosen), 2000):
+                some = [x for _, x in chosen[i : i + 2000]]
+                found = way(some) or [self._bytes(x) for x in self._ids(some)]
+                self.new.update(zip([x for x, _ in chosen[i : i + 2000]], found, strict=True))
+
+    def _cut(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        # special tokens keep their case, and combining marks may join letters of one case only
+        if self.folds and not any(x in raw for x in (b"<", b"\xcc", b"\xcd")):
+            raw = raw.lower()
+            if self.parts:
+                raw = _STOP.sub(rb" \g<0>", raw)
+        return raw.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """The ids of each text."""
         if len(self.new) > MEMO:
             self.old, self.new = self.new, {}
-        cut = [x.encode().split() for x in texts]
+        cut = [self._cut(x) for x in texts]
         new, old, missing = self.new, self.old, []
-        for x in set().union(*cut):
-            if x not in new:
-                if x in old:
-                    new[x] = old[x]
-                else:
-                    missing.append(x)
+        for x in set().union(*cut).difference(new):
+            if x in old:
+                new[x] = old[x]
+            else:
+                missing.append(x)
         if missing:
             self._learn(missing)
-        return [b"".join(map(new.__getitem__, x)) for x in cut]
+        return [b"".join(itemgetter(*x)(new)) if len(x) > 1 else b"".join(map(new.__getitem__, x)) for x in cut]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+#: A stop or comma between a Latin letter and white space: a word of its own where the tokenizer parts words at punctuation.
+_STOP = re.compile(rb"[.,](?:(?<=[a-z][.,])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,]))(?=[ \n]|\Z)")
 
 
 def encoder(definition: bytes) -> Encoder:
-    key = hashlib.sha256(definition).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(definition)
-    return _ENCODERS[key]
+    """The process's encoder of this tokenizer."""
+    return kept(hashlib.sha256(definition).hexdigest(), lambda: Encoder(definition))
 
 
 def _tokenized(docs: DataFrame, definition: bytes, end: int, key: str, text: str) -> DataFrame:
     """(id, tie, ids): the ids with the end id, compressed; tie a hash of them."""
     given = docs.sparkSession.sparkContext.broadcast(definition)  # a tokenizer's file: a few MB
-    close = np.array([end], dtype="<u4").tobytes()
-
     def over(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, squeeze = encoder(given.value), zstandard.ZstdCompressor(level=1).compress
+        close = np.array([end], dtype=f"<u{own.width}").tobytes()
+        gc.disable()  # a batch makes many objects and no cycles
         for batch in source:
             ids = [x + close for x in own.encode([x or "" for x in batch.column(1).to_pylist()])]
             ties = pa.array([zlib.crc32(x) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ties, pa.array(map(squeeze, map(_narrow, ids)), pa.binary())], names=["id", "tie", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ties, pa.array(map(squeeze, ids), pa.binary())], names=["id", "tie", "ids"])
+        gc.enable()
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(over, "id long, tie long, ids binary")
 
 
-def _narrow(ids: bytes) -> bytes:
-    """The low halves, then the high halves, of 32-bit ids: the latter compress to nothing."""
-    halves = np.frombuffer(ids, dtype="<u2").reshape(-1, 2)
-    return halves[:, 0].tobytes() + halves[:, 1].tobytes()
-
-
-def _wide(raw: bytes) -> np.ndarray:
-    halves = np.frombuffer(raw, dtype="<u2").reshape(2, -1)
-    return halves[0].astype(np.uint32) | (halves[1].astype(np.uint32) << np.uint32(16))
-
-
 def write(docs: DataFrame, definition: bytes, folder: str, *, end: int, key: str = "doc_id", text: str = "text") -> None:
     """Tokenize ``docs`` and write the files under ``folder`` (a path that all executors share)."""
     spark = ready(docs.sparkSession)
     held = f"{folder}/held"
     _tokenized(docs, definition, end, key, text).write.option("compression", "uncompressed").parquet(held)
     rows = spark.read.parquet(held)
+    kind = f"<u{encoder(definition).width}"
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand, total = zstandard.ZstdDecompressor().decompress, np.zeros(0, dtype=np.int64)
         for batch in source:
-            for raw in batch.column(0):
-                own = np.bincount(_wide(expand(raw.as_py())), minlength=len(total))
-                own[: len(total)] += total
-                total = own
+            own = np.bincount(np.frombuffer(b"".join(expand(x.as_py()) for x in batch.column(0)), dtype=kind), minlength=len(total))
+            own[: len(total)] += total
+            total = own
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "n"])
 
@@ -208,7 +236,7 @@ def write(docs: DataFrame, definition: bytes, folder: str, *, end: int, key: str
         size = 0
         for batch in source:
             for ident, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = ranks[_wide(expand(raw.as_py()))]
+                own = ranks[np.frombuffer(expand(raw.as_py()), dtype=kind)]
                 ids.append(ident)
                 held.append(own)
                 size += len(own)
