@@ -64,7 +64,7 @@ def anchors(grams: list[str], threshold: float) -> list[str]:
 def scan(docs: DataFrame, *, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, name: str = "licences") -> DataFrame:
     """``docs`` with an array column of (unit, licence, dice): units from 0 are lines, from -1 down are paragraphs."""
     known = [(n, g) for n, t in sorted(templates) if (g := bigrams(t))]
-    ratio = (2 - threshold) / threshold
+    ratio = (2 - threshold) / threshold + 1e-9  # bounds err on the side of keeping
     least = min((len(g) for _, g in known), default=0) / ratio
     most = max((len(g) for _, g in known), default=0) * ratio
     spots = sorted({a for _, g in known for a in anchors(g, threshold)})
