@@ -33,11 +33,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import ready
+from .common import kept, ready
 
 LONG = 96
 #: Bytes of text that are worked on at once, and pieces of one generation of the memo.
-CHUNK_BYTES, MEMO = 4_000_000, 300_000
+CHUNK_BYTES, MEMO = 2_000_000, 200_000
 
 #: Keys pack (rank, position, next position); the least key of a word is its leftmost pair of minimum rank.
 SHORT_SQL = """
@@ -175,16 +175,9 @@ class Codec:
         return found
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(vocabulary: bytes, pattern: str) -> Codec:
-    """The worker's codec of this vocabulary; a worker keeps one."""
-    key = hashlib.sha256(vocabulary + pattern.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(vocabulary, pattern)
-    return _CODECS[key]
+    """The process's codec of this vocabulary."""
+    return kept(hashlib.sha256(vocabulary + pattern.encode()).hexdigest(), lambda: Codec(vocabulary, pattern))
 
 
 def _chunks(sizes: list[int]) -> Iterator[slice]:

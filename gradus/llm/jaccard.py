@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready
+from .common import alone, cut, ready
 from .shingles import mix, sets, shared
 
 PERCENT = 80
@@ -111,6 +111,7 @@ def _profile(docs: DataFrame) -> DataFrame:
     step = (1 << SKETCH_BITS) // SKETCH_BLOCKS
 
     def over(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         known: set[int] = set()
         for batch in source:
@@ -208,6 +209,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
         texts = docs.join(needed, "id")
 
     def hold(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         at, leader = None, None
         for batch in source:
             left, right = [], []
@@ -232,6 +234,7 @@ def _entries(labelled: DataFrame, levels, percent: int) -> DataFrame:
     names = ["shingle", "size", "place", "id", "label"]
 
     def over(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         table, known = levels.value, set()
         for batch in source:
             parts, sizes, places, rows = [], [], [], []

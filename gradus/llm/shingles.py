@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WIDTH = 5
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 250_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2^64
