@@ -247,3 +247,17 @@ def test_seeds_and_nearest(spark):
     got = one(spark, text.even_seeds(words(*(f"h{i}" for i in range(25)), "H3"), F.lit("Title")))
     assert got == ["h0", "h2", "h5", "h7", "h10", "h12", "h15", "h17", "h20", "h22", "Title"]
     assert one(spark, retrieval.nearest(F.lit(5), F.array(F.lit(7), F.lit(3), F.lit(9)))) == 7
+
+
+def test_dense_blocks(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    one_block, many = retrieval.dense(asked, vectors), retrieval.dense(asked, vectors, block=2)
+    assert one_block.exceptAll(many).isEmpty() and one_block.count() == many.count() == 5 * asked.count()
+
+
+def test_partitioning_changes_nothing(spark, sf):
+    docs, asked = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    for ranked in (retrieval.token_overlap, retrieval.bm25):
+        few, many = ranked(asked, docs.coalesce(1)), ranked(asked, docs.repartition(7).orderBy(F.desc("doc_id")))
+        assert few.exceptAll(many).isEmpty() and few.count() == many.count()
