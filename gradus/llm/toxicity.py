@@ -1,11 +1,12 @@
 """Toxicity by multiple-instance learning: documents are bags of sentences, only bags have labels.
 
-A sentence's probability is the logistic of a bias and the weights of its distinct features: whole
-words and their prefixes of 4 to 8 bytes, which catch inflected forms. A document's probability is
+A sentence's probability is the logistic of a bias and the weights of the features of its distinct
+words: the whole word and its prefixes of 4 to 8 bytes, which catch inflected forms; words of one
+prefix add up. A document's probability is
 the noisy-or of its sentences, ``1 - prod(1 - p)``. The likelihood of the document labels under the
 noisy-or is maximised with a ridge penalty, and the fitted sentence probabilities then locate the
-offending sentences. Features enter by their document counts: those much more frequent in toxic
-documents (likelihood-ratio test).
+offending sentences. Features enter by their counts: those much more frequent in toxic documents
+(likelihood-ratio test), of each chain of prefixes the most telling.
 
 The fit takes at most ``sample`` labelled documents of each label, those of smallest key hash (the
 documented bound); scoring covers every row and every sentence of it.
@@ -32,7 +33,11 @@ from .common import batches, ready
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 PREFIXES = range(4, 9)
-SAMPLE, MAX_FEATURES, LEAST_DOCS, LEAST_GAIN = 2000, 4096, 5, 12.0
+SAMPLE, MAX_FEATURES, LEAST_HITS, LEAST_GAIN = 2000, 4096, 3, 20.0
+#: Share of toxic labels taken as errors: a document without evidence must not bend the weights.
+NOISE = 0.02
+#: Share of its log odds at which the weight of a feature starts.
+START, RIDGE = 0.5, 0.02
 #: Weights of words kept per worker at most; the memo is emptied beyond.
 MEMO = 300_000
 _TO_SPACE = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256))
@@ -70,7 +75,7 @@ class Model:
         for m in SENTENCE.finditer(text):
             if not m.group().isspace():
                 own = words(m.group())
-                z = self.bias + sum(self.weights[f] for f in {f for w in set(own) for f in self.active(w)})
+                z = self.bias + sum(self.weights[f] for w in set(own) for f in self.active(w))
                 found.append((m.start(), m.end(), 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))))
         return found
 
@@ -85,33 +90,46 @@ class Model:
         return -math.expm1(sum(math.log1p(-min(p, 1 - 1e-12)) for _, _, p in self.sentences(text)))
 
 
-def _select(texts: list[str], toxic: list[bool]) -> list[bytes]:
+def _select(texts: list[str], toxic: list[bool]) -> tuple[list[bytes], list[float]]:
+    """The features that tell documents apart, strongest first, and their log odds.
+
+    A feature counts once for each distinct word of a document that has it, so that a stem with many
+    forms in a document counts more than any one form; rates a document are compared.
+    """
     n = (toxic.count(False), toxic.count(True))
     hits: Counter = Counter()
     for text, bad in zip(texts, toxic, strict=True):
         if bad:
-            hits.update({f for w in set(words(text)) for f in features(w)})
-    hits = Counter({f: k for f, k in hits.items() if k >= LEAST_DOCS})
+            hits.update(f for w in set(words(text)) for f in features(w))
+    hits = Counter({f: k for f, k in hits.items() if k >= LEAST_HITS})
     misses: Counter = Counter()
     for text, bad in zip(texts, toxic, strict=True):
         if not bad:
-            misses.update({f for w in set(words(text)) for f in features(w) if f in hits})
+            misses.update(f for w in set(words(text)) for f in features(w) if f in hits)
 
     def gain(f: bytes) -> float:
         a, b = hits[f], misses[f]
         if a * n[0] <= 4 * b * n[1]:
             return 0.0
-        total, whole = a + b, n[0] + n[1]
-        parts = ((a, n[1] * total / whole), (b, n[0] * total / whole), (n[1] - a, n[1] - n[1] * total / whole), (n[0] - b, n[0] - n[0] * total / whole))
-        return 2 * sum(x * math.log(x / e) for x, e in parts if x > 0)
-
-    ranked = sorted(((-gain(f), f) for f in hits))
-    return [f for g, f in ranked[:MAX_FEATURES] if g <= -LEAST_GAIN]
-
-
-def train(texts: list[str], toxic: list[bool], *, ridge: float = 0.02, rounds: int = 1000) -> Model:
+        share = (a + b) / sum(n)
+        return 2 * sum(x * math.log(x / (m * share)) for x, m in ((a, n[1]), (b, n[0])) if x)
+
+    ranked = sorted((-g, f) for f in hits if (g := gain(f)) >= LEAST_GAIN)
+    # of a word's chain of prefixes only the most telling stays, so that rare forms share the weight of their stem
+    taken: dict[bytes, None] = {}
+    stems: set[bytes] = set()
+    for _, f in ranked:
+        prefixes = [f[:k] for k in range(min(PREFIXES), len(f))]
+        if f not in stems and not any(x in taken for x in prefixes) and len(taken) < MAX_FEATURES:
+            taken[f] = None
+            stems.update(prefixes)
+    chosen = list(taken)
+    return chosen, [math.log((hits[f] + 0.5) / (n[1] + 1)) - math.log((misses[f] + 0.5) / (n[0] + 1)) for f in chosen]
+
+
+def train(texts: list[str], toxic: list[bool], *, ridge: float = RIDGE, rounds: int = 1000) -> Model:
     """Maximise the penalised noisy-or likelihood by Adam over whole batches; deterministic."""
-    chosen = _select(texts, toxic) if any(toxic) else []
+    chosen, odds = _select(texts, toxic) if any(toxic) else ([], [])
     if not chosen:
         return Model({}, -20.0)
     index = {f: i for i, f in enumerate(chosen)}
@@ -122,7 +140,7 @@ def train(texts: list[str], toxic: list[bool], *, ridge: float = 0.02, rounds: i
             if m.group().isspace():
                 continue
             own = words(m.group())
-            found = {index[f] for w in set(own) for f in look.active(w)}
+            found = [index[f] for w in set(own) for f in look.active(w)]
             if found:
                 rows += [len(bag)] * len(found)
                 cols += found
@@ -131,13 +149,14 @@ def train(texts: list[str], toxic: list[bool], *, ridge: float = 0.02, rounds: i
                 plain[d] += 1
     look.memo.clear()
     rows, cols, bag, y = np.array(rows), np.array(cols), np.array(bag), np.array(toxic, dtype=float)
-    w, b = np.zeros(len(chosen)), -4.0
+    w, b = START * np.array(odds), -6.0
     m1, m2, g1, g2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, rounds + 1):
         z = b + np.bincount(rows, w[cols], len(bag))
         soft, base = np.logaddexp(0, z), np.logaddexp(0, b)  # -log(1 - p)
         depth = np.bincount(bag, soft, len(texts)) + plain * base  # -log prod(1 - p)
-        pull = np.where(y > 0, -1.0 / np.expm1(np.clip(depth, 1e-9, 500.0)), 1.0)  # d loss / d depth
+        clean = np.exp(-depth)
+        pull = np.where(y > 0, -(1 - NOISE) * clean / (NOISE + (1 - NOISE) * (1 - clean)), 1.0)  # d loss / d depth
         dz = pull[bag] / (1 + np.exp(-z))
         gw = np.bincount(cols, dz[rows], len(w)) / len(texts) + ridge * w / len(texts)
         gb = (dz.sum() + (pull * plain).sum() / (1 + np.exp(-b))) / len(texts)
