@@ -261,3 +261,22 @@ def test_partitioning_changes_nothing(spark, sf):
     for ranked in (retrieval.token_overlap, retrieval.bm25):
         few, many = ranked(asked, docs.coalesce(1)), ranked(asked, docs.repartition(7).orderBy(F.desc("doc_id")))
         assert few.exceptAll(many).isEmpty() and few.count() == many.count()
+
+
+def test_slides(spark):
+    from gradus.operators import slides
+
+    rows = spark.createDataFrame([(1, 2, " ", "odd", ["a", "A", "", "b <i>"]), (1, 1, "T & U", "Code", None)], "deck_id int, position int, title string, layout string, bullets array<string>")
+    made = slides.normalised(rows)
+    assert [(r.title, r.layout, r.bullets) for r in made.orderBy("position").collect()] == [("T & U", "code", []), ("Slide 2", "bullets", ["a", "b <i>"])]
+    assert slides.decks(made).first().markdown == "# T &amp; U\n\nlayout: code\n\n---\n\n# Slide 2\n\nlayout: bullets\n\n- a\n- b &lt;i&gt;"
+
+
+@pytest.mark.parametrize(("case", "code"), [({"relevant": ["a"], "retrieved": ["a"], "judge": {"faithfulness": 0.9}}, 0), ({"relevant": ["a"], "retrieved": ["b"], "judge": {"faithfulness": 0.9}}, 1), (None, 2)])
+def test_evaluate(spark, tmp_path, case, code):
+    from gradus import evaluate
+
+    path = tmp_path / "cases.jsonl"
+    path.write_text(json.dumps({"id": "1", "query": "q"} | case) if case else "{broken")
+    got, report = evaluate.run(spark, str(path), least_recall=0.6, least_faithfulness=0.7)
+    assert got == code and ("Verdict" in report) == (code < 2)
