@@ -10,6 +10,13 @@ count is beyond every template's bound is dropped before any bigram is made. *Pr
 at least ``ceil(t |B| / (2 - t))`` bigrams, so any ``|B| - that + 1`` bigrams of the template, its
 anchors, hold a shared one; units without an anchor are dropped by one set test.
 
+``notices`` slides over the words of a whole text instead, whatever its lines: a window is a row of words
+with at most as many bigrams as the size bound allows a match of its template. Of overlapping matches the best
+counts (ties: the larger template, the smaller name, the shorter, the earlier window). The first and the last
+bigram of a window that counts are shared ones, as any other would only lower the coefficient, so windows are
+made between shared bigrams alone, where enough of them lie close together. ``scan`` is bound to lines and
+paragraphs by the SQL of its query.
+
 Templates are a parameter, a driver-side list of bounded size. One narrow pass: no shuffle, no join.
 
 Defined results: null, empty and one-word texts match nothing; equal rows give equal results; an
@@ -48,6 +55,9 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: The templates of ``notices``: the whole sentence of the MIT grant as well.
+NOTICES = (*TEMPLATES, ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"))
+
 
 def bigrams(text: str) -> list[str]:
     """The distinct bigrams of a template, in order of first occurrence."""
@@ -109,3 +119,55 @@ def scan(docs: DataFrame, *, text: str = "text", templates=TEMPLATES, threshold:
         docs = docs.withColumn(column, made_of)
         docs = docs.drop(used) if used else docs
     return docs
+
+
+def notices(docs: DataFrame, *, text: str = "text", templates=NOTICES, threshold: float = THRESHOLD, name: str = "notices") -> DataFrame:
+    """``docs`` with an array column of (at, end, licence, dice): the words [at, end) of the text."""
+    known = [(n, g, t) for n, t in sorted(templates) if (g := bigrams(t))]
+    if not known:
+        return docs.withColumn(name, F.array().cast("array<struct<at:int,end:int,licence:string,dice:double>>"))
+    ratio = (2 - threshold) / threshold + 1e-9
+    marks = F.array_distinct(F.array(*(F.xxhash64(*map(F.lit, a.split(" "))) for a in sorted({a for _, g, _ in known for a in anchors(g, threshold)}))))
+    every = F.array(*map(F.lit, sorted({a for _, g, _ in known for a in g})))
+
+    def template(name: str, grams: list[str], said: str) -> Column:
+        need = math.ceil(threshold * len(grams) / (2 - threshold) - 1e-9)
+        gaps = len(re.sub(r"[^0-9a-z\x80-\U0010FFFF]+", " ", said.lower()).split()) - 1
+        most = max(int(len(grams) * ratio), gaps)
+        return F.struct(F.lit(name).alias("licence"), F.lit(need).alias("need"), F.lit(most).alias("most"), F.array(*map(F.lit, grams)).alias("grams"))
+
+    table = F.array(*(template(*x) for x in known))
+    norm = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^0-9a-z\x80-\x{10FFFF}]+", " "))
+    words = F.split("__norm", " ")
+
+    def pairs(joined) -> Column:
+        return F.transform(F.slice("__words", 1, F.size("__words") - 1), lambda w, i: joined(w, F.get("__words", i + 1)))
+
+    some = F.arrays_overlap(pairs(F.xxhash64), marks)
+    grams = F.when(some, pairs(lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    shared = F.filter(F.transform("__grams", lambda g, i: F.struct(i.alias("at"), g.alias("gram"))), lambda x: F.array_contains(every, x["gram"]))
+    spots = F.transform(table, lambda t: F.struct(t.alias("t"), F.filter("__shared", lambda x: F.array_contains(t["grams"], x["gram"])).alias("spots")))
+
+    def ends(s: Column, x: Column, i: Column) -> Column:
+        """The windows from the shared bigram x on: their last bigrams are shared ones, with enough of them between."""
+        last = F.filter(F.slice(s["spots"], i + s["t"]["need"], s["t"]["most"]), lambda y: y["at"] - x["at"] < s["t"]["most"])
+        return F.transform(last, lambda y: F.struct(s["t"].alias("t"), x["at"].alias("at"), F.array_distinct(F.slice("__grams", x["at"] + 1, y["at"] - x["at"] + 1)).alias("grams"), (y["at"] + 2).alias("end")))
+
+    windows = F.flatten(F.transform("__spots", lambda s: F.flatten(F.transform(s["spots"], lambda x, i: ends(s, x, i)))))
+    scored = F.transform("__windows", lambda w: F.struct(
+        (-2.0 * F.size(F.array_intersect(w["grams"], w["t"]["grams"])) / (F.size(w["grams"]) + F.size(w["t"]["grams"]))).alias("less"),
+        (-F.size(w["t"]["grams"])).alias("smaller"), w["t"]["licence"].alias("licence"), (w["end"] - w["at"]).alias("size"), w["at"].alias("at"), w["end"].alias("end"),
+    ))
+    ranked = F.array_sort(F.filter("__scored", lambda w: w["less"] <= -threshold + 1e-12))
+    kept = F.aggregate(
+        "__ranked", F.slice("__ranked", 1, 0),
+        lambda made, w: F.when(F.exists(made, lambda k: (k["at"] < w["end"]) & (w["at"] < k["end"])), made).otherwise(F.concat(made, F.array(w))),
+    )
+    result = F.array_sort(F.transform("__kept", lambda w: F.struct(w["at"].alias("at"), w["end"].alias("end"), w["licence"].alias("licence"), F.round(-w["less"], 6).alias("dice"))))
+    for column, made_of, used in (
+        ("__norm", norm, None), ("__words", words, "__norm"), ("__grams", grams, "__words"), ("__shared", shared, None), ("__spots", spots, "__shared"),
+        ("__windows", windows, "__spots"), ("__scored", scored, "__windows"), ("__ranked", ranked, "__scored"), ("__kept", kept, "__ranked"), (name, result, "__kept"),
+    ):
+        docs = docs.withColumn(column, made_of)
+        docs = docs.drop(used) if used else docs
+    return docs.drop("__grams")

@@ -52,6 +52,18 @@ def op3_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices anywhere in the words of a text, those that share a line or paragraph with other text included."""
+    found = licences.notices(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return found.select(
+        "doc_id",
+        F.size("notices").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["licence"]))), ",").alias("licences"),
+        F.coalesce(F.array_max(F.transform("notices", lambda x: x["dice"])), F.lit(0.0)).alias("best_dice"),
+        F.array_join(F.transform("notices", lambda x: F.concat_ws(":", x["licence"], x["at"], x["end"])), ",").alias("spans"),
+    )
+
+
 OP3_SQL = (
     "WITH templates(licence, said) AS (VALUES "
     + ", ".join(f"('{n}', '{t}')" for n, t in licences.TEMPLATES)
@@ -213,6 +225,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_licence_scans": op3_licence_scans,
+    "op3_licence_windows": op3_licence_windows,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,

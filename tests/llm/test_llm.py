@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import unicodedata
 import zlib
 from itertools import combinations
@@ -210,6 +211,39 @@ def test_licences(spark):
     assert licences.scan(frame(spark, ["x"]), templates=()).first().licences == []
 
 
+def brute_notices(text):
+    split = lambda t: re.sub(r"[^0-9a-z\x80-\U0010FFFF]+", " ", (t or "").lower()).split()
+    w, found = split(text), []
+    for n, t in licences.NOTICES:
+        v = split(t)
+        b = set(zip(v, v[1:], strict=False))
+        for i in range(len(w) - 1):
+            for j in range(i + 2, min(len(w), i + 1 + max(int(1.5 * len(b)), len(v) - 1)) + 1):
+                a = set(zip(w[i:j], w[i + 1 : j], strict=False))
+                less = -2 * len(a & b) / (len(a) + len(b))
+                if less <= -0.8:
+                    found.append((less, -len(b), n, j - i, i, j))
+    kept = []
+    for x in sorted(found):
+        if all(x[5] <= k[4] or k[5] <= x[4] for k in kept):
+            kept.append(x)
+    return sorted((i, j, n, round(-less, 6)) for less, _, n, _, i, j in kept)
+
+
+def test_licence_windows(spark):
+    whole = licences.NOTICES[-1][1]
+    texts = ["Copyright 2019 Acme Inc. All rights reserved.", "The code is released under the MIT License, see the file LICENSE.", f"MIT License. {whole} The above", textwrap.fill(f"intro {whole}", 78)]
+    texts += [f"some prose before it {t} and after, of the software" for _, t in licences.NOTICES]
+    texts += ["All rights reserved, all rights reserved all rights. Licensed under the MIT License. Released under\nthe MIT License", "Licensed under the Apache License, Version 3.0.", *ODD]
+    got = {r.doc_id: [tuple(x) for x in r.notices] for r in licences.notices(frame(spark, texts, extra=True)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_notices(t), t
+    assert [[x[2:] for x in got[i]] for i in range(4)] == [[("all-rights-reserved", 1.0)], [("mit", 1.0)], [("mit-grant", 1.0)], [("mit-grant", 1.0)]]
+    assert got[2][0][:2] == (2, 69)  # the whole sentence
+    assert licences.notices(empty(spark)).count() == 0
+    assert licences.notices(frame(spark, ["x"]), templates=()).first().notices == []
+
+
 # 4 chat
 
 
