@@ -419,6 +419,40 @@ def test_secrets(spark):
     assert secretscan.fit(empty(spark)) == [] and secretscan.scan(empty(spark), []).count() == 0
 
 
+def test_secret_parts_and_letters():
+    rng = random.Random(11)
+    key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    automaton = secretscan.infer(["zq-" + key(20) for _ in range(400)])
+    automaton.cutoff = -3.0
+    dotted = secretscan.infer([f"{rng.randint(10000, 99999)}.{rng.randint(1000000, 9999999)}" for _ in range(300)])
+    dotted.cutoff = -3.0
+    letters, mixed = "zq-" + "kTbVwLpXsQmRnZyJdHgC", "zq-" + "k7bV2LpXs9mRnZyJd4gC"
+    for secret in (letters, mixed):
+        for before, after in (("", ""), ("auth=", ""), ("host/path/", ""), ("a.b.c=", "/more.txt"), ("x:", "."), (" ", "=")):
+            text = f"é see {before}{secret}{after} there"
+            at = text.index(secret)
+            assert secretscan.spans(text, [automaton]) == [(at, 3, at + len(secret))], text
+    assert secretscan.spans("v=12345.1234567.", [dotted]) == [(2, 3, 15)]
+    assert secretscan.spans("Verwaltungsgemeinschaft/international.cooperation", [automaton, dotted]) == []
+    assert secretscan.spans(f"{'0' * 16}/{letters}", [automaton]) == [(0, 2, 16), (17, 3, 40)]
+
+    def brute(text):
+        base = brute_base(text)
+        found = []
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+            cuts = [i for i in range(m.start(), m.end()) if text[i] in "=/."]
+            for s in (m.start(), *(i + 1 for i in cuts)):
+                for e in (*cuts, m.end()):
+                    if e - s >= 12 and not any(a < e and s < b for a, _, b in base) and any(x.score(text[s:e]) >= x.cutoff for x in (automaton, dotted)):
+                        found.append((s, 3, e))
+        return sorted(base + [x for x in found if not any(y != x and y[0] <= x[0] and x[2] <= y[2] for y in found)])
+
+    for _ in range(300):
+        parts = [letters, mixed, "=", "/", ".", "12345.1234567", "token=", "0123456789abcdef", " ", "word", "zq-"]
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        assert secretscan.spans(text, [automaton, dotted]) == brute(text), text
+
+
 def test_automaton():
     rng = random.Random(0)
     words = ["ab" + "".join(rng.choice("0123456789") for _ in range(8)) for _ in range(200)]
