@@ -14,7 +14,7 @@ any occurrence of a window is hit.
 3. *Extension.* In candidates alone, the windows themselves are compared word by word with those of
    the benchmark, and overlapping hits are joined into spans. Hash collisions thus never count.
 
-Fingerprints use full lower-casing, which only makes candidates; the comparison is exact.
+Fingerprints hash the very words that are compared: full lower-casing depends on a word's surroundings (Greek sigma).
 
 Defined results: null texts and texts without words have no words and no hits; items without words
 have no windows; items of equal text all count; equal rows give equal results, each its own; rows of
@@ -69,7 +69,7 @@ def _small(rows: DataFrame, most: int) -> DataFrame:
 def _judge(source: DataFrame, benchmark: DataFrame, item: str, item_text: str) -> tuple[DataFrame, DataFrame]:
     """Of ``source`` (id, text, mark): (id, mark, n_words) of its distinct rows, and (id, mark, spans, items) of those with hits."""
     given = cut(
-        benchmark.select(F.col(item).alias("item"), _exact(F.col(item_text)).alias("words"), words(F.lower(item_text)).alias("loose"))
+        benchmark.select(F.col(item).alias("item"), _exact(F.col(item_text)).alias("words"))
         .where(F.size("words") > 0)
     )
     short = sorted(r[0] for r in given.select(F.size("words")).where(F.size("words") < WINDOW).distinct().collect())  # lengths below WINDOW
@@ -77,13 +77,12 @@ def _judge(source: DataFrame, benchmark: DataFrame, item: str, item_text: str) -
     windows = given.select("item", length.alias("length"), F.explode(F.expr(
         f"transform(sequence(1, size(words) - least(size(words), {WINDOW}) + 1), i -> array_join(slice(words, i, {WINDOW}), ' '))"
     )).alias("window")).distinct()
-    loose = given.select(F.col("loose").alias("words"))
-    prints = _fingerprints(loose.where(F.size("words") >= WINDOW), []).select(F.explode("prints").alias("print"))
+    prints = _fingerprints(given.select("words").where(F.size("words") >= WINDOW), []).select(F.explode("prints").alias("print"))
     for n in short:
-        prints = prints.unionByName(loose.where(F.size("words") == n).select(F.explode(_grams("words", n)).alias("print")))
+        prints = prints.unionByName(given.where(F.size("words") == n).select(F.explode(_grams("words", n)).alias("print")))
     prints = _small(cut(prints.distinct().withColumn("met", F.lit(True))), BROADCAST_ROWS)
 
-    split = source.select("id", "mark", words(F.lower(F.coalesce("text", F.lit("")))).alias("words"))
+    split = source.select("id", "mark", _exact(F.col("text")).alias("words"))
     printed = _fingerprints(split, short).select("id", "mark", F.size("words").cast("long").alias("n_words"), F.explode_outer("prints").alias("print"))
     met = printed.join(prints, "print", "left")
     judged = cut(met.groupBy("id", "mark", "n_words").agg(F.coalesce(F.bool_or("met"), F.lit(False)).alias("met")))

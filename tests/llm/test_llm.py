@@ -306,6 +306,15 @@ def test_decontamination(spark):
     assert decontaminate.hits(docs, bench.limit(0)).where(F.size("spans") > 0).count() == 0
 
 
+def test_decontamination_greek_sigma(spark):
+    items = [(1, "ΛΟΓΟΣ ΑΒΓ"), (2, " ".join(f"ΛΟΓΟΣ w{i}" for i in range(6)))]
+    texts = ["x ΛΟΓΟΣ.ΑΒΓ y", ".".join(f"ΛΟΓΟΣ.w{i}" for i in range(6)), "λογος αβγ", "ΛΟΓΟΣ ΑΒΓ"]
+    got = {r.doc_id: r for r in decontaminate.hits(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_words, sum(s.end - s.at for s in got[i].spans), got[i]["items"]) == brute_hits(t, items), t
+    assert [got[i]["items"] for i in range(4)] == [["1"], ["2"], [], ["1"]]
+
+
 # 6 toxicity
 
 
