@@ -522,7 +522,7 @@ s AS (SELECT conv_id, query, min(place) AS place FROM r WHERE place = 0 OR (leng
 SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY place))::INT AS position, query FROM s QUALIFY position <= 4""")
 def query_rewrites(spark, sf_dir):
     said = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("t"))
-    asked = said.select("conv_id", F.get("t", F.lit(0)).alias("query"), F.slice("t", 2, 100).alias("sub_queries"))
+    asked = said.select("conv_id", F.get("t", F.lit(0)).alias("query"), F.slice("t", 2, F.size("t")).alias("sub_queries"))
     return retrieval.accepted_rewrites(asked, qid="conv_id")
 
 

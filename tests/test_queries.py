@@ -38,6 +38,16 @@ def test_same_as_sql(spark, sf, duck, name):
     assert rows(mine) == rows(theirs)
 
 
+def test_rewrites_of_long_conversations(spark, tmp_path):
+    texts = ["first question", *["other words"] * 150, "a late question"]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    mine = catalog.QUERIES["query_rewrites"](spark, str(tmp_path)).toPandas()
+    assert rows(mine) == rows(con.execute(catalog.ORACLE_SQL["query_rewrites"]).df())
+    assert list(mine.sort_values("position")["query"]) == ["first question", "a late question"]
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_others_run(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
