@@ -105,6 +105,18 @@ def formatted(
     return parsed.select(F.col("conv").alias(conv), "formatted", "spans", checked.alias("turns"))
 
 
-def masked(turns: Column, learn: str = "assistant") -> Column:
-    """All text under the loss mask, unescaped, with nothing between: that of the parsed turns that are learnt."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == learn), lambda t: t["text"]), "")
+#: Code points of a block: a span is cut from the blocks that it meets, so that no span walks the whole text.
+BLOCK = 4096
+
+
+def masked(made: DataFrame, name: str = "learnt") -> DataFrame:
+    """``made`` (formatted, spans) with all text under the loss mask as a column: cut by the spans, unescaped, with nothing between."""
+
+    def said(span: Column) -> Column:
+        first = F.floor(span["start"] / BLOCK).cast("int")
+        last = F.floor((span["start"] + span["chars"]) / BLOCK).cast("int")
+        near = F.array_join(F.slice("__blocks", first + 1, last - first + 1), "")
+        return unescape(F.substr(near, (span["start"] % BLOCK + 1).cast("int"), span["chars"].cast("int")), ESCAPES)
+
+    blocks = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return made.withColumn("__blocks", blocks).withColumn(name, F.array_join(F.transform("spans", said), "")).drop("__blocks")

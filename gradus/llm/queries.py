@@ -100,15 +100,14 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"),
     )
-    made = chat.formatted(rows.unionByName(extra))
+    made = chat.masked(chat.formatted(rows.unionByName(extra)))
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    learnt = chat.masked(F.col("turns"))
     return made.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
-        F.length(learnt).cast("long").alias("loss_chars"),
-        F.sha2(learnt, 256).alias("loss_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

@@ -265,6 +265,19 @@ def test_chat(spark):
     assert chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_loss_is_cut_by_the_mask(spark):
+    rng = random.Random(14)
+    bits = ["\\", "###", "</turn>", "\n", "é", "😀", "plain words ", "x" * 900]
+    rows = [(c, t, rng.choice(["user", "assistant"]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))) for c in range(8) for t in range(12)]
+    rows += [(9, 0, "assistant", "x" * n) for n in (4096, 8170, 1)] + [(10, 0, "user", "x"), (11, 0, "assistant", "")]
+    made = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).localCheckpoint()
+    for r in chat.masked(made).collect():
+        assert r.learnt == "".join(x for _, _, role, x in sorted(x for x in rows if x[0] == r.conv_id) if role == "assistant")
+    off = made.withColumn("spans", F.transform("spans", lambda s: F.struct((s["start"] - 1).alias("start"), s["chars"].alias("chars"))))
+    shown = {r.conv_id: r for r in chat.masked(off).collect()}
+    assert shown[9].learnt != "x" * (4096 + 8170 + 1) and shown[9].learnt.startswith(" ")  # a wrong mask shows
+
+
 # 5 decontamination
 
 
