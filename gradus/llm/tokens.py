@@ -1,8 +1,9 @@
 """Token-id output: frequency-ranked ids in a byte-aligned variable-length code with separate control bytes.
 
 Encoding. Texts are tokenized with the tokenizers library; its normaliser and pre-tokeniser must treat
-white space as a boundary, so a text's ids are those of its parts between ASCII white space, and each
-distinct part is tokenized once and kept in a bounded memo. Every document gets an end id.
+white space as a boundary (checked on probes), so a text's ids are those of its parts between ASCII white
+space; each distinct part of a batch is looked up once, and frequent ones are kept in a bounded memo.
+Every document gets an end id.
 
 File format (one row a block in Parquet files under one folder, blocks in ascending document order):
 ``part, block`` place of the block; ``ids`` the document ids; ``counts`` ids in each document;
@@ -22,26 +23,30 @@ rows are stored repeatedly; an empty table gives no block and no row; further co
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import checkpoint_folder, kept, ready
+from .common import alone, checkpoint_folder, kept, ready
 
-MEMO = 400_000
+#: Parts of one generation of the memo (two are held), and the most characters of one that is remembered.
+MEMO, REMEMBERED = 120_000, 48
+#: Words or ids that are worked on at once.
+SLICE = 200_000
+#: Bytes of the batches that are encoded together.
+GATHERED = 5_000_000
 BLOCK_IDS = 1_000_000
 #: Lengths of the four ids of each control byte.
 _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
@@ -82,14 +87,32 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 #: A character that no other text of a batch has, so its token ends parts.
 MARK = "\x01"
+#: Punctuation that ends the word before it wherever it follows a Latin letter; an apostrophe may begin a suffix, ``<`` a special token.
+_AFTER = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+_SEAM = r"([a-z\x{E0}-\x{F6}\x{F8}-\x{FF}])([" + re.escape(_AFTER) + "])"
+#: Parts that keep their case and stay whole: those that may hold a special token, or marks that may join letters of one case only.
+_WHOLE = r"[<\x{300}-\x{37F}]"
+_PROBES = ("it's", "a.b,", "'ll", "x", "7", "\xdf\xe9", "\u65e5\u672c", "...", "###", "(a)", "\u2026", "e\u0301")
+
+
+def _gather(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The slices of ``flat`` (one after another, of these lengths) in the order of ``codes``."""
+    out = lengths[codes]
+    total = int(out.sum())
+    shift = (np.cumsum(lengths) - lengths)[codes] - (np.cumsum(out) - out)
+    return flat[np.repeat(shift, out) + np.arange(total)]
 
 
 class Encoder:
     """A tokenizer with a memo of the ids of parts between white space, as little-endian bytes of ``width`` each.
 
-    Parts are tokenized many at a time. Parts of letters alone are joined by spaces and told apart by
-    the tokens that end words; others are held apart by a control character that none of them has.
+    A batch's parts are told apart by Arrow, and each distinct one is looked up once; where the tokenizer
+    allows it, A-Z is folded and parts are cut between a letter and punctuation, so that they repeat more
+    often. Unknown parts are tokenized many at a time: those of letters alone are joined by spaces and told
+    apart by the tokens that end words, others are held apart by a control character that none of them has.
     Either way the count of parts must come out right, or the parts are tokenized one by one.
+
+    That white space parts the texts is checked on probes; a tokenizer in which it does not is refused.
     """
 
     def __init__(self, definition: bytes) -> None:
@@ -98,19 +121,23 @@ class Encoder:
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         words = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(words.values()) + 1
-        self.width = 2 if self.size <= 1 << 16 else 4
+        self.width = _width(self.tokenizer)
         self.last = np.zeros(self.size, dtype=bool)
         if suffix:
             self.last[[i for w, i in words.items() if w.endswith(suffix)]] = True
         letters = [chr(c) for c in range(97, 123)]
         one = lambda x: self._ids([x])[0]
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(one(a + gap + b) != one(a) + one(b) for a in _PROBES for b in _PROBES for gap in (" ", "\n\t ")) or one(" \n") or any(x.split() != [x] for x in added):
+            raise ValueError("white space does not part the words of this tokenizer")
         alone = one(MARK)
         self.mark = alone[0] if len(alone) == 1 else None
-        #: Whether A-Z counts as a-z, and a stop or comma after a letter stands for itself; both make parts repeat more often.
-        self.folds = all(one(x.upper()) == one(x) for x in letters)
-        self.parts = self.folds and all(one(x + y) == one(x) + one(y) for x in (*letters, "\xe9") for y in ".,")
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        whole = all("<" in x for x in added)
+        #: Whether A-Z counts as a-z, and punctuation after a letter stands for itself.
+        self.folds = whole and all(one(x.upper()) == one(x) for x in letters)
+        self.parts = self.folds and all(one(x + y) == one(x) + one(y) for x in (*letters, "\xe9") for y in _AFTER)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # the memo stands before it
 
@@ -122,7 +149,7 @@ class Encoder:
 
     def _sliced(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         flat, w = self._bytes(ids), self.width
-        return [flat[w * s : w * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return [flat[s:e] for s, e in zip((w * starts).tolist(), (w * ends).tolist(), strict=True)]
 
     def _letters(self, texts: list[str]) -> list[bytes] | None:
         ids = np.array(self._ids([" ".join(texts)])[0], dtype=np.int64)
@@ -136,42 +163,62 @@ class Encoder:
         at = np.flatnonzero(ids == self.mark)
         return self._sliced(ids, np.concatenate([[0], at + 1]), np.append(at, len(ids))) if len(at) == len(texts) - 1 else None
 
-    def _learn(self, parts: list[bytes]) -> None:
-        texts = [(x, x.decode()) for x in parts]
-        letters = [x for x in texts if x[1].isalpha()]
-        for chosen, way in ((letters, self._letters), ([x for x in texts if not x[1].isalpha()], self._apart)):
+    def _learnt(self, parts: list[str]) -> dict[str, bytes]:
+        made: dict[str, bytes] = {}
+        letters, others = [], []
+        for x in parts:
+            (letters if x.isalpha() else others).append(x)
+        for chosen, way in ((letters, self._letters), (others, self._apart)):
             for i in range(0, len(chosen), 2000):
-                some = [x for _, x in chosen[i : i + 2000]]
-                found = way(some) or [self._bytes(x) for x in self._ids(some)]
-                self.new.update(zip([x for x, _ in chosen[i : i + 2000]], found, strict=True))
-
-    def _cut(self, text: str) -> list[bytes]:
-        raw = text.encode()
-        # special tokens keep their case, and combining marks may join letters of one case only
-        if self.folds and not any(x in raw for x in (b"<", b"\xcc", b"\xcd")):
-            raw = raw.lower()
-            if self.parts:
-                raw = _STOP.sub(rb" \g<0>", raw)
-        return raw.split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
+                some = chosen[i : i + 2000]
+                made.update(zip(some, way(some) or [self._bytes(x) for x in self._ids(some)], strict=True))
+        return made
+
+    def _looked_up(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts; short ones are remembered, so the memo's bytes are bounded with its entries."""
         if len(self.new) > MEMO:
             self.old, self.new = self.new, {}
-        cut = [self._cut(x) for x in texts]
-        new, old, missing = self.new, self.old, []
-        for x in set().union(*cut).difference(new):
-            if x in old:
-                new[x] = old[x]
-            else:
-                missing.append(x)
-        if missing:
-            self._learn(missing)
-        return [b"".join(itemgetter(*x)(new)) if len(x) > 1 else b"".join(map(new.__getitem__, x)) for x in cut]
-
-
-#: A stop or comma between a Latin letter and white space: a word of its own where the tokenizer parts words at punctuation.
-_STOP = re.compile(rb"[.,](?:(?<=[a-z][.,])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,]))(?=[ \n]|\Z)")
+        new, old = self.new, self.old
+        lost = [x for x in parts if x not in new]
+        kept = {x: old[x] for x in lost if x in old}
+        made = self._learnt([x for x in lost if x not in kept])
+        new.update(kept)
+        new.update(x for x in made.items() if len(x[0]) <= REMEMBERED)
+        return [new[x] if x in new else made[x] for x in parts]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null counts as empty."""
+        cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        ends = cut.offsets.to_numpy()
+        words = cut.flatten().dictionary_encode()
+        kinds = words.dictionary
+        codes = words.indices.to_numpy()
+        if self.folds:
+            small = pc.ascii_lower(kinds)
+            small = pc.replace_substring_regex(small, pattern=_SEAM, replacement=r"\1 \2") if self.parts else small
+            kinds = pc.if_else(pc.match_substring_regex(kinds, pattern=_WHOLE), kinds, small)
+        parted = pc.split_pattern(kinds, pattern=" ")
+        parts = parted.flatten().dictionary_encode()
+        names = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = self._looked_up(names)
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.width
+        flat = np.frombuffer(b"".join(found), dtype=f"<u{self.width}")
+        order, seams = parts.indices.to_numpy(), parted.offsets.to_numpy()
+        flat = _gather(flat, lengths, order)
+        lengths = np.diff(np.concatenate([[0], np.cumsum(lengths[order])])[seams])  # of kinds of words
+        places = np.concatenate([[0], np.cumsum(lengths[codes])])
+        out = np.empty(int(places[-1]), dtype=flat.dtype)
+        for s in range(0, len(codes), SLICE):  # a long text needs no more than its ids and a slice
+            some = codes[s : s + SLICE]
+            out[places[s] : places[s + len(some)]] = _gather(flat, lengths, some)
+        at = (places[ends] * self.width).tolist()
+        raw = out.tobytes()
+        return [raw[s:e] for s, e in zip(at, at[1:], strict=False)]
+
+
+def _width(tokenizer: Tokenizer) -> int:
+    """Bytes of an id in the temporary rows."""
+    return 2 if max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else 4
 
 
 def encoder(definition: bytes) -> Encoder:
@@ -179,18 +226,30 @@ def encoder(definition: bytes) -> Encoder:
     return kept(hashlib.sha256(definition).hexdigest(), lambda: Encoder(definition))
 
 
+def _gathered(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to GATHERED bytes or one batch, so that parts repeat more often in each."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in source:
+        if batch.num_rows:
+            waiting.append(batch)
+        if sum(x.nbytes for x in waiting) > GATHERED:
+            yield pa.concat_batches(waiting)
+            waiting = []
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
 def _tokenized(docs: DataFrame, definition: bytes, end: int, key: str, text: str) -> DataFrame:
     """(id, tie, ids): the ids with the end id, compressed; tie a hash of them."""
     given = docs.sparkSession.sparkContext.broadcast(definition)  # a tokenizer's file: a few MB
+
     def over(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, squeeze = encoder(given.value), zstandard.ZstdCompressor(level=1).compress
         close = np.array([end], dtype=f"<u{own.width}").tobytes()
-        gc.disable()  # a batch makes many objects and no cycles
-        for batch in source:
-            ids = [x + close for x in own.encode([x or "" for x in batch.column(1).to_pylist()])]
+        for rows in _gathered(source):
+            ids = [x + close for x in own.encode(rows.column(1))]
             ties = pa.array([zlib.crc32(x) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ties, pa.array(map(squeeze, ids), pa.binary())], names=["id", "tie", "ids"])
-        gc.enable()
+            yield pa.RecordBatch.from_arrays([rows.column(0), ties, pa.array(map(squeeze, ids), pa.binary())], names=["id", "tie", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(over, "id long, tie long, ids binary")
 
@@ -201,14 +260,20 @@ def write(docs: DataFrame, definition: bytes, folder: str, *, end: int, key: str
     held = f"{folder}/held"
     _tokenized(docs, definition, end, key, text).write.option("compression", "uncompressed").parquet(held)
     rows = spark.read.parquet(held)
-    kind = f"<u{encoder(definition).width}"
+    kind = f"<u{_width(Tokenizer.from_str(definition.decode()))}"
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         expand, total = zstandard.ZstdDecompressor().decompress, np.zeros(0, dtype=np.int64)
         for batch in source:
-            own = np.bincount(np.frombuffer(b"".join(expand(x.as_py()) for x in batch.column(0)), dtype=kind), minlength=len(total))
-            own[: len(total)] += total
-            total = own
+            waiting: list[np.ndarray] = []
+            for x in (*batch.column(0), None):
+                if x is not None:
+                    waiting.append(np.frombuffer(expand(x.as_py()), dtype=kind))
+                if waiting and (x is None or sum(map(len, waiting[-64:])) > SLICE or len(waiting) == 64):
+                    own = np.bincount(np.concatenate(waiting), minlength=len(total))
+                    own[: len(total)] += total
+                    total, waiting = own, []
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "n"])
 
@@ -220,6 +285,7 @@ def write(docs: DataFrame, definition: bytes, folder: str, *, end: int, key: str
     table = spark.sparkContext.broadcast(rank)  # bounded by the vocabulary
 
     def blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         expand, ranks = zstandard.ZstdDecompressor().decompress, table.value
         context = TaskContext.get()
         part, block = context.partitionId() if context else 0, 0
@@ -277,6 +343,7 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     given = spark.sparkContext.broadcast((token, first))
 
     def decode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         tokens, firsts = given.value
         for batch in source:
             for part, block, ids, counts, control, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
