@@ -89,11 +89,49 @@ def test_rules(spark):
 
 def test_rules_odd_rows(spark):
     docs = frame(spark, [*ODD, "word " * 3 + " ".join(map(str, range(60)))] * 2, extra=True)
+    docs = docs.withColumn("__stats", F.lit("extra")).withColumn("__kept", F.lit("extra"))
     got = rules.keep(docs, labels(spark, 0)).collect()
+    assert {(r["__stats"], r["__kept"], r.rank) for r in got} == {("extra",) * 3}
     assert sorted(r.doc_id for r in got) == [10, 21]
     assert rules.keep(empty(spark), labels(spark, 3)).count() == 0
 
 
+def test_certified_steps():
+    assert rules.certified_steps([[0.001, 0.02, 0.3], [0.04, 0.04, 0.04]], 0.05) == [2, 0]
+    assert rules.certified_steps([[0.001, 0.02, 0.02], [0.04, 0.04, 0.2]], 0.05) == [3, 2]  # the first leaves its share to the second
+    assert rules.certified_steps([], 0.05) == []
+
+
+def test_rules_pool_strata_of_few_labels(spark):
+    rng = random.Random(5)
+    clean = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(60)) for _ in range(360)]
+    junk = [" ".join(f"w{rng.randint(0, 5000)}***" for _ in range(60)) for _ in range(12)]
+    docs = frame(spark, clean + junk).withColumn(
+        "lang", F.when(F.col("doc_id") < 200, "en").when(F.col("doc_id") % 3 == 0, "fr").when(F.col("doc_id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("x"), F.col("doc_id")))
+    )
+    measured = rules.measure(docs)
+    found = rules.certify(measured, labels(spark, 360))
+    assert [x[0] for x in found] == ["en", rules.POOLED] and all(x[1:] == tuple(r.cutoffs[-1] for r in rules.RULES) for x in found)
+    kept = {r.doc_id for r in rules.verdict(measured, found).where("__kept").collect()}
+    assert kept == set(range(360))
+    assert rules.certify(measured, labels(spark, 90)) == []  # too few for any bound: base rules alone
+
+
+def test_rules_query_rejects_by_certified_cutoffs(spark):
+    """At sf0.01 rows go by certified cutoffs; the bound is recomputed from the labels by brute force."""
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op10_quality_rules(spark, sf).collect()}
+    gone = [i for i, r in got.items() if not r.base_failed and not r.kept]
+    assert len(gone) >= 40
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    passing = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.doc_id in good and not got[r.doc_id].base_failed}
+    for own in (lambda x: x == "en", lambda x: x != "en"):  # the one language with labels enough, and the pool
+        those = [i for i, x in passing.items() if own(x)]
+        lost, n = sum(not got[i].kept for i in those), len(those)
+        assert sum(math.comb(n, k) * 0.03**k * 0.97 ** (n - k) for k in range(lost + 1)) <= 0.05
+        assert any(own(r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id").isin(gone)).collect())
+
+
 # 1 quality classifier
 
 
