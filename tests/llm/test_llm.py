@@ -7,6 +7,7 @@ import re
 import textwrap
 import unicodedata
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -476,6 +477,8 @@ def test_secrets(spark):
     clean = {r.doc_id: r for r in secretscan.redact(docs, automata).collect()}
     assert clean[len(texts)].text == "see [SECRET] there" and clean[len(texts)].n_chars == len("see [SECRET] there")
     assert all(not brute_base(r.text) for r in clean.values()) and clean[0].text is None
+    twin = secretscan.scan(docs.withColumn("__spans", F.lit("extra")), automata)
+    assert twin.columns.count("__spans") == 1 and {r.doc_id: len(r["__spans"]) for r in twin.collect()} == {k: len(v) for k, v in got.items()}
     assert secretscan.fit(empty(spark)) == [] and secretscan.scan(empty(spark), []).count() == 0
 
 
@@ -513,6 +516,55 @@ def test_secret_parts_and_letters():
         assert secretscan.spans(text, [automaton, dotted]) == brute(text), text
 
 
+def test_automaton_scores_equal_brute_force():
+    """Likelihoods by walking explicit probability tables, and the ratio to plain words by counting."""
+    rng = random.Random(12)
+    words = ["k-" + "".join(rng.choice("0123456789abcxyz") for _ in range(rng.choice([12, 20]))) for _ in range(120)]
+    plain = ["unterhaltungsprogramm", "international-cooperation", "Verwaltungsgemeinschaft", "configuration.directory"]
+    automaton = secretscan.infer(words)
+    automaton.plain = secretscan.background(plain)
+    kind = lambda c: "D" if c.isdigit() else "h" if c in "abcdef" else "H" if c in "ABCDEF" else "l" if c.islower() else "U" if c.isupper() else c
+    steps = Counter((a, b) for w in plain for a, b in zip(["", *map(kind, w)], [*map(kind, w), ""], strict=True))
+    for word in [*words[:20], *plain, "k-12", ""]:
+        state, mine, theirs, before = 0, 1.0, 1.0, ""
+        for c in [*map(kind, word), ""]:
+            total = sum(n for (a, _), n in steps.items() if a == before)
+            theirs *= 0.1 / 12 + 0.9 * (steps[before, c] / total if total else 1 / 12)
+            before = c
+            if c == "":
+                mine *= math.exp(automaton.stops[state])
+            elif c in automaton.steps[state]:
+                state, p = automaton.steps[state][c][0], math.exp(automaton.steps[state][c][1])
+                mine *= p
+            else:
+                mine = 0.0
+                break
+        want = (math.log(mine) - math.log(theirs)) / (len(word) + 1) if mine else -math.inf
+        assert automaton.score(word) == pytest.approx(want, abs=1e-9), word
+    for row, stop in zip(automaton.steps, automaton.stops, strict=True):
+        assert sum(math.exp(p) for _, p in row.values()) + math.exp(stop) == pytest.approx(1, abs=0.35)
+
+
+def test_secrets_without_their_assigning_word(spark):
+    """Recall on credentials whose assigning word was removed, and plain words and places left alone."""
+    rng = random.Random(13)
+    key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    syllables = ["ver", "lich", "tion", "men", "ung", "con", "pro", "ge", "schaft", "al", "ber", "en"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 7)))
+    prose = lambda: " ".join([word() for _ in range(30)] + [f"mail{rng.randint(0, 9)}.example.com", f"{word().title()}-{word()}.", "192.168.17.254"])
+    labelled = [f"{prose()} token={key()} {prose()}" for _ in range(200)]
+    bare = [f"{prose()} {key()} {prose()}" for _ in range(200)]
+    clean = [prose() for _ in range(200)]
+    docs = frame(spark, labelled * 2 + clean)  # repeated rows
+    automata = secretscan.fit(docs)
+    assert all(a.recall >= 0.9 for a in automata)
+    hit = sum(any(k == 3 and t[s:e] in t.split() for s, k, e in secretscan.spans(t, automata)) for t in bare)
+    assert hit >= 0.9 * len(bare)
+    assert sum(len(secretscan.spans(t, automata)) for t in clean) <= 0.01 * 32 * len(clean)
+    long = " ".join([f"token={'ab12' * 5}/x"] * 3000) + " " + "a1.b2/" * 30000
+    assert sum(k == 0 for _, k, _ in secretscan.spans(long, automata)) == 3000
+
+
 def test_automaton():
     rng = random.Random(0)
     words = ["ab" + "".join(rng.choice("0123456789") for _ in range(8)) for _ in range(200)]
