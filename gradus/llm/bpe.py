@@ -5,10 +5,12 @@ become token-position rows (one for each byte, with its right neighbour), joined
 table; each round of the recursive query contracts the leftmost pair of minimum rank of every
 word at once, until no pair of a word merges. The ids of a piece are kept in a bounded memo.
 
-Pieces over LONG bytes contract *all* pairs of their minimum rank in one round. This gives the same
-ids in a vocabulary in which every token's own bytes merge into that token through ranks that do not
-exceed its own, as a trained one has it: a merge of minimum rank can then never make way for a pair
-of lower rank. Runs of one token are contracted from the left, two by two.
+The rule is the same for every piece. In a *settled* vocabulary (every token's own bytes merge into that token
+through ranks that do not exceed its own, as in a trained one) a merge of minimum rank r makes no pair of lower
+rank: were xT one, its bytes, which no merge has left or entered, would have merged into it before. So the
+leftmost pairs of rank r come one after another, and LONG_SQL contracts that sequence in one round, runs of one
+token from the left, two by two; pieces over LONG bytes take it, as their rounds would be many. ``settled``
+verifies the property for the whole vocabulary, once on the driver; without it every piece takes SHORT_SQL.
 
 Decoding joins (document, position, id) rows with the vocabulary and concatenates the pieces of
 bytes by an ordered aggregation.
@@ -17,7 +19,7 @@ Ids travel as binary, little-endian unsigned 32-bit.
 
 Defined results: null and empty texts have no ids and decode to no bytes; equal texts get equal
 ids; an empty table gives an empty result; special tokens are ordinary text; further columns pass
-through. Unknown ids raise an error at decoding.
+through, but a column that has the name of a result is replaced. Unknown ids raise an error at decoding.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -36,24 +39,26 @@ from pyspark.sql import types as T
 from .common import kept, ready
 
 LONG = 96
+#: Ranks and positions that a key has room for; pieces beyond (in a vocabulary that is not settled) are refused.
+MOST_RANKS, MOST_BYTES = 1 << 19, (1 << 22) - 2
 #: Bytes of text that are worked on at once, and pieces of one generation of the memo.
 CHUNK_BYTES, MEMO = 2_000_000, 200_000
 
 #: Keys pack (rank, position, next position); the least key of a word is its leftmost pair of minimum rank.
 SHORT_SQL = """
 WITH RECURSIVE t AS (
-  SELECT FALSE AS done, s.w, s.pos, s.tok AS a, s.nxt AS b, s.pos + 1 AS behind, (m.r::BIGINT << 32) | (s.pos << 16) | (s.pos + 1) AS k
+  SELECT FALSE AS done, s.w, s.pos, s.tok AS a, s.nxt AS b, s.pos + 1 AS behind, (m.r::BIGINT << 44) | (s.pos << 22) | (s.pos + 1) AS k
   FROM words s LEFT JOIN merges m ON m.a = s.tok AND m.b = s.nxt
   UNION ALL
-  SELECT n.done, n.w, n.pos, n.a, n.b, n.behind, (m.r::BIGINT << 32) | (n.pos << 16) | n.behind
+  SELECT n.done, n.w, n.pos, n.a, n.b, n.behind, (m.r::BIGINT << 44) | (n.pos << 22) | n.behind
   FROM (
     SELECT h.k IS NULL AS done, t.w,
-      CASE WHEN t.pos = h.k & 65535 THEN (h.k >> 16) & 65535 ELSE t.pos END AS pos,
-      CASE WHEN t.pos = h.k & 65535 THEN (h.k >> 32)::INT ELSE t.a END AS a,
-      CASE WHEN t.behind = (h.k >> 16) & 65535 THEN (h.k >> 32)::INT ELSE t.b END AS b,
+      CASE WHEN t.pos = h.k & 4194303 THEN (h.k >> 22) & 4194303 ELSE t.pos END AS pos,
+      CASE WHEN t.pos = h.k & 4194303 THEN (h.k >> 44)::INT ELSE t.a END AS a,
+      CASE WHEN t.behind = (h.k >> 22) & 4194303 THEN (h.k >> 44)::INT ELSE t.b END AS b,
       t.behind
     FROM t JOIN (SELECT w, min(k) AS k FROM t WHERE NOT done GROUP BY w) h ON h.w = t.w
-    WHERE NOT t.done AND t.pos IS DISTINCT FROM (h.k >> 16) & 65535
+    WHERE NOT t.done AND t.pos IS DISTINCT FROM (h.k >> 22) & 4194303
   ) n LEFT JOIN merges m ON m.a = n.a AND m.b = n.b AND NOT n.done
 )
 SELECT w, list(a ORDER BY pos) AS ids FROM t WHERE done GROUP BY w ORDER BY w
@@ -84,12 +89,32 @@ FROM ids LEFT JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc
 """
 
 
+def ranks_of(vocabulary: bytes) -> dict[bytes, int]:
+    """Tokens and ranks of a vocabulary file; every single byte must be a token."""
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
+    if any(bytes([i]) not in ranks for i in range(256)) or max(ranks.values()) >= MOST_RANKS:
+        raise ValueError(f"a vocabulary needs all single bytes and ranks below {MOST_RANKS}")
+    return ranks
+
+
+def settled(ranks: dict[bytes, int]) -> bool:
+    """Whether each token's bytes merge into that token through ranks that do not exceed its own."""
+    for token, own in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 1:
+            least, at = min((ranks.get(a + b, MOST_RANKS), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if least > own:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
+
+
 class Codec:
-    """A tokenizer of one vocabulary, with its DuckDB tables and its memo."""
+    """A tokenizer of one vocabulary, with its DuckDB tables and its memo; ``batched``: known to be settled (else verified here)."""
 
-    def __init__(self, vocabulary: bytes, pattern: str) -> None:
-        pairs = [line.split() for line in vocabulary.splitlines() if line]
-        ranks = {base64.b64decode(a): int(b) for a, b in pairs}
+    def __init__(self, vocabulary: bytes, pattern: str, batched: bool | None = None) -> None:
+        ranks = ranks_of(vocabulary)
+        self.batched = settled(ranks) if batched is None else batched
         left, right, rank = [], [], []
         for token, r in ranks.items():
             for i in range(1, len(token)):
@@ -135,8 +160,13 @@ class Codec:
 
     def _learn(self, pieces: list[str]) -> None:
         """Put the ids of ``pieces`` into the memo."""
-        for sql, chosen in ((SHORT_SQL, lambda n: n <= LONG), (LONG_SQL, lambda n: n > LONG)):
-            own = [(x, raw) for x in pieces if chosen(len(raw := x.encode()))]
+        short, long = [], []
+        for x in pieces:
+            raw = x.encode()
+            (long if self.batched and len(raw) > LONG else short).append((x, raw))
+            if not self.batched and len(raw) > MOST_BYTES:
+                raise ValueError(f"a piece of over {MOST_BYTES} bytes needs a settled vocabulary")
+        for sql, own in ((SHORT_SQL, short), (LONG_SQL, long)):
             for i in range(0, len(own), 50_000):
                 part = own[i : i + 50_000]
                 self.new.update(zip([x for x, _ in part], self._contract([raw for _, raw in part], sql), strict=True))
@@ -175,9 +205,14 @@ class Codec:
         return found
 
 
-def codec(vocabulary: bytes, pattern: str) -> Codec:
+def codec(vocabulary: bytes, pattern: str, batched: bool) -> Codec:
     """The process's codec of this vocabulary."""
-    return kept(hashlib.sha256(vocabulary + pattern.encode()).hexdigest(), lambda: Codec(vocabulary, pattern))
+    return kept(hashlib.sha256(vocabulary + pattern.encode()).hexdigest(), lambda: Codec(vocabulary, pattern, batched))
+
+
+@lru_cache(maxsize=4)
+def _batched(vocabulary: bytes) -> bool:
+    return settled(ranks_of(vocabulary))
 
 
 def _chunks(sizes: list[int]) -> Iterator[slice]:
@@ -192,7 +227,10 @@ def _chunks(sizes: list[int]) -> Iterator[slice]:
 
 def _mapped(docs: DataFrame, vocabulary: bytes, pattern: str, source: str, outputs: list[str], work) -> DataFrame:
     spark: SparkSession = ready(docs.sparkSession)
-    given, at = spark.sparkContext.broadcast((vocabulary, pattern)), docs.columns.index(source)  # a vocabulary file: about 1 MB
+    if source in outputs:
+        raise ValueError(f"the result needs another name than {source}")
+    docs = docs.drop(*outputs)
+    given, at = spark.sparkContext.broadcast((vocabulary, pattern, _batched(vocabulary))), docs.columns.index(source)  # a vocabulary file: about 1 MB
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(*given.value)

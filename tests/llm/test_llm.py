@@ -209,12 +209,35 @@ def test_vocabulary_allows_batched_merges(codec, reference_bpe):
     assert [int.from_bytes(x, "little") for x in codec._contract(words, bpe.SHORT_SQL)] == list(range(50256))
 
 
+def test_bpe_of_a_vocabulary_that_is_not_settled():
+    """Contracting all pairs of the minimum rank would give other ids here; the leftmost rule holds at every length."""
+    import base64
+
+    import tiktoken
+
+    assert bpe.settled(bpe.ranks_of(queries.tokenizer()[0]))
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 301, b"aba": 300, b"ba": 302}
+    raw = b"\n".join(base64.b64encode(k) + b" " + str(v).encode() for k, v in ranks.items())
+    assert not bpe.settled(ranks)
+    own, library = bpe.Codec(raw, r"\S+"), tiktoken.Encoding("odd", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    texts = ["abab", "ab" * 200, *("".join(rng.choice("abc") for _ in range(n)) for n in (5, 90, 97, 150, 400))]
+    got = own.encode(texts)
+    assert got == [np.array(library.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
+    all_at_once = own._contract([b"abab"], bpe.LONG_SQL)
+    assert all_at_once != got[:1]
+    with pytest.raises(ValueError, match="single bytes"):
+        bpe.ranks_of(b"YQ== 0")
+
+
 def test_bpe_frame(spark, reference_bpe):
     docs = frame(spark, ODD * 2).withColumn("n_tokens", F.lit("extra"))
     made = bpe.round_trip(docs, *queries.tokenizer(), ids="ids_out").collect()
     assert len(made) == 2 * len(ODD) and all(bytes(r.decoded) == (r.text or "").encode() for r in made)
     assert all(bytes(r.ids_out) == np.array(reference_bpe.encode_ordinary(r.text or ""), dtype="<u4").tobytes() for r in made)
-    apart = bpe.decode(bpe.encode(docs, *queries.tokenizer()), *queries.tokenizer()).collect()
+    clash = docs.withColumn("ids", F.lit("extra")).withColumn("decoded", F.lit(7))
+    apart = bpe.decode(bpe.encode(clash, *queries.tokenizer()), *queries.tokenizer()).collect()
+    assert sorted(bytes(r.ids) for r in bpe.round_trip(clash, *queries.tokenizer()).collect()) == sorted(bytes(r.ids_out) for r in made)
     assert sorted(bytes(r.decoded) for r in apart) == sorted(bytes(r.decoded) for r in made)
     assert bpe.round_trip(empty(spark), *queries.tokenizer()).count() == 0
 
