@@ -760,12 +760,31 @@ def semester_plan_problems(spark, sf_dir):
     return chapters.plan_problems(plan, inventory)
 
 
-@query()
+# documents in turn have headings "Chapter N", numbered headings, a contents page, and none; entries of the contents are spelt as their headings
+@query(f"""WITH {LINES}, pages AS (SELECT document_id AS doc_id, chunk_index + 1 AS n, content FROM lines),
+said AS (SELECT doc_id, n, CASE WHEN doc_id % 4 = 0 AND n % 4 = 1 THEN 'Chapter ' || n || ' Part ' || (n // 8) WHEN doc_id % 4 = 1 AND n % 3 = 1 THEN ceil(n / 3.0)::INT || '. Theme of this part'
+  WHEN doc_id % 4 = 2 AND n = 1 THEN 'Course contents' WHEN doc_id % 4 = 2 AND n = 3 THEN 'Steps to begin' WHEN doc_id % 4 = 2 AND n IN (2, 5) THEN 'Looking back at it' END AS head FROM pages),
+explicit AS (SELECT doc_id, min(n) AS p, title FROM (SELECT doc_id, n, regexp_extract(head, '^Chapter [0-9]+ (.*)$', 1) AS title, head FROM said WHERE head LIKE 'Chapter %') GROUP BY doc_id, title, head),
+numbered AS (SELECT doc_id, n AS p, 'Theme of this part' AS title FROM said WHERE head LIKE '%. Theme of this part' QUALIFY count(*) OVER (PARTITION BY doc_id) > 1),
+entries AS (SELECT doc_id, 1 AS i, 'Steps to begin' AS title FROM said WHERE head = 'Course contents' UNION ALL SELECT doc_id, 2, 'Looking back at it' FROM said WHERE head = 'Course contents'),
+one AS (SELECT e.doc_id, min(n) AS p FROM entries e JOIN said USING (doc_id) WHERE i = 1 AND head = title GROUP BY e.doc_id),
+two AS (SELECT e.doc_id, min(n) AS p FROM entries e JOIN one USING (doc_id) JOIN said USING (doc_id) WHERE i = 2 AND head = title AND n > one.p GROUP BY e.doc_id),
+listed AS (SELECT one.doc_id, one.p, 'Steps to begin' AS title FROM one JOIN two USING (doc_id) UNION ALL SELECT doc_id, p, 'Looking back at it' FROM two),
+starts AS (SELECT *, 0.95::DOUBLE AS confidence FROM explicit UNION ALL SELECT *, 0.8 FROM numbered UNION ALL SELECT *, 0.8 FROM listed),
+spans AS (SELECT doc_id, max(n)::INT AS l FROM pages GROUP BY doc_id)
+SELECT doc_id, (row_number() OVER w)::INT AS chapter_no, title, (CASE WHEN row_number() OVER w = 1 THEN 1 ELSE p END)::INT AS start_page, coalesce(lead(p) OVER w - 1, l)::INT AS end_page, confidence FROM starts JOIN spans USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+UNION ALL SELECT doc_id, 1, 'Uploaded book', 1, l, 0.35 FROM spans WHERE doc_id NOT IN (SELECT doc_id FROM starts)""")
 def chapter_discovery(spark, sf_dir):
     pages = readers.line_pages(table(spark, sf_dir, "documents"))
-    i, n = F.col("doc_id") % 3, F.col("page_no")
-    said = F.when((i == 0) & (n % 4 == 1), F.concat(F.lit("Chapter "), n.cast("string"), F.lit("\n"), "text")).when((i == 1) & (n % 3 == 1), F.concat(F.ceil(n / 3).cast("string"), F.lit(". Theme of this part\n"), "text")).otherwise(F.col("text"))
-    return chapters.discovered(pages.withColumn("text", said), book="doc_id")
+    i, n = F.col("doc_id") % 4, F.col("page_no")
+    said = (
+        F.when((i == 0) & (n % 4 == 1), F.concat(F.lit("Chapter "), n.cast("string"), F.lit(" Part "), F.floor(n / 8).cast("string"), F.lit("\n"), "text"))
+        .when((i == 1) & (n % 3 == 1), F.concat(F.ceil(n / 3).cast("string"), F.lit(". Theme of this part\n"), "text"))
+        .when((i == 2) & (n == 1), F.concat(F.lit("Course contents\n1. Steps to begin\n• Looking back at it.\n"), "text"))
+        .when((i == 2) & (n == 3), F.concat(F.lit("Steps to begin\n"), "text")).when((i == 2) & n.isin(2, 5), F.concat(F.lit("Looking back at it\n"), "text"))
+        .otherwise(F.col("text"))
+    )
+    return chapters.discovered(pages.withColumn("text", said), book="doc_id").withColumns({x: F.col(x).cast("int") for x in ("start_page", "end_page")})
 
 
 @query("""WITH b AS (SELECT s_nationkey AS grp, s_suppkey AS book_id, (s_suppkey % 12 + 1) AS weeks FROM supplier)
