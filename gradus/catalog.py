@@ -702,7 +702,13 @@ def semester_pack_capacity(spark, sf_dir):
     return _estimated(spark, sf_dir).groupBy("programme").agg(ordered.alias("h")).select("programme", workload.filled(F.col("h"), 120.0, 8).alias("terms"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ESTIMATE}, o AS (SELECT programme, topic_id, total_hours, row_number() OVER (PARTITION BY programme ORDER BY topic_id) AS i FROM h),
+w AS (SELECT programme, i, topic_id, 1 AS term, total_hours AS load, [topic_id] AS open FROM o WHERE i = 1
+  UNION ALL SELECT programme, i, topic_id, term + closes::INT, CASE WHEN closes THEN 0 ELSE load END + total_hours, CASE WHEN closes THEN [topic_id] ELSE list_append(open, topic_id) END
+  FROM (SELECT o.*, term, load, open, term < 8 AND ((o.topic_id % 7 = 0 AND list_has_any(open, [o.topic_id - 1, o.topic_id - 2]))
+    OR (load + total_hours > 120 AND NOT (o.topic_id % 5 = 0 AND list_contains(open, o.topic_id - 1)) AND NOT ((o.topic_id + 1) % 5 = 0 AND list_contains(open, o.topic_id + 1)))) AS closes
+    FROM w JOIN o ON o.programme = w.programme AND o.i = w.i + 1))
+SELECT programme, topic_id, term FROM w""")
 def semester_pack(spark, sf_dir):
     topics, i = _estimated(spark, sf_dir), F.col("topic_id")
     none = F.array().cast("array<bigint>")

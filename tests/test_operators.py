@@ -195,12 +195,21 @@ def test_graph(spark):
     assert graph.alternatives(["a", "b"], [("a", "b"), ("b", "a")], ["a", "b"]) == [["a", "b"], ["b", "a"]]
 
 
-def test_packing():
+def test_packing(spark):
     hours = {"a": 60.0, "b": 50.0, "c": 30.0, "d": 10.0}
-    assert workload.pack(["a", "b", "c", "d"], hours, {}, 120, 8, set()) == [["a", "b"], ["c", "d"]]
-    assert workload.pack(["a", "b", "c"], hours, {"b": ["a"]}, 120, 8, set()) == [["a"], ["b", "c"]]
-    assert workload.pack(["a", "b", "c"], hours, {}, 120, 8, {frozenset("bc")}) == [["a", "b", "c"]]
-    assert workload.pack(["a", "b", "c"], hours, {"b": ["a"], "c": ["b"]}, 120, 1, set()) == [["a", "b", "c"]]
+
+    def terms(order, parents, capacity, most, together):
+        rows = [("p", t, i, hours[t], parents.get(t, []), [y for x in together if t in x for y in x if y > t]) for i, t in enumerate(order)]
+        frame = spark.createDataFrame(rows, "programme string, topic_id string, position int, total_hours double, parents array<string>, keep_with array<string>")
+        found = {}
+        for r in workload.packed(frame, by="programme", capacity=capacity, most=most).collect():
+            found.setdefault(r.term, []).append(r.topic_id)
+        return [found[k] for k in sorted(found)]
+
+    assert terms(["a", "b", "c", "d"], {}, 120, 8, set()) == [["a", "b"], ["c", "d"]]
+    assert terms(["a", "b", "c"], {"b": ["a"]}, 120, 8, set()) == [["a"], ["b", "c"]]
+    assert terms(["a", "b", "c"], {}, 120, 8, {frozenset("bc")}) == [["a", "b", "c"]]
+    assert terms(["a", "b", "c"], {"b": ["a"], "c": ["b"]}, 120, 1, set()) == [["a", "b", "c"]]
 
 
 def test_overlap(spark):
