@@ -455,7 +455,7 @@ def retrieve_reranked(spark, sf_dir):
 
 _TERMS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z][a-z0-9+#-]{{2,}}')), lambda w: NOT list_contains(string_split('" + " ".join(X.STOPWORDS) + "', ' '), w))"
 GROUNDED = f"""{TOKENS}, h AS (
-  SELECT item_id, doc_id, score, doc_id % 6 <> 0 AS citable, {_TERMS.format('b.text')} AS qt2, {_TERMS.format('d.text')} AS pt FROM hits JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE item_id % 9 <> 0
+  SELECT item_id, doc_id, score, doc_id % 6 <> 0 AS citable, {_TERMS.format('b.text')} AS qt2, {_TERMS.format('d.text')} AS pt FROM hits JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)
 ), p AS (
   SELECT item_id, doc_id, score, round(CASE WHEN len(qt2) = 0 THEN 0 ELSE len(list_intersect(qt2, pt)) / len(qt2) END, 6) AS term_coverage FROM h WHERE citable
 ), kept AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM p WHERE term_coverage >= 0.34)"""
@@ -463,7 +463,7 @@ GROUNDED = f"""{TOKENS}, h AS (
 
 def _cited_hits(spark, sf_dir):
     asked, said = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    hits = _overlap_hits(spark, sf_dir).drop("rank").where("qid % 9 <> 0").join(asked, "qid").join(said, "doc_id")
+    hits = _overlap_hits(spark, sf_dir).drop("rank").join(asked, "qid").join(said, "doc_id")
     return hits.withColumn("citable", F.col("doc_id") % 6 != 0).withColumnRenamed("doc_id", "key")
 
 
@@ -473,11 +473,12 @@ def retrieve_grounded(spark, sf_dir):
     return found.select(F.col("qid").alias("item_id"), F.col("key").alias("doc_id"), "term_coverage", "rank", "passage_id")
 
 
-@query(f"""WITH {GROUNDED}, a AS (SELECT item_id, count(*) AS n, count(*) FILTER (citable) AS c FROM h GROUP BY item_id), k AS (SELECT item_id, count(*) AS m FROM kept GROUP BY item_id)
+# of every ninth item the search is taken to find nothing
+@query(f"""WITH {GROUNDED.replace('USING (doc_id)\n', 'USING (doc_id) WHERE item_id % 9 <> 0' + chr(10))}, a AS (SELECT item_id, count(*) AS n, count(*) FILTER (citable) AS c FROM h GROUP BY item_id), k AS (SELECT item_id, count(*) AS m FROM kept GROUP BY item_id)
 SELECT item_id, coalesce(m, 0) AS n_passages, CASE WHEN item_id % 10 = 1 THEN 'no_grant' WHEN coalesce(n, 0) = 0 THEN 'no_passages' WHEN c = 0 THEN 'uncitable' WHEN coalesce(m, 0) = 0 THEN 'no_grounding' END AS refusal
 FROM benchmark LEFT JOIN a USING (item_id) LEFT JOIN k USING (item_id)""")
 def retrieve_refusals(spark, sf_dir):
-    hits = _cited_hits(spark, sf_dir)
+    hits = _cited_hits(spark, sf_dir).where("qid % 9 <> 0")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
     found = retrieval.outcomes(queries, hits, retrieval.grounded(hits), granted=F.col("qid") % 10 != 1)
     return found.withColumnRenamed("qid", "item_id")
@@ -492,6 +493,14 @@ def evidence_gather(spark, sf_dir):
     return retrieval.merged_evidence(found, group="grp", keys=["key"], limit=6).select("grp", F.col("key").alias("doc_id"), "score", "passage_id")
 
 
+@query(f"""WITH {GROUNDED}, g AS (SELECT item_id // 5 AS grp, item_id AS seed, doc_id // 50 AS document, doc_id % 50 AS chunk, score, rank FROM kept),
+b AS (SELECT grp, document, chunk % 7 AS chunk, score, seed FROM g QUALIFY row_number() OVER (PARTITION BY grp, document, chunk % 7 ORDER BY score DESC, seed, rank) = 1)
+SELECT grp, document, chunk, score, seed, 'S' || (row_number() OVER (PARTITION BY grp ORDER BY score DESC, document, chunk))::VARCHAR AS passage_id FROM b QUALIFY row_number() OVER (PARTITION BY grp ORDER BY score DESC, document, chunk) <= 12""")
+def evidence_merge_places(spark, sf_dir):
+    found = retrieval.grounded(_cited_hits(spark, sf_dir)).withColumns({"grp": F.floor(F.col("qid") / 5), "seed": F.col("qid"), "document": F.floor(F.col("key") / 50), "chunk": F.col("key") % 50 % 7})
+    return retrieval.merged_evidence(found, group="grp", keys=["document", "chunk"], limit=6).select("grp", "document", "chunk", "score", "seed", "passage_id")
+
+
 @query(f"""WITH {GROUNDED}, c AS (SELECT item_id, unnest([0, 1, 2]) AS position, unnest(['S2', 'S1', 'S9']) AS passage_id FROM benchmark)
 SELECT item_id, position::INT AS position, c.passage_id, doc_id, doc_id IS NOT NULL AS known FROM c LEFT JOIN (SELECT item_id, doc_id, 'S' || rank::VARCHAR AS passage_id FROM kept) k USING (item_id, passage_id)""")
 def resolve_citations(spark, sf_dir):
@@ -640,10 +649,6 @@ SELECT DISTINCT grp, a AS node FROM r WHERE a = b""")
 def dag_cycles(spark, sf_dir):
     node = lambda x: F.concat("s_nationkey", F.lit(":"), x)
     rows = table(spark, sf_dir, "supplier").select("s_nationkey", (F.col("s_suppkey") % 10).alias("c"), ((F.col("s_suppkey") * 7) % 10).alias("p")).where("c <> p")
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     found = graph.in_cycle(rows.select(node("c").alias("child"), node("p").alias("parent")))
     return found.select(F.split("node", ":")[0].cast("int").alias("grp"), F.split("node", ":")[1].cast("long").alias("node"))
 
@@ -909,6 +914,14 @@ def generation_replace(spark, sf_dir):
     return sinks.latest_generation(rows, keys=("doc_id",), generation="version")
 
 
+@query("""WITH g AS (SELECT doc_id, unnest(range(1, doc_id % 3 + 2)) AS n FROM documents)
+SELECT doc_id, n::INT AS committed, md5(doc_id::VARCHAR || ':' || n::VARCHAR) AS ingestion_id FROM g QUALIFY n = max(n) OVER (PARTITION BY doc_id)""")
+def generation_replace_random_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 3 + 1).cast("int"))).alias("committed"))
+    rows = rows.withColumn("ingestion_id", F.md5(F.concat_ws(":", "doc_id", "committed")))
+    return sinks.latest_generation(rows, keys=("doc_id",), committed="committed")
+
+
 @query(f"WITH {LINES} SELECT document_id, chunk_index::INT AS chunk_index FROM lines WHERE NOT (user_id = 'u1' AND document_id % 10 = 1 AND chunk_index % 2 = 0)")
 def delete_scoped(spark, sf_dir):
     rows = line_chunks(spark, sf_dir).withColumn("ingestion_id", F.when(F.col("chunk_index") % 2 == 1, "new"))

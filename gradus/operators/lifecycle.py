@@ -49,9 +49,13 @@ def owned_or_null(payload: Column, owner: Column, tenant: Column) -> Column:
 
 def donors(wanted: DataFrame, courses: DataFrame, *, key: str = "course_id") -> DataFrame:
     """(key, donor): the earliest finished other course of equal fingerprint and plan."""
-    there = courses.where(F.col("finished")).select(F.col(key).alias("donor"), "fingerprint", "total_weeks")
-    met = wanted.select(key, "fingerprint", "total_weeks").join(there, ["fingerprint", "total_weeks"]).where(F.col("donor") != F.col(key))
-    return met.groupBy(key).agg(F.min("donor").alias("donor"))
+    plan = ["fingerprint", "total_weeks"]
+    there = courses.where(F.col("finished")).select(F.col(key).alias("donor"), *plan)
+    first = there.groupBy(*plan).agg(F.min("donor").alias("first"))
+    # a course that is itself the earliest takes the second: two rows a plan, whatever the number of courses
+    second = there.join(first, plan).where("donor > first").groupBy(*plan).agg(F.min("donor").alias("second"))
+    met = wanted.select(key, *plan).join(first.join(second, plan, "left"), plan)
+    return met.select(key, F.when(F.col(key) == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("donor")).where("donor IS NOT NULL").distinct()
 
 
 def resumable(manifest_hash: Column, manifest_weeks: Column, source_hash: Column, weeks: Column) -> Column:

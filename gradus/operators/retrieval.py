@@ -41,9 +41,11 @@ def postings(docs: DataFrame, terms: Column, *, key: str = "doc_id") -> DataFram
     return docs.select(key, terms.alias("__terms")).select(key, F.size("__terms").alias("size"), F.explode("__terms").alias("term"))
 
 
-def _query_terms(queries: DataFrame, terms: Column, qid: str) -> DataFrame:
+def _query_terms(queries: DataFrame, terms: Column, qid: str) -> tuple[DataFrame, DataFrame]:
+    """(qid, qsize, term) of the queries, and their distinct terms; both are broadcast where they are few enough, else joined by shuffle."""
     rows = queries.select(F.col(qid).alias("qid"), terms.alias("__t")).select("qid", F.size("__t").alias("qsize"), F.explode("__t").alias("term"))
-    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
+    wanted = rows.select("term").distinct()
+    return (F.broadcast(rows), F.broadcast(wanted)) if rows.count() <= BROADCAST_TERMS else (rows, wanted)
 
 
 def top(scored: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame:
@@ -54,7 +56,7 @@ def top(scored: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataF
 
 def token_overlap(queries: DataFrame, docs: DataFrame, *, qid: str = "item_id", key: str = "doc_id", body: str = "text", k: int = LIMIT, floor: float = FLOOR) -> DataFrame:
     """(qid, key, overlap, score, rank): shared tokens over the root of both sizes, from ``floor`` up."""
-    asked = _query_terms(queries, X.tokens(F.col(body)), qid)
+    asked, _ = _query_terms(queries, X.tokens(F.col(body)), qid)
     met = postings(docs, X.tokens(F.col(body)), key=key).join(asked, "term")
     counted = met.groupBy("qid", key, "qsize", "size").agg(F.count("*").alias("overlap"))
     score = F.round(X.token_score(F.col("overlap"), F.col("qsize"), F.col("size")), 6)
@@ -63,11 +65,10 @@ def token_overlap(queries: DataFrame, docs: DataFrame, *, qid: str = "item_id",
 
 def bm25(queries: DataFrame, docs: DataFrame, *, qid: str = "item_id", key: str = "doc_id", body: str = "text", k: int = LIMIT, k1: float = 1.2, b: float = 0.75, idf: bool = True) -> DataFrame:
     """(qid, key, score, rank) by BM25; ``idf=False`` ranks by saturated term frequencies alone."""
-    asked = _query_terms(queries, X.tokens(F.col(body)), qid)
+    asked, wanted = _query_terms(queries, X.tokens(F.col(body)), qid)
     split = docs.select(key, F.regexp_extract_all(F.lower(body), F.lit(X.TOKEN), F.lit(0)).alias("words"))
     stats = split.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
-    wanted = asked.select("term").distinct()
-    found = split.select(key, F.size("words").alias("length"), F.explode("words").alias("term")).join(F.broadcast(wanted), "term", "left_semi")
+    found = split.select(key, F.size("words").alias("length"), F.explode("words").alias("term")).join(wanted, "term", "left_semi")
     tf = found.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if idf else F.lit(1.0)
@@ -124,9 +125,9 @@ def fused(branches: list[DataFrame], *, by: list[str], key: str, k: int = LIMIT,
     return top(summed, by, "score", key, k)
 
 
-def deduplicated(hits: DataFrame, *, by: list[str], key: str, score: str = "score", arrival: list[str]) -> DataFrame:
-    """The best hit of each id; of equal scores the first to arrive."""
-    order = Window.partitionBy(*by, key).orderBy(F.desc(score), *arrival)
+def deduplicated(hits: DataFrame, *, by: list[str], key: str | list[str], score: str = "score", arrival: list[str]) -> DataFrame:
+    """The best hit of each id (one column or several); of equal scores the first to arrive."""
+    order = Window.partitionBy(*by, *([key] if isinstance(key, str) else key)).orderBy(F.desc(score), *arrival)
     return hits.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
@@ -198,7 +199,7 @@ def outcomes(queries: DataFrame, hits: DataFrame, passages: DataFrame, *, grante
 
 def merged_evidence(passages: DataFrame, *, group: str, keys: list[str], limit: int) -> DataFrame:
     """Evidence of all seeds of a group: the best passage of each place, renumbered, ``2 * limit`` at most."""
-    best = deduplicated(passages, by=[group], key=keys[0], arrival=["seed", "rank"]) if len(keys) == 1 else passages.dropDuplicates([group, *keys])
+    best = deduplicated(passages, by=[group], key=keys, arrival=["seed", "rank"])
     order = Window.partitionBy(group).orderBy(F.desc("score"), *keys)
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * limit)
     return ranked.withColumn("passage_id", F.concat(F.lit("S"), F.col("rank").cast("string")))

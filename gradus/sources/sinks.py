@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def append(points: DataFrame, path: str, tenant: str = "user_id") -> None:
@@ -13,9 +14,16 @@ def append(points: DataFrame, path: str, tenant: str = "user_id") -> None:
     points.write.mode("append").partitionBy(tenant).parquet(path)
 
 
-def latest_generation(points: DataFrame, *, keys: tuple[str, ...] = ("user_id", "document_id"), generation: str = "ingestion_id") -> DataFrame:
-    """Rows of the last generation of each key: what replacing by key leaves."""
-    newest = points.groupBy(*keys).agg(F.max(generation).alias("__newest"))
+def latest_generation(points: DataFrame, *, keys: tuple[str, ...] = ("user_id", "document_id"), generation: str = "ingestion_id", committed: str | None = None) -> DataFrame:
+    """Rows of the last generation of each key: what replacing by key leaves.
+
+    ``committed`` (a time or a sequence number) tells which generation came last: one counts from its last row on,
+    one without a time is the oldest, and the id breaks ties. Only numbers may stand for their own order.
+    """
+    if committed is None and not isinstance(points.schema[generation].dataType, T.NumericType):
+        raise ValueError(f"the order of {generation} is not that of commits: name a column of commit times")
+    at = generation if committed is None else committed
+    newest = points.groupBy(*keys).agg(F.max_by(generation, F.struct(F.col(at).isNotNull(), at, generation)).alias("__newest"))
     same = reduce(lambda a, b: a & b, (points[k].eqNullSafe(newest[k]) for k in keys)) & points[generation].eqNullSafe(newest["__newest"])
     return points.join(newest, same, "left_semi")
 

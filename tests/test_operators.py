@@ -195,6 +195,26 @@ def test_graph(spark):
     assert graph.alternatives(["a", "b"], [("a", "b"), ("b", "a")], ["a", "b"]) == [["a", "b"], ["b", "a"]]
 
 
+def test_depths_of_many_paths(spark):
+    """A ladder of diamonds has 2^40 paths, and a round is a set of nodes."""
+    edges = spark.createDataFrame([(3 * i + k, 3 * i + j) for i in range(12) for j, k in ((0, 1), (0, 2), (1, 3), (2, 3))], "child int, parent int")
+    got = {r.node: r.depth for r in graph.depths(edges, spark.range(40).select(F.col("id").cast("int").alias("node"))).collect()}
+    assert got[36] == 24 and got[1] == 1 and got[39] == 0
+    with pytest.raises(ValueError, match="cycle"):
+        graph.depths(spark.createDataFrame([(1, 2), (2, 1), (1, 0)], "child int, parent int"), spark.range(3).select(F.col("id").cast("int").alias("node")))
+
+
+def test_merged_evidence_by_two_keys(spark):
+    rows = [(1, "d", c, s, 0.9 if s == 2 else 0.1, 1, "t") for c in range(3) for s in range(3)]
+    found = retrieval.merged_evidence(spark.createDataFrame(rows, "g int, document_id string, chunk int, seed int, score double, rank int, content string"), group="g", keys=["document_id", "chunk"], limit=5)
+    assert sorted((r.chunk, r.score, r.passage_id) for r in found.collect()) == [(0, 0.9, "S1"), (1, 0.9, "S2"), (2, 0.9, "S3")]
+
+
+def test_donors(spark):
+    courses = spark.createDataFrame([(1, 7, 3, True), (2, 7, 3, True), (3, 7, 3, True), (4, 7, 4, True), (5, 8, 3, False)], "course_id int, fingerprint int, total_weeks int, finished boolean")
+    assert {r.course_id: r.donor for r in lifecycle.donors(courses, courses).collect()} == {1: 2, 2: 1, 3: 1}
+
+
 def test_packing(spark):
     hours = {"a": 60.0, "b": 50.0, "c": 30.0, "d": 10.0}
 
@@ -255,6 +275,10 @@ def test_sources(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("u", "d", 1, "x"), ("u", "d", 2, "y"), ("u", "e", 1, "z")], "user_id string, document_id string, ingestion_id int, content string")
     assert sorted(r.content for r in sinks.latest_generation(rows).collect()) == ["y", "z"]
+    random = spark.createDataFrame([("u", "d", "f3b0-old", 1), ("u", "d", "0a11-new", 2), ("u", "d", "zz", None), ("u", None, "x", None)], "user_id string, document_id string, ingestion_id string, at int")
+    assert sorted(r.ingestion_id for r in sinks.latest_generation(random, committed="at").collect()) == ["0a11-new", "x"]
+    with pytest.raises(ValueError, match="commit"):
+        sinks.latest_generation(random)
     new = spark.createDataFrame([("u", "e", 5, "w")], rows.schema)
     assert sorted(r.content for r in sinks.replaced(rows, new).collect()) == ["w", "x", "y"]
     sinks.append(rows, str(tmp_path / "p"))
