@@ -21,10 +21,13 @@ similar set wherever a relation between sets allows it:
    verified exactly.
 
 The sketch only orders shingles and the bands only propose; neither affects results. Shingles are
-compared as 64-bit hashes.
+compared as 64-bit hashes of their words, a word's being a polynomial of its bytes modulo 2^64: texts made to
+collide (known for such polynomials) can pass for equal words; the chance for others is about one in 2^60 a pair.
 
 Verification ships each text once for each leader it is held against: pairs are dealt by leader, with
-followers of a hot leader salted over tasks, and streamed; no task holds a group.
+followers of a hot leader salted over tasks, and streamed; no task holds a group. The list of a shingle that
+the sketch counts often is dealt out in parts, one for each pair of salts, and rows of an id that many pairs
+have are salted wherever they are joined.
 
 Defined results: null, empty and wordless texts have empty sets and link with nothing; a text of
 fewer than five words is one shingle; ties and equal rows link (they are equal sets); rows of null
@@ -50,8 +53,12 @@ BANDS = 4
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 #: Rows of (id, label) that may be broadcast: 24 bytes each, so 48 MB at most; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of parity vectors that may be broadcast.
+BROADCAST_BYTES = 48_000_000
 #: Followers of one leader that a task is dealt.
 FOLLOWERS = 256
+#: Sets that list a shingle, by the sketch, from which on its list is dealt out in parts.
+LIST = 20_000
 BLOCK = 64
 _SEEDS = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
@@ -85,13 +92,47 @@ def _fold(parity: bytes, size: int) -> int:
     return value
 
 
-def _plausible(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _small(rows: DataFrame, bound: int) -> DataFrame:
+    """``rows``, to be broadcast if they are at most ``bound``."""
+    return F.broadcast(rows) if rows.count() <= bound else rows
+
+
+def _of_pairs(rows: DataFrame, pairs: DataFrame, bound: int) -> DataFrame:
+    """The ``rows`` whose id is one of a pair's."""
+    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    return rows.join(_small(ids, bound), "id", "left_semi")
+
+
+def _attached(pairs: DataFrame, values: DataFrame, key: str, broadcast: bool, bound: int) -> DataFrame:
+    """``pairs`` with the columns of ``values`` (id, ...) of their ``key``, a or b.
+
+    Ids of many pairs would send all of them to one task: unless ``values`` is broadcast, such ids are
+    salted by the other id of the pair, and their values copied to each salt.
+    """
+    values = values.withColumnRenamed("id", key)
+    if broadcast:
+        return pairs.join(F.broadcast(values), key)
+    hot = _small(_fans(pairs, key), bound)
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b" if key == "a" else "a"), F.col("salts"))).cast("int")
+    left = pairs.join(hot, key, "left").withColumn("salt", salt).drop("salts")
+    right = values.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
+def _fans(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, salts) of the ids that more than FOLLOWERS pairs have: a small part of the pairs."""
+    counted = pairs.groupBy(key).agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("salts"))
+    return cut(counted.where("salts > 1"))
+
+
+def _plausible(rows: DataFrame, pairs: DataFrame, percent: int, bound: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose parity vectors do not rule a link out; ``rows`` has (id, size, parity)."""
-    needed = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    held = rows.select("id", "size", "parity").join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "id")
+    held = cut(_of_pairs(rows.select("id", "size", "parity"), pairs, bound))
+    weight = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("parity")), F.lit(0)).alias("bytes")).first()
     sides = pairs
     for x in ("a", "b"):
-        sides = sides.join(held.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("parity").alias(f"p{x}")), x)
+        own = held.select("id", F.col("size").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+        sides = _attached(sides, own, x, weight["n"] <= bound and weight["bytes"] <= BROADCAST_BYTES, bound)
 
     def over(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -195,18 +236,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = state
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, bound: int = BROADCAST_ROWS) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts in ``docs`` (id, text) link; a leads, b follows."""
-    fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("salts"))
-    dealt = pairs.join(fans, "a")
+    hot = _small(_fans(pairs, "a"), bound)
+    leaders = pairs.select("a").distinct().join(hot, "a", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    dealt = pairs.join(hot, "a", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     needed = cut(
-        fans.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(0).alias("role"))
+        leaders.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(0).alias("role"))
         .unionByName(dealt.select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"), F.lit(1).alias("role")))
     )
-    if needed.count() <= BROADCAST_ROWS:
-        texts = docs.join(F.broadcast(needed), "id")
-    else:
-        texts = docs.join(needed, "id")
+    texts = docs.join(_small(needed, bound), "id")
 
     def hold(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone()
@@ -229,15 +268,20 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
     return dealt.mapInArrow(hold, "a long, b long")
 
 
-def _entries(labelled: DataFrame, levels, percent: int) -> DataFrame:
-    """(shingle, size, place, id, label) of each prefix shingle of each set; equal sets of a task are listed once."""
-    names = ["shingle", "size", "place", "id", "label"]
+def _entries(labelled: DataFrame, levels, percent: int, list_rows: int) -> DataFrame:
+    """(shingle, deal, size, place, id, label) of each prefix shingle of each set; equal sets of a task are listed once.
+
+    ``deal`` is WHOLE for ordinary lists. The list of a shingle that the sketch counts over ``list_rows`` times is split
+    into k salts by id, and each pair of salts, a salt with itself included, is a part of its own, so that no task holds
+    the list: an entry goes to its k parts, and ``deal`` is 3 * part + side, the side being 2 where both salts are one.
+    """
+    names = ["shingle", "deal", "size", "place", "id", "label"]
 
     def over(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone()
         table, known = levels.value, set()
         for batch in source:
-            parts, sizes, places, rows = [], [], [], []
+            parts, sizes, places, rows, ranks = [], [], [], [], []
             for i, own in enumerate(sets(batch.column(1).to_pylist())):
                 n = len(own)
                 mark = (n, own.sum(dtype=np.uint64), mix(own).sum(dtype=np.uint64)) if n else None
@@ -246,25 +290,47 @@ def _entries(labelled: DataFrame, levels, percent: int) -> DataFrame:
                 known.add(mark)
                 level = table[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 if level.any():
-                    own = own[np.argsort(level, kind="stable")]
+                    order = np.argsort(level, kind="stable")
+                    own, level = own[order], level[order]
                 p = prefix_length(n, percent)
                 parts.append(own[:p])
+                ranks.append(level[:p])
                 sizes.append(n)
                 places.append(p)
                 rows.append(i)
             if parts:
                 ids, labels = (np.array(batch.column(c).to_numpy(zero_copy_only=False))[rows] for c in (0, 2))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(_signed(np.concatenate(parts))), pa.array(np.repeat(np.array(sizes, dtype=np.int32), places)),
-                    pa.array(np.concatenate([np.arange(p, dtype=np.int32) for p in places])),
-                    pa.array(np.repeat(ids, places), pa.int64()), pa.array(np.repeat(labels, places), pa.int64()),
-                ], names=names)
+                columns = [
+                    _signed(np.concatenate(parts)), np.repeat(np.array(sizes, dtype=np.int32), places),
+                    np.concatenate([np.arange(p, dtype=np.int32) for p in places]), np.repeat(ids, places).astype(np.int64), np.repeat(labels, places).astype(np.int64),
+                ]
+                salts = -(-np.concatenate(ranks).astype(np.int64) // list_rows)
+                deal = np.full(len(salts), WHOLE, dtype=np.int64)
+                split = np.flatnonzero(salts > 1)
+                if len(split):
+                    columns, deal = _split(columns, deal, split, salts[split])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(deal), *map(pa.array, columns[1:])], names=names)
+
+    return labelled.select("id", "text", "label").mapInArrow(over, "shingle long, deal long, size int, place int, id long, label long")
+
 
-    return labelled.select("id", "text", "label").mapInArrow(over, "shingle long, size int, place int, id long, label long")
+#: The deal of entries of lists that are not split: part 0, all on one side.
+WHOLE = 2
 
 
-def _probe(size: np.ndarray, place: np.ndarray, ident: np.ndarray, label: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(earlier ids, later ids) of the pairs of one list, sorted by size, that neither relations nor bounds rule out."""
+def _split(columns: list[np.ndarray], deal: np.ndarray, at: np.ndarray, salts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The entries with those ``at`` replaced by a copy for each part of their list that their salt is in."""
+    own = np.repeat((mix(columns[3][at].view(np.uint64)) % salts.astype(np.uint64)).astype(np.int64), salts)
+    many, source = np.repeat(salts, salts), np.repeat(at, salts)
+    other = np.arange(len(source)) - np.repeat(np.cumsum(salts) - salts, salts)
+    part = 1 + np.minimum(own, other) * many + np.maximum(own, other)
+    side = np.where(own == other, 2, (own > other).astype(np.int64))
+    rest = np.delete(np.arange(len(deal)), at)
+    return [np.concatenate([x[rest], x[source]]) for x in columns], np.concatenate([deal[rest], 3 * part + side])
+
+
+def _probe(size: np.ndarray, place: np.ndarray, ident: np.ndarray, label: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(earlier ids, later ids) of the pairs of one list or part, sorted by size, that neither relations nor bounds rule out."""
     rest = size - place  # shared shingles at most, from this place on
     edges = np.arange(0, len(size), BLOCK)
     low, high = np.minimum.reduceat(label, edges), np.maximum.reduceat(label, edges)
@@ -278,6 +344,7 @@ def _probe(size: np.ndarray, place: np.ndarray, ident: np.ndarray, label: np.nda
         for k in alive[(alive >= first // BLOCK) & (alive * BLOCK < j)]:
             s, e = max(first, k * BLOCK), min(j, (k + 1) * BLOCK)
             ok = (label[s:e] != label[j]) & (np.minimum(rest[s:e], rest[j]) >= least_overlap(size[s:e] + size[j], percent))
+            ok &= (side[s:e] != side[j]) | (side[j] == 2)
             if ok.any():
                 found = ident[s:e][ok]
                 yield found, np.full(len(found), ident[j])
@@ -289,13 +356,13 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
     def over(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
         for batch in _and_end(source):
-            columns = [] if batch is None else [np.asarray(batch.column(i)) for i in range(5)]
+            columns = [] if batch is None else [np.asarray(batch.column(i)) for i in range(6)]
             if kept is not None:
                 columns = [np.concatenate(x) for x in zip(kept, columns, strict=True)] if columns else kept
             if not columns or not len(columns[0]):
                 continue
-            token = columns[0]
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            token, part = columns[0], columns[1] // 3
+            starts = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (part[1:] != part[:-1])]))
             if batch is None:
                 kept = None
             else:  # the last list may go on in the next batch
@@ -303,16 +370,17 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
                 columns, starts = [x[: starts[-1]] for x in columns], starts[:-1]
             if not len(starts):
                 continue
-            _, size, place, ident, label = columns
+            _, deal, size, place, ident, label = columns
             mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
             ends = np.append(starts[1:], len(label))
-            found = [pair for s, e in zip(starts[mixed], ends[mixed], strict=True) for pair in _probe(size[s:e].astype(np.int64), place[s:e], ident[s:e], label[s:e], percent)]
+            found = [pair for s, e in zip(starts[mixed], ends[mixed], strict=True) for pair in _probe(size[s:e].astype(np.int64), place[s:e], ident[s:e], label[s:e], deal[s:e] % 3, percent)]
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    listed = entries.repartition("shingle").sortWithinPartitions("shingle", "size", "place", "id")
+    part = F.floor(F.col("deal") / 3)
+    listed = entries.repartition("shingle", part).sortWithinPartitions("shingle", part, "size", "place", "id")
     return listed.mapInArrow(over, "a long, b long").distinct()
 
 
@@ -321,8 +389,11 @@ def _and_end(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None
     yield None
 
 
-def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, class_id, component_id) of every row: the smallest id of its equal sets, and of all it links to by links."""
+def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, bound: int = BROADCAST_ROWS, list_rows: int = LIST) -> DataFrame:
+    """(key, n_shingles, class_id, component_id) of every row: the smallest id of its equal sets, and of all it links to by links.
+
+    At most ``bound`` rows are broadcast, and lists over ``list_rows`` are split; neither affects the result.
+    """
     spark = ready(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     profile = cut(_profile(source))
@@ -342,23 +413,21 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
         .groupBy(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("votes"))
         .groupBy("b").agg(F.max_by("a", F.struct(F.col("votes"), -F.col("a"))).alias("a"))
     )
-    near = components(verified(source, cut(_plausible(rows, cut(votes.select("a", "b")), percent)), percent))
+    near = components(verified(source, cut(_plausible(rows, cut(votes.select("a", "b")), percent, bound)), percent, bound))
 
     # index lists: only pairs of different labels are left to decide
     labels = classes.select("size", "one", "two", "rep").join(near, F.col("rep") == F.col("node"), "left")
     labels = labels.select("size", "one", "two", "rep", F.coalesce("root", "rep").alias("label"))
     of_rows = cut(full.select("id", "size", "one", "two").distinct().join(labels, ["size", "one", "two"]).select("id", "rep", "label"))
     moved = of_rows.where("id <> label").groupBy("id").agg(F.min("label").alias("label"))
-    if moved.count() <= BROADCAST_ROWS:
-        moved = F.broadcast(moved)
-    labelled = source.where("id IS NOT NULL").join(moved, "id", "left").select("id", "text", F.coalesce("label", "id").alias("label"))
-    pairs = cut(_candidates(_entries(labelled, levels, percent), percent))
-    late = cut(verified(source, cut(_plausible(rows, pairs, percent)), percent))
-    by_id = of_rows.groupBy("id").agg(F.min("label").alias("label"))
-    crossing = (
-        late.join(by_id.select(F.col("id").alias("a"), F.col("label").alias("x")), "a")
-        .join(by_id.select(F.col("id").alias("b"), F.col("label").alias("y")), "b").select("x", "y")
-    )
+    labelled = source.where("id IS NOT NULL").join(_small(moved, bound), "id", "left").select("id", "text", F.coalesce("label", "id").alias("label"))
+    pairs = cut(_candidates(_entries(labelled, levels, percent, list_rows), percent))
+    late = cut(verified(source, cut(_plausible(rows, pairs, percent, bound)), percent, bound))
+    by_id = cut(_of_pairs(of_rows.groupBy("id").agg(F.min("label").alias("label")), late, bound))
+    few = by_id.count() <= bound
+    crossing = late
+    for x, y in (("a", "x"), ("b", "y")):
+        crossing = _attached(crossing, by_id.withColumnRenamed("label", y), x, few, bound)
     merged = components(crossing, "x", "y")
     final = of_rows.groupBy("id").agg(F.min("rep").alias("rep"), F.min("label").alias("label")).join(merged, F.col("label") == F.col("node"), "left")
     final = final.select("id", "rep", F.coalesce("root", "label").alias("component"))
@@ -368,13 +437,11 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     )
 
 
-def first_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def first_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, bound: int = BROADCAST_ROWS) -> DataFrame:
     """One row of ``docs`` of each component, that of smallest id; rows without words or id all stay."""
-    found = cut(linked(docs.select(key, text), key=key, text=text, percent=percent))
+    found = cut(linked(docs.select(key, text), key=key, text=text, percent=percent, bound=bound))
     dropped = found.where(F.col("component_id") != F.col(key)).select(key).distinct()
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    kept = docs.join(dropped, key, "left_anti").select(*docs.columns)
+    kept = docs.join(_small(dropped, bound), key, "left_anti").select(*docs.columns)
     if found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
         return kept
     # repeated ids: copies of one document

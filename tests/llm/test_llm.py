@@ -453,6 +453,21 @@ def test_jaccard(spark):
     assert sorted(r.doc_id for r in jaccard.first_of_each(again.unionByName(again)).collect()) == sorted(r.doc_id for r in jaccard.first_of_each(again).collect())
 
 
+def test_jaccard_at_every_bound(spark, monkeypatch):
+    """Joins by shuffle, salted ids and split lists give the components of brute force, with lists longer than a block."""
+    rng = random.Random(21)
+    notice = " ".join(f"n{i}" for i in range(30))
+    body = [" ".join(f"b{i}" for i in range(k, k + 12)) for k in range(6)]
+    texts = [f"{rng.choice(body)} {notice} t{rng.randint(0, 40)}" for _ in range(150)] + [f"{notice} {' '.join(f'x{rng.randint(0, 9)}' for _ in range(rng.randint(1, 14)))}" for _ in range(60)]
+    want = {i: c for i, (_, c) in enumerate(brute_components(texts))}
+    assert 1 < len(set(want.values())) < len(texts)
+    docs = frame(spark, texts)
+    monkeypatch.setattr(jaccard, "FOLLOWERS", 4)
+    for bound, list_rows in ((0, 8), (jaccard.BROADCAST_ROWS, 8), (0, jaccard.LIST)):
+        assert {r.doc_id: r.component_id for r in jaccard.linked(docs, bound=bound, list_rows=list_rows).collect()} == want, (bound, list_rows)
+    assert {r.doc_id for r in jaccard.first_of_each(docs, bound=0).collect()} == set(want.values())
+
+
 def test_jaccard_empty_and_null_ids(spark):
     assert jaccard.linked(empty(spark)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
