@@ -66,8 +66,24 @@ def _small(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def _judge(source: DataFrame, benchmark: DataFrame, item: str, item_text: str) -> tuple[DataFrame, DataFrame]:
-    """Of ``source`` (id, text, mark): (id, mark, n_words) of its distinct rows, and (id, mark, spans, items) of those with hits."""
+#: Tasks that the occurrences of one fingerprint or window are dealt to where benchmarks are too large to broadcast.
+SALTS = 16
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id", "mark"), F.lit(SALTS)).cast("int"))
+
+
+def _each_salt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _judge(source: DataFrame, benchmark: DataFrame, item: str, item_text: str, bound: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Of ``source`` (id, text, mark): (id, mark, n_words) of its distinct rows, and (id, mark, spans, items) of those with hits.
+
+    Up to ``bound`` fingerprints and windows are broadcast. Beyond, both joins are by shuffle: documents without
+    fingerprints stay out of them, and the occurrences of a common one are salted by document.
+    """
     given = cut(
         benchmark.select(F.col(item).alias("item"), _exact(F.col(item_text)).alias("words"))
         .where(F.size("words") > 0)
@@ -80,23 +96,36 @@ def _judge(source: DataFrame, benchmark: DataFrame, item: str, item_text: str) -
     prints = _fingerprints(given.select("words").where(F.size("words") >= WINDOW), []).select(F.explode("prints").alias("print"))
     for n in short:
         prints = prints.unionByName(given.where(F.size("words") == n).select(F.explode(_grams("words", n)).alias("print")))
-    prints = _small(cut(prints.distinct().withColumn("met", F.lit(True))), BROADCAST_ROWS)
+    prints = cut(prints.distinct())
+    windows = cut(windows)
+    few = prints.count() <= bound and windows.count() <= bound
 
     split = source.select("id", "mark", _exact(F.col("text")).alias("words"))
-    printed = _fingerprints(split, short).select("id", "mark", F.size("words").cast("long").alias("n_words"), F.explode_outer("prints").alias("print"))
-    met = printed.join(prints, "print", "left")
-    judged = cut(met.groupBy("id", "mark", "n_words").agg(F.coalesce(F.bool_or("met"), F.lit(False)).alias("met")))
-
-    suspects = _small(judged.where("met").select("id", "mark"), CANDIDATE_ROWS)
+    n_words = F.size("words").cast("long").alias("n_words")
+    printed = _fingerprints(split, short)
+    if few:
+        each = printed.select("id", "mark", n_words, F.explode_outer("prints").alias("print"))
+        met = each.join(F.broadcast(prints.withColumn("met", F.lit(True))), "print", "left")
+        judged = met.groupBy("id", "mark", "n_words").agg(F.coalesce(F.bool_or("met"), F.lit(False)).alias("met"))
+    else:
+        each = _salted(printed.select("id", "mark", F.explode("prints").alias("print")))
+        met = each.join(_each_salt(prints), ["print", "salt"], "left_semi").select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+        counted = split.select("id", "mark", n_words).distinct()
+        judged = counted.join(met, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left")
+        judged = judged.select("id", "mark", "n_words", F.col("__mark").isNotNull().alias("met"))
+    judged = cut(judged)
+
+    suspects = _small(judged.where("met").select("id", "mark"), CANDIDATE_ROWS if few else bound)
     same = source["id"].eqNullSafe(suspects["id"]) & (source["mark"] == suspects["mark"])
     exact = source.join(suspects, same, "left_semi").select("id", "mark", _exact(F.col("text")).alias("words"))
     found = []
-    windows = _small(cut(windows), BROADCAST_ROWS)
     for n in sorted({*short, WINDOW}):
         spots = exact.where(F.size("words") >= n).select("id", "mark", F.posexplode(F.expr(
             f"transform(sequence(1, size(words) - {n - 1}), i -> array_join(slice(words, i, {n}), ' '))"
         )).alias("at", "window"))
-        found.append(spots.join(windows.where(F.col("length") == n), "window").select("id", "mark", "item", "at", (F.col("at") + n).alias("end")))
+        of_length = windows.where(F.col("length") == n)
+        spotted = spots.join(F.broadcast(of_length), "window") if few else _salted(spots).join(_each_salt(of_length), ["window", "salt"])
+        found.append(spotted.select("id", "mark", "item", "at", (F.col("at") + n).alias("end")))
     spotted = found[0]
     for more in found[1:]:
         spotted = spotted.unionByName(more)
@@ -120,10 +149,10 @@ def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", bound: int = BROADCAST_ROWS) -> DataFrame:
     """(key, n_words, spans, items) of every row: spans are [first word, end word), items the ids with occurring windows."""
     source = _marked(docs, key, text)
-    judged, hit = _judge(source, benchmark, item, item_text)
+    judged, hit = _judge(source, benchmark, item, item_text, bound)
     if judged.count() < source.select("id").count():  # repeated rows stay rows
         copies = source.groupBy("id", "mark").agg(F.count("*").alias("copies"))
         one = (F.col("j.id").eqNullSafe(F.col("c.id"))) & (F.col("j.mark") == F.col("c.mark"))

@@ -8,8 +8,9 @@ noisy-or is maximised with a ridge penalty, and the fitted sentence probabilitie
 offending sentences. Features enter by their counts: those much more frequent in toxic documents
 (likelihood-ratio test), of each chain of prefixes the most telling.
 
-The fit takes at most ``sample`` labelled documents of each label, those of smallest key hash (the
-documented bound); scoring covers every row and every sentence of it.
+The fit takes at most ``sample`` labelled documents of each label, those of smallest key hash, and of these as
+many as have ``most_bytes`` of text together (the documented bounds); an id that is repeated counts once, by its
+smallest text. Scoring covers every row and every sentence of it.
 
 Defined results: null, empty and wordless texts hold no sentence and score 0; equal texts score
 equally; without toxic labels every score is 0; an empty table gives an empty result; further
@@ -25,14 +26,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, ready
+from .common import batches, cut, ready
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 PREFIXES = range(4, 9)
+#: Bytes of the labelled texts of one label that come to the driver at most.
+SAMPLE_BYTES = 32_000_000
 SAMPLE, MAX_FEATURES, LEAST_HITS, LEAST_GAIN = 2000, 4096, 3, 20.0
 #: Share of toxic labels taken as errors: a document without evidence must not bend the weights.
 NOISE = 0.02
@@ -169,14 +172,19 @@ def train(texts: list[str], toxic: list[bool], *, ridge: float = RIDGE, rounds:
     return Model({f: float(v) for f, v in zip(chosen, w, strict=True) if v > 0.05}, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
     """Train on the sampled rows of ``docs`` that ``labels`` (key, label 0/1) marks."""
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("label"))
     order = (F.xxhash64(key), F.col(key))
     picked = marks.where("label = 1").orderBy(*order).limit(sample).unionByName(marks.where("label = 0").orderBy(*order).limit(sample))
-    rows = docs.select(key, text).join(F.broadcast(picked), key).dropDuplicates([key]).select(key, text, "label").collect()  # 2 * sample rows
-    rows.sort(key=lambda r: (r[key], r[text] or ""))
-    return train([r[text] or "" for r in rows], [bool(r["label"]) for r in rows])
+    met = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked.withColumnRenamed(key, "key")), "key")
+    texts = cut(met.groupBy("key", "label").agg(F.min("text").alias("text")))
+    # 2 * sample rows of a key and a number each
+    running = F.sum("size").over(Window.partitionBy("label").orderBy(F.xxhash64("key"), "key"))
+    within = texts.select("key", "label", F.octet_length("text").alias("size")).withColumn("total", running).where(F.col("total") <= most_bytes)
+    rows = texts.join(F.broadcast(within.select("key")), "key").collect()
+    rows.sort(key=lambda r: r["key"])
+    return train([r["text"] for r in rows], [bool(r["label"]) for r in rows])
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", located: float = 0.5) -> DataFrame:

@@ -390,9 +390,65 @@ def test_decontamination_greek_sigma(spark):
     assert [got[i]["items"] for i in range(4)] == [["1"], ["2"], [], ["1"]]
 
 
+def test_decontamination_beyond_the_broadcast_bound(spark):
+    """Joins by shuffle with salts give the same, with a passage that most documents share and documents without fingerprints."""
+    rng = random.Random(9)
+    common = " ".join(f"c{i}" for i in range(14))
+    items = [(1, common), (2, "lone word"), (3, " ".join(f"d{i}" for i in range(30))), (4, None)]
+    texts = [*ODD, *(f"x{i} {common} y{i}" if i % 3 else " ".join(f"d{j + i % 9}" for j in range(21)) for i in range(60)), "a lone word here", "few"]
+    docs = frame(spark, [*texts, *texts[:5]])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for r in decontaminate.hits(docs, bench, bound=0).collect():
+        t = [*texts, *texts[:5]][r.doc_id]
+        assert (r.n_words, sum(s.end - s.at for s in r.spans), r["items"]) == brute_hits(t, items), t
+    assert decontaminate.hits(docs, bench, bound=0).count() == docs.count()
+
+
 # 6 toxicity
 
 
+def test_toxicity_scores_equal_a_direct_noisy_or():
+    """Sentence by sentence from the weights, and the fitted weights are a stationary point of the penalised likelihood."""
+    rng = random.Random(14)
+    texts = [". ".join(" ".join(rng.choice(["plain", "words", "here", "stand", "among", "others"]) for _ in range(6)) + (" vileness" if i % 4 == 0 and s == 1 else "") for s in range(4)) for i in range(160)]
+    toxic = [i % 4 == 0 for i in range(160)]
+    model = toxicity.train(texts, toxic, rounds=3000)
+    assert model.weights
+
+    def direct(text, weights, bias):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]+", text):
+            if sentence and not sentence.isspace():
+                found = set(re.findall(r"[0-9a-z]+", sentence.lower()))
+                z = bias + sum(weights.get(f, 0.0) for w in found for f in {w.encode() + b"$", *(w.encode()[:k] for k in range(4, 9) if len(w) >= k)})
+                clean *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - clean
+
+    for t in texts[:20] + ["", "vileness", "vileness! Vileness\nand more", "no such thing"]:
+        assert model.score(t) == pytest.approx(direct(t, model.weights, model.bias), abs=1e-9)
+
+    def loss(weights, bias):
+        p = [direct(t, weights, bias) for t in texts]
+        likely = [math.log(toxicity.NOISE + (1 - toxicity.NOISE) * x) if y else math.log(1 - x) for x, y in zip(p, toxic, strict=True)]
+        return -sum(likely) / len(texts) + toxicity.RIDGE / 2 * sum(w * w for w in weights.values()) / len(texts)
+
+    at = loss(model.weights, model.bias)
+    for f in model.weights:
+        for step in (-0.2, 0.2):
+            assert loss(model.weights | {f: model.weights[f] + step}, model.bias) >= at - 1e-4
+    assert min(loss(model.weights, model.bias + s) for s in (-0.2, 0.2)) >= at - 1e-4
+
+
+def test_toxicity_fit_of_repeated_ids(spark):
+    """The model does not depend on how repeated ids are dealt over tasks."""
+    rows = [(i, f"plain words number {i}. " + ("foulness here. " if i % 2 else "fine here. ")) for i in range(60)]
+    docs = spark.createDataFrame([*rows, *((i, t + "again foulness") for i, t in rows[:30])], "doc_id long, text string")
+    marks = labels(spark, 60, toxic_of=lambda i: i % 2)
+    models = [toxicity.fit(x, marks) for x in (docs, docs.orderBy(F.desc("text")).repartition(7))]
+    assert models[0].weights == models[1].weights and models[0].bias == models[1].bias and models[0].weights
+    assert not toxicity.fit(docs, marks, most_bytes=10).weights
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     plain = lambda n: " ".join(f"word{rng.randint(0, 300)}" for _ in range(n)) + "."
