@@ -55,8 +55,8 @@ SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 BROADCAST_ROWS = 2_000_000
 #: Bytes of parity vectors that may be broadcast.
 BROADCAST_BYTES = 48_000_000
-#: Followers of one leader that a task is dealt.
-FOLLOWERS = 256
+#: Followers of one leader, or pairs of one id, that are dealt as one part; each part takes one more copy of the leader.
+FOLLOWERS = 32
 #: Sets that list a shingle, by the sketch, from which on its list is dealt out in parts.
 LIST = 20_000
 BLOCK = 64
