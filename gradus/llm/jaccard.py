@@ -51,8 +51,8 @@ from .shingles import mix, sets, shared
 PERCENT = 80
 BANDS = 4
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
-#: Rows of (id, label) that may be broadcast: 24 bytes each, so 48 MB at most; more are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a few numbers that may be broadcast: some 100 bytes each as a hashed relation, so about 50 MB at most; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: Bytes of parity vectors that may be broadcast.
 BROADCAST_BYTES = 48_000_000
 #: Followers of one leader, or pairs of one id, that are dealt as one part; each part takes one more copy of the leader.
