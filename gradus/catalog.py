@@ -445,7 +445,12 @@ def retrieve_rerank_fallback(spark, sf_dir):
     return found.select(F.col("qid").alias("item_id"), "doc_id", "score", "rank")
 
 
-@query()
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}.text), '\\s+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH {TOKENS.replace('QUALIFY rank <= 5', 'QUALIFY rank <= 15')}, w AS (SELECT item_id, doc_id, score, {_WORDS.format('b')} AS qw, {_WORDS.format('d')} AS cw FROM hits JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
+r AS (SELECT item_id, doc_id, score AS original_score, CASE WHEN count(*) OVER (PARTITION BY item_id) = 1 THEN score WHEN len(qw) = 0 THEN 0 ELSE round(len(list_intersect(qw, cw)) / len(qw), 6) END AS score FROM w)
+SELECT item_id, doc_id, score, original_score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM r QUALIFY rank <= 5""")
 def retrieve_reranked(spark, sf_dir):
     hits = _overlap_hits(spark, sf_dir, k=retrieval.LIMIT * retrieval.OVERFETCH).drop("rank")
     asked, said = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
@@ -838,7 +843,9 @@ def learning_path_proposals(spark, sf_dir):
     return found.select("l_orderkey", "l_linenumber", "accepted", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT a.s_suppkey AS p, b.s_suppkey AS d FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey % 13 = b.s_suppkey % 11 WHERE a.s_suppkey > b.s_suppkey),
+w AS (SELECT s_suppkey AS n, 0 AS depth FROM supplier UNION SELECT e.d, depth + 1 FROM w JOIN e ON e.p = w.n), m AS (SELECT n, max(depth) AS depth FROM w GROUP BY n)
+SELECT s_nationkey AS collection_id, s_suppkey AS book_id, (row_number() OVER (PARTITION BY s_nationkey ORDER BY depth, s_suppkey))::INT AS position, false AS cyclic FROM m JOIN supplier ON n = s_suppkey""")
 def learning_path_order(spark, sf_dir):
     books = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("collection_id"), F.col("s_suppkey").alias("book_id"), F.col("s_suppkey").alias("upload_order"))
     a, b = books.alias("a"), books.alias("b")
