@@ -54,3 +54,9 @@ def batches(function: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table]) ->
                 yield from made.to_batches() if isinstance(made, pa.Table) else [made]
 
     return over
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store Spark reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

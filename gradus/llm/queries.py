@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, licences, quality, rules, secretscan, tokens, toxicity
+from . import alignment, automaton, bpe, chat, decontaminate, jaccard, licences, quality, rules, secretscan, tokens, toxicity
 from .common import cut, table
 
 
@@ -220,6 +220,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as file:
+        made = automaton.round_trip(docs, file.read())
+    return made.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = []
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        with open(public_tokenizers.path(name), "rb") as file:
+            files.append(file.read())
+    said = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return alignment.align(docs, *files).select("doc_id", *alignment.RESULTS, said.alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_byte_bpe": op2_byte_bpe,
@@ -232,5 +254,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_token_ids": op9_token_ids,
     "op10_quality_rules": op10_quality_rules,
+    "op12_bpe_automaton": op12_bpe_automaton,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {"op3_licence_scans": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op5_decontamination": OP5_SQL}
