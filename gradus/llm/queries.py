@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, automaton, bpe, chat, decontaminate, jaccard, licences, quality, rules, secretscan, tokens, toxicity
+from . import alignment, automaton, bpe, chat, decontaminate, jaccard, licences, negatives, quality, rules, secretscan, tokens, toxicity
 from .common import cut, table
 
 
@@ -220,6 +220,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0, label=label)
+
+
+OP11_SQL = """
+WITH known AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM known a JOIN known b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positive AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5
+), negative AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.r, p.other ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positive p JOIN scored n ON p.r = n.r AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 10
+"""
+
+
 def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as file:
@@ -254,7 +280,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_token_ids": op9_token_ids,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_bpe_automaton": op12_bpe_automaton,
     "op13_token_alignment": op13_token_alignment,
 }
-ORACLE_SQL: dict[str, str] = {"op3_licence_scans": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op5_decontamination": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_licence_scans": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op5_decontamination": OP5_SQL, "op11_hard_negatives": OP11_SQL}
