@@ -608,7 +608,7 @@ def overlap_classify(spark, sf_dir):
 @query()
 def overlap_merge_keepers(spark, sf_dir):
     pairs = overlap.classified(_pairs(spark, sf_dir)).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"), "lang"), "a")
-    return overlap.keepers(pairs.select("lang", "a", "b", "similarity", "decision"), by="lang")
+    return overlap.keepers(pairs.select("lang", "a", "b", "similarity", "decision"), by="lang").drop("place")
 
 
 # Graphs
@@ -658,6 +658,18 @@ def dag_cycles(spark, sf_dir):
     return found.select(F.split("node", ":")[0].cast("int").alias("grp"), F.split("node", ":")[1].cast("long").alias("node"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS grp, s_suppkey % 10 AS child, (s_suppkey * 7) % 10 AS parent FROM supplier WHERE s_suppkey % 10 <> (s_suppkey * 7) % 10),
+r AS (SELECT grp, child AS first, child AS here, [child] AS nodes FROM e
+  UNION ALL SELECT r.grp, first, e.parent, list_append(nodes, e.parent) FROM r JOIN e ON e.grp = r.grp AND e.child = r.here WHERE e.parent > first AND NOT list_contains(nodes, e.parent))
+SELECT DISTINCT r.grp, array_to_string(nodes, ' ') AS cycle FROM r JOIN e ON e.grp = r.grp AND e.child = r.here AND e.parent = r.first""")
+def dag_cycle_lists(spark, sf_dir):
+    """Every node has one prerequisite here, so the cycles are all that there are."""
+    node = lambda x: F.struct("s_nationkey", x.alias("node"))
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").where(k % 10 != (k * 7) % 10).select(node(k % 10).alias("child"), node((k * 7) % 10).alias("parent"))
+    return graph.cycles(rows).select(F.col("component.s_nationkey").alias("grp"), F.array_join(F.transform("nodes", lambda n: n["node"].cast("string")), " ").alias("cycle"))
+
+
 @query()
 def dag_break_cycles(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select("s_nationkey", (F.col("s_suppkey") % 10).alias("child"), ((F.col("s_suppkey") * 7) % 10).alias("parent")).where("child <> parent")

@@ -143,13 +143,12 @@ _NEED = "greatest(1, ceil(round(total / 120, 6)))::BIGINT::VARCHAR"
 @query(f"""WITH RECURSIVE {PACKED},
 a AS (SELECT programme, round(sum(total_hours), 2) AS total, count(*) AS n, arg_min(topic_id, (-total_hours, topic_id)) AS top, max(total_hours) AS most FROM h GROUP BY programme),
 terms AS (SELECT programme, term, count(*) AS n, round(sum(total_hours), 2) AS hours FROM w GROUP BY ALL),
-laid AS (SELECT programme, count(*) AS k, round(sum(hours), 2) AS total, string_agg('S' || term || ': ' || n || ' topic(s), ' || hours || ' h', '; ' ORDER BY term) AS b, string_agg(term::VARCHAR, ', ' ORDER BY term) FILTER (hours > 120) AS over_ FROM terms GROUP BY programme)
-SELECT programme, 'workload-total' AS decision_id, 'workload' AS kind, total || ' total hours across ' || n || ' topic(s)' AS summary,
-  'Estimated from cited page counts and difficulty. Heaviest topic is ''T' || top || ''' at ' || most || ' h (pages). At 120.0 h per semester this needs at least ' || {_NEED} || ' semester(s).' AS rationale FROM a
-UNION ALL SELECT programme, 'semester-layout', 'semester', k || ' semester(s)',
-  CASE WHEN k = 1 THEN 'All material fits one semester: ' || total || ' h against a 120.0 h capacity, and no prerequisite forces a split. (' || b || ')'
-  ELSE 'Split into ' || k || ' semesters because ' || {_NEED} || ' semester(s) are needed for ' || total || ' h at 120.0 h capacity, and prerequisites must not be taught alongside what depends on them. (' || b || ')' END
-  || coalesce(' Semester(s) ' || over_ || ' exceed capacity because the semester cap was reached; material was kept rather than dropped.', '') FROM laid""")
+laid AS (SELECT programme, count(*) AS k, round(sum(hours), 2) AS total, string_agg('term ' || term || ' has ' || n || ' with ' || hours || ' h', ', ' ORDER BY term) AS b, string_agg(term::VARCHAR, ' ' ORDER BY term) FILTER (hours > 120) AS over_ FROM terms GROUP BY programme)
+SELECT programme, 'workload-total' AS decision_id, 'workload' AS kind, 'hours: ' || total || ', topics: ' || n AS summary,
+  'longest: T' || top || ' with ' || most || ' h by pages; a term holds 120.0 h; terms needed: ' || {_NEED} AS rationale FROM a
+UNION ALL SELECT programme, 'semester-layout', 'semester', 'terms: ' || k,
+  CASE WHEN k = 1 THEN 'one term of 120.0 h takes ' || total || ' h: ' || b ELSE 'hours ask for ' || {_NEED} || ', prerequisites for the rest: ' || b END
+  || coalesce('; no further term was allowed, so these are too full: ' || over_, '') FROM laid""")
 def programme_decisions(spark, sf_dir):
     none = F.array().cast("array<bigint>")
     topics = _estimated(spark, sf_dir).withColumns({"title": F.concat(F.lit("T"), F.col("topic_id").cast("string")), "basis": F.lit("pages"), "position": F.col("topic_id"), "parents": none, "keep_with": none})
@@ -157,8 +156,8 @@ def programme_decisions(spark, sf_dir):
     return programme.workload_decision(topics, by="programme").unionByName(programme.layout_decision(packed, by="programme"))
 
 
-@query("""WITH b AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), s AS (SELECT source, count(*) AS k, string_agg('''Book ' || lang || ''' (' || n || ' cited passage(s))', ', ' ORDER BY lang) AS d FROM b GROUP BY source)
-SELECT source, 'coverage-sources' AS decision_id, 'coverage' AS kind, k || ' source book(s) contribute to the programme' AS summary, 'Every scheduled topic cites indexed material: ' || d || '.' AS rationale FROM s""")
+@query("""WITH b AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), s AS (SELECT source, count(*) AS k, string_agg('Book ' || lang || ' x ' || n, ', ' ORDER BY lang) AS d FROM b GROUP BY source)
+SELECT source, 'coverage-sources' AS decision_id, 'coverage' AS kind, 'books: ' || k AS summary, 'citations a book: ' || d AS rationale FROM s""")
 def coverage_decisions(spark, sf_dir):
     cited = table(spark, sf_dir, "documents").select("source", F.col("lang").alias("document_id"), F.concat(F.lit("Book "), F.col("lang")).alias("book_title"))
     return programme.coverage_decision(cited, by="source")

@@ -7,15 +7,15 @@ postings: the corpus is cut to postings of query terms before anything is groupe
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import neighbours
 
 PREFETCH, LIMIT, OVERFETCH, COVERAGE, FLOOR = 20, 5, 3, 0.34, 0.08
 #: Query terms that may be broadcast: some 30 bytes each.
@@ -80,42 +80,9 @@ def bm25(queries: DataFrame, docs: DataFrame, *, qid: str = "item_id", key: str
     return top(scored, ["qid"], "score", key, k).select("qid", key, "score", "rank")
 
 
-#: Queries whose vectors are broadcast together: 64 dimensions of them are 10 MB.
-QUERY_BLOCK = 20_000
-
-
-def dense(queries: DataFrame, vectors: DataFrame, *, qid: str = "qid", key: str = "vec_id", vector: str = "embedding", k: int = LIMIT, block: int = QUERY_BLOCK) -> DataFrame:
-    """(qid, key, score, rank): exact cosine of every query against every vector, queries in blocks.
-
-    Each batch of vectors meets a block of queries in one matrix product and keeps its k best a query,
-    so what is shuffled is k rows a query and batch, and what is broadcast is one block at a time.
-    """
-    blocks = max(1, -(-queries.count() // block))
-    dealt = queries.select(qid, vector, F.pmod(F.xxhash64(qid), F.lit(blocks)).alias("__block"))
-    parts = [_block_scores(dealt.where(F.col("__block") == b).collect(), dict(queries.dtypes)[qid], vectors, qid, key, vector, k) for b in range(blocks)]
-    return top(reduce(DataFrame.unionByName, parts), ["qid"], "score", key, k).select("qid", key, "score", "rank")
-
-
-def _block_scores(rows: list, kind: str, vectors: DataFrame, qid: str, key: str, vector: str, k: int) -> DataFrame:
-    asked = sorted((r[qid], r[vector]) for r in rows)
-    ids = [q for q, _ in asked]
-    matrix = np.array([v for _, v in asked], dtype=np.float64).reshape(len(ids), -1)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    given = vectors.sparkSession.sparkContext.broadcast((ids, np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)))
-
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, q = given.value
-        for batch in batches:
-            own = np.stack(batch[vector].to_numpy()).astype(np.float64)
-            size = np.linalg.norm(own, axis=1, keepdims=True)
-            own = np.divide(own, size, out=np.zeros_like(own), where=size > 0)
-            keys = batch[key].to_numpy()
-            for at in range(0, len(names), 256):  # bounds the score matrix
-                scores = np.round(q[at : at + 256] @ own.T, 6)
-                best = [np.lexsort((keys, -s))[:k] for s in scores]
-                yield pd.DataFrame({"qid": np.repeat(names[at : at + 256], [len(x) for x in best]), key: keys[np.concatenate(best)], "score": np.concatenate([s[x] for s, x in zip(scores, best, strict=True)])})
-
-    return vectors.select(key, vector).mapInPandas(rank, f"qid {kind}, `{key}` {dict(vectors.dtypes)[key]}, score double")
+def dense(queries: DataFrame, vectors: DataFrame, *, qid: str = "qid", key: str = "vec_id", vector: str = "embedding", k: int = LIMIT, centres: int = neighbours.CENTRES, block: int = neighbours.BLOCK) -> DataFrame:
+    """(qid, key, score, rank): the exact k best vectors of every query by cosine; see ``neighbours`` for how, and for odd rows."""
+    return neighbours.search(queries, vectors, qid=qid, key=key, vector=vector, k=k, centres=centres, block=block)[0]
 
 
 def fused(branches: list[DataFrame], *, by: list[str], key: str, k: int = LIMIT, constant: int = 60) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import graph, paths
 
 #: Reasons why an approval is refused, in the order in which they are looked for.
@@ -55,23 +55,25 @@ def warnings(books: DataFrame, proposals: DataFrame, chapters: DataFrame, *, by:
 
 
 def cycle_alternatives(books: DataFrame, edges: DataFrame, *, by: str = "collection_id", order: str = "proposal_no") -> DataFrame:
-    """(by, alternative_no, book_ids): the orders that dropping one edge of a cycle allows, of the collections that have one."""
-    kind = dict(books.dtypes)
-
-    def review(nodes: pd.DataFrame, needs: pd.DataFrame) -> pd.DataFrame:
-        ids = list(nodes.sort_values("upload_order")["book_id"])
-        pairs = list(needs.sort_values(order)[["dependent", "prerequisite"]].itertuples(index=False, name=None))
-        parents: dict = {b: set() for b in ids}
-        for child, parent in pairs:
-            parents[child].add(parent)
-        _, stuck = graph.layered(parents, ids.index)
-        ways = graph.alternatives(ids, pairs, stuck) if stuck else []
-        return pd.DataFrame([(nodes[by].iloc[0], i, w) for i, w in enumerate(ways, 1)], columns=[by, "alternative_no", "book_ids"])
-
-    # both sides may come from one table: new columns keep them apart
-    left = books.select(F.col(by).alias(by), "book_id", "upload_order").groupBy(by)
-    right = edges.select(F.col(by).alias("__of"), order, "prerequisite", "dependent").groupBy("__of")
-    return left.cogroup(right).applyInPandas(review, f"`{by}` {kind[by]}, alternative_no int, book_ids array<{kind['book_id']}>")
+    """(by, alternative_no, book_ids): the orders that dropping one edge of a cycle allows, of the collections that have one; the given order where none does.
+
+    Every edge between books on a cycle or below one makes a variant of its collection without it; all variants are layered at once.
+    """
+    given = books.select(by, "book_id", "upload_order")
+    stuck = cut(paths.ordered(books, edges, by=by).where("cyclic").select(by, "book_id"))
+    numbered = edges.select(by, "dependent", "prerequisite", F.row_number().over(Window.partitionBy(by).orderBy(order, "dependent", "prerequisite")).alias("__no"))
+    role = lambda c: stuck.withColumnRenamed("book_id", c)
+    dropped = numbered.join(role("dependent"), [by, "dependent"], "left_semi").join(role("prerequisite"), [by, "prerequisite"], "left_semi").select(by, F.col("__no").alias("__drop"))
+    rest = numbered.join(dropped, by).where("__no <> __drop")
+    book = lambda c: F.struct(F.col(by).alias("by"), F.col("__drop").alias("drop"), F.col(c).alias("book"))
+    deep = graph.layers(rest.select(book("dependent").alias("child"), book("prerequisite").alias("parent")), given.join(dropped, by).select(book("book_id").alias("node")))
+    placed = deep.select(F.col("node.by").alias(by), F.col("node.drop").alias("__drop"), F.col("node.book").alias("book_id"), "level").join(given, [by, "book_id"])
+    listed = lambda *o: F.transform(F.array_sort(F.collect_list(F.struct(*o, "book_id"))), lambda x: x["book_id"]).alias("book_ids")
+    fine = placed.groupBy(by, "__drop").agg(F.bool_and(F.col("level").isNotNull()).alias("__fine"), listed("level", "upload_order")).where("__fine")
+    ways = fine.groupBy(by, "book_ids").agg(F.min("__drop").alias("__first"))
+    ways = ways.select(by, F.row_number().over(Window.partitionBy(by).orderBy("__first")).alias("alternative_no"), "book_ids")
+    none = given.join(stuck.select(by).distinct(), by, "left_semi").join(ways.select(by), by, "left_anti").groupBy(by).agg(listed("upload_order"))
+    return ways.unionByName(none.select(by, F.lit(1).alias("alternative_no"), "book_ids"))
 
 
 def reviewed(requests: DataFrame, plans: DataFrame, found: DataFrame, alternatives: DataFrame, *, by: str = "collection_id") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,23 +32,13 @@ def checked(proposals: DataFrame, books: DataFrame, *, confidence: float = CONFI
 
 
 def ordered(books: DataFrame, edges: DataFrame, *, by: str = "collection_id") -> DataFrame:
-    """(by, book_id, position, cyclic): prerequisites first, ties by the given order; with a cycle the given order stands.
-
-    A collection's books, which are tens, form a group.
-    """
-    kind = dict(books.dtypes)
-    needs = edges.groupBy(by, F.col("dependent").alias("book_id")).agg(F.collect_set("prerequisite").alias("needs"))
-
-    def sort(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = list(rows.sort_values("upload_order")["book_id"])
-        place = {b: i for i, b in enumerate(ids)}
-        parents = {b: set(n) & set(ids) if n is not None else set() for b, n in zip(rows["book_id"], rows["needs"], strict=True)}
-        order, stuck = graph.layered(parents, place.get)
-        group = rows[by].iloc[0]
-        return pd.DataFrame([(group, b, i, b in stuck) for i, b in enumerate(ids if stuck else order, 1)], columns=[by, "book_id", "position", "cyclic"])
-
-    shaped = books.select(by, "book_id", "upload_order").join(needs, [by, "book_id"], "left")
-    return shaped.groupBy(by).applyInPandas(sort, f"`{by}` {kind[by]}, book_id {kind['book_id']}, position int, cyclic boolean")
+    """(by, book_id, position, cyclic): prerequisites first, ties by the given order; with a cycle the given order stands."""
+    book = lambda c: F.struct(F.col(by).alias("by"), F.col(c).alias("book"))
+    deep = graph.layers(edges.select(book("dependent").alias("child"), book("prerequisite").alias("parent")), books.select(book("book_id").alias("node")))
+    rows = books.select(by, "book_id", "upload_order").join(deep.select(F.col("node.by").alias(by), F.col("node.book").alias("book_id"), "level"), [by, "book_id"])
+    stuck = F.bool_or(F.col("level").isNull()).over(Window.partitionBy(by))
+    order = Window.partitionBy(by).orderBy(F.when(~stuck, F.col("level")), "upload_order", "book_id")
+    return rows.select(by, "book_id", F.row_number().over(order).alias("position"), F.col("level").isNull().alias("cyclic"))
 
 
 def offsets(rows: DataFrame, *, by: str, order: str = "position", weeks: str = "week_count") -> DataFrame:

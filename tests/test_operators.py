@@ -191,8 +191,6 @@ def test_graph(spark):
     cyclic = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "d", "a")], "g int, child string, parent string")
     kept = graph.acyclic(cyclic, "g").where("dropped").collect()
     assert [(r.child, r.parent) for r in kept] == [("c", "a")]
-    assert graph.layered({"a": set(), "b": {"a"}, "c": {"d"}, "d": {"c"}}, lambda x: x) == (["a", "b", "c", "d"], ["c", "d"])
-    assert graph.alternatives(["a", "b"], [("a", "b"), ("b", "a")], ["a", "b"]) == [["a", "b"], ["b", "a"]]
 
 
 def test_depths_of_many_paths(spark):
