@@ -23,7 +23,6 @@ text pass through; a column that has the name of a result is replaced.
 
 from __future__ import annotations
 
-import json
 import os
 import tempfile
 import uuid
@@ -40,53 +39,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .automaton import BEYOND, alphabet
+from .automaton import alphabet
 from .common import alone, checkpoint_folder, kept, ready, remove
 
 #: Pieces of one generation of the memo (two are held), and the most characters of one that is remembered.
-MEMO, REMEMBERED = 150_000, 48
+MEMO, REMEMBERED = 200_000, 48
 #: Keys that a partition holds before they are merged, and distinct ones before they are passed on.
 WAITING, HELD = 1_000_000, 3_000_000
 #: Keys of one batch of partial counts.
 ROWS = 250_000
-#: The words of byte-level pre-tokenisation, a fixed part of that format; texts with characters from here on go to the library whole.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Where a text is cut, and what says that a text cannot simply be split at its spaces.
+_CUT, _CLOSE = regex.compile(r"(?<=\S)(?= )"), regex.compile(r"\s\s|\s$")
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-class ByteLevel:
-    """Tokenizer A: ids of a space and the text, 4 bytes each. Pieces repeat, so a memo stands before the library."""
-
-    def __init__(self, definition: bytes) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_str(definition.decode())
-        self.library.encode_special_tokens = True
-        before = json.loads(definition)["pre_tokenizer"]
-        #: Whether plain texts can be cut here.
-        self.pattern = regex.compile(PATTERN) if before == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} else None
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<i4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.new) > MEMO:
-            self.old, self.new = self.new, {}
-        plain = [self.pattern is not None and (x.isascii() or not BEYOND.search(x)) for x in texts]
-        cut = [self.pattern.findall(x) if p else [x] for x, p in zip(texts, plain, strict=True)]
-        new, old, once = self.new, self.old, {}
-        lost = [x for x in set().union(*cut) if x not in new]
-        for x in lost:
-            if x in old:
-                new[x] = old[x]
-        lost = [x for x in lost if x not in new]
-        for x, ids in zip(lost, self._ids(lost), strict=True):
-            (new if len(x) <= REMEMBERED else once)[x] = ids
-        look = new.__getitem__ if not once else lambda x: new[x] if x in new else once[x]
-        return [b"".join(map(look, x)) for x in cut]
-
-
 def pieces_of(definition: bytes, model: bytes) -> tuple[list[bytes], list[bytes]]:
     """The bytes of each id of A and of B."""
     letters = alphabet()
@@ -102,27 +68,86 @@ def pieces_of(definition: bytes, model: bytes) -> tuple[list[bytes], list[bytes]
     return first, second
 
 
+_PROBES = ("a", "it's", "x.", "7", "\xdf\xe9", "\u65e5\u672c", "...", "a\nb", "<s>", "\x00", "e\u0301")
+
+
 class Pair:
-    """Both tokenizers of one worker."""
+    """Both tokenizers of one worker, with a memo of words.
+
+    Neither joins a space to what stands before it: A's pre-tokeniser ends a piece there, and no piece of B has a space
+    after another character. So a text is cut before each space that follows another character, and each distinct
+    part is encoded once. Both are checked, B's pieces whole and both tokenizers on probes; where they do not hold, texts are encoded whole.
+    """
 
     def __init__(self, definition: bytes, model: bytes) -> None:
-        self.a, self.b = ByteLevel(definition), sentencepiece.SentencePieceProcessor(model_proto=model)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.a, self.b = Tokenizer.from_str(definition.decode()), sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.a.encode_special_tokens = True
         self.bytes_a, self.bytes_b = pieces_of(definition, model)
+        self.kind_a, self.kind_b = _kind(self.bytes_a), _kind(self.bytes_b)
+        probes = [f"{x}{gap}{y}" for x in _PROBES for y in _PROBES for gap in (" ", "  ", "   ")]
+        apart = all(b" " not in x.lstrip(b" ") for x in self.bytes_b)
+        self.parts = apart and all([b"".join(x) for x in zip(*map(self._whole, self._cut(p)), strict=True)] == list(self._whole(p)) for p in probes)
+        self.new: dict[str, tuple[bytes, bytes] | None] = {}
+        self.old: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def _ids(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of each text, with a space before it; none where the bytes differ."""
+        first = [x.ids for x in self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
+        made = []
+        for x, a, b in zip(texts, first, self.b.encode(texts, num_threads=1), strict=True):
+            raw = (" " + x).encode()
+            fine = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+            made.append((np.array(a, dtype=self.kind_a).tobytes(), np.array(b, dtype=self.kind_b).tobytes()) if fine else None)
+        return made
+
+    def _words(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of parts that do not end with white space, from one text of all: each ends where tokens of both do."""
+        text = " " + " ".join(words)
+        ends = np.cumsum([len(x.encode()) + 1 for x in words])
+        own = []
+        for ids, pieces, kind in ((self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.bytes_a, self.kind_a), (self.b.encode(text[1:]), self.bytes_b, self.kind_b)):
+            found = list(map(pieces.__getitem__, ids))
+            stops = np.cumsum(list(map(len, found)))
+            if b"".join(found) != text.encode():
+                return self._ids(words)
+            at = np.searchsorted(stops, ends)
+            if (stops[at] != ends).any():
+                return self._ids(words)
+            flat, edges = np.array(ids, dtype=kind).tobytes(), (np.concatenate([[0], at + 1]) * np.dtype(kind).itemsize).tolist()
+            own.append([flat[s:e] for s, e in zip(edges, edges[1:], strict=False)])
+        return list(zip(*own, strict=True))
+
+    def _whole(self, text: str) -> tuple[bytes, bytes]:
+        return self._ids([text])[0] or (b"", b"")
+
+    def _cut(self, text: str) -> list[str]:
+        """The parts of a space and the text, without the space that each begins with."""
+        return [x[1:] for x in _CUT.split(" " + text)] if _CLOSE.search(text) or text[0].isspace() else text.split(" ")
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
-        """The ids of both, 2 bytes each (4 beyond 65,536); none where the bytes differ."""
-        said = [" " + x for x in texts if x]
-        ids = iter(zip(self.a.encode(said), self.b.encode([x[1:] for x in said], num_threads=1), said, strict=True)) if said else iter(())
+        """The ids of both, 2 bytes each (4 beyond 65,536)."""
+        if len(self.new) > MEMO:
+            self.old, self.new = self.new, {}
+        cut = [(self._cut(x) if self.parts else [x]) if x else [] for x in texts]
+        new, old = self.new, self.old
+        lost = [x for x in set().union(*cut) if x not in new]
+        unknown = [x for x in lost if x not in old]
+        new.update((x, old[x]) for x in lost if x in old)
+        short = [x for x in unknown if 0 < len(x) <= REMEMBERED and not x[-1].isspace()] if self.parts else []
+        for at in range(0, len(short), 4000):
+            new.update(zip(short[at : at + 4000], self._words(short[at : at + 4000]), strict=True))
+        others = [x for x in unknown if x not in new]
+        once = dict(zip(others, self._ids(others), strict=True)) if others else {}
+        look = new.__getitem__ if not once else lambda x: new[x] if x in new else once[x]
         a_out, b_out = [], []
-        for x in texts:
-            a = b = ()
-            if x:
-                raw, b, whole = next(ids)
-                a, whole = np.frombuffer(raw, dtype="<i4"), whole.encode()
-                if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-                    a = b = ()
-            a_out.append(np.asarray(a, dtype=_kind(self.bytes_a)).tobytes())
-            b_out.append(np.asarray(b, dtype=_kind(self.bytes_b)).tobytes())
+        for text, parts in zip(texts, cut, strict=True):
+            own = list(map(look, parts))
+            if None in own:  # a part comes back with other bytes: the whole text decides
+                own = [self._whole(text)]
+            a, b = zip(*own, strict=True) if own else ((), ())
+            a_out.append(b"".join(a))
+            b_out.append(b"".join(b))
         return a_out, b_out
 
 
@@ -147,17 +172,23 @@ def _bounds(counts: np.ndarray) -> np.ndarray:
 
 
 def links(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, length_a: np.ndarray, length_b: np.ndarray) -> Links:
-    """The links of documents whose ids lie one after another, ``n_a`` and ``n_b`` in each."""
+    """The links of documents whose ids lie one after another, ``n_a`` and ``n_b`` in each.
+
+    Each byte is marked by the tokens that end there, so the ends come in order without sorting and a running count
+    tells which token a stretch belongs to.
+    """
     ends_a, ends_b = np.cumsum(length_a[a]), np.cumsum(length_b[b])
-    every = np.union1d(ends_a, ends_b)
-    at_a, at_b = np.searchsorted(ends_a, every), np.searchsorted(ends_b, every)
-    both = (ends_a[at_a] == every) & (ends_b[at_b] == every) if len(every) else np.zeros(0, dtype=bool)
-    cut_a, cut_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
-    cut_a[at_a[both]] = True
-    cut_b[at_b[both]] = True
-    last = _bounds(n_a)[1:] - 1
-    places = np.concatenate([[0], ends_a])[last + 1] if len(a) else np.zeros(len(n_a), dtype=np.int64)
-    return Links(a[at_a], b[at_b], np.searchsorted(every, places, side="right"), np.diff(_bounds(cut_a)[_bounds(n_a)]), cut_a, cut_b)
+    mark = np.zeros(int(ends_a[-1]) + 1 if len(a) else 1, dtype=np.uint8)
+    mark[ends_a] = 1
+    mark[ends_b] |= 2
+    every = np.flatnonzero(mark)
+    which = mark[every]
+    of_a, of_b = which & 1, which >> 1
+    cut_a, cut_b = which[of_a == 1] == 3, which[of_b == 1] == 3
+    at_a, at_b = np.cumsum(of_a, dtype=np.int64) - of_a, np.cumsum(of_b, dtype=np.int64) - of_b
+    # a document ends where both do, at its last token
+    upto = np.concatenate([[0], np.flatnonzero(of_a) + 1])
+    return Links(a[at_a], b[at_b], upto[_bounds(n_a)[1:]], np.diff(_bounds(cut_a)[_bounds(n_a)]), cut_a, cut_b)
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

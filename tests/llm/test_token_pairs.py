@@ -217,13 +217,22 @@ def files():
     return definition("byte_bpe_50k.json"), definition("piece_bpe_32k.model")
 
 
-def test_byte_level_pieces_are_those_of_the_library():
-    own, library = alignment.ByteLevel(files()[0]), Tokenizer.from_str(files()[0].decode())
-    library.encode_special_tokens = True
-    texts = [" " + (x or "") for x in ODD] + [f" a{chr(c)}7{chr(c)}.{chr(c)}'s{chr(c)}{chr(c)} {chr(c)} b" for c in range(automaton.PLAIN)]
-    texts += chance(4, "ab 's\n\t\x85\xa01.éΩ<|endoftext|>", 3000, 40)
-    assert own.pattern is not None
-    assert own.encode(texts) == [np.array(x.ids, dtype="<i4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+def test_parts_are_encoded_as_whole_texts(monkeypatch):
+    """By the memo of parts, in a second round, and without parts, the ids are those of both libraries on whole texts."""
+    own = alignment.Pair(*files())
+    assert own.parts
+    texts = ODD + [f"a{chr(c)}7{chr(c)}.{chr(c)}'s{chr(c)}{chr(c)} {chr(c)} b " for c in range(0x250)]
+    texts += chance(4, "ab 's\n\t\x85\xa01.éΩ▁<s>", 3000, 40) + chance(5, "a  \n", 1500, 12) + [" lead", "  lead", "trail ", "a" * 60 + " b", "\n \n x"]
+    first, second = own.encode(texts), own.encode(texts)
+    whole = [own._whole(x) if x else (b"", b"") for x in texts]
+    assert first == second == tuple(map(list, zip(*whole, strict=True)))
+    own.parts = False
+    own.new, own.old = {}, {}
+    assert own.encode(texts) == first
+    monkeypatch.setattr(alignment, "MEMO", 50)
+    own.parts = True
+    made = [own.encode(texts[i : i + 40]) for i in range(0, len(texts), 40)]
+    assert [x for a, _ in made for x in a] == first[0] and [x for _, b in made for x in b] == first[1]
 
 
 def test_op13_against_brute_force(spark, monkeypatch):
