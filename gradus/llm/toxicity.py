@@ -9,8 +9,9 @@ offending sentences. Features enter by their counts: those much more frequent in
 (likelihood-ratio test), of each chain of prefixes the most telling.
 
 The fit takes at most ``sample`` labelled documents of each label, those of smallest key hash, and of these as
-many as have ``most_bytes`` of text together (the documented bounds); an id that is repeated counts once, by its
-smallest text. Scoring covers every row and every sentence of it.
+many as have ``most_bytes`` of text together, the shorter ones first (the documented bounds), so a text that is too long for the
+bound costs itself alone; only where every text of a label is longer than the bound is there nothing to learn from. An id that
+is repeated counts once, by its smallest text. Scoring covers every row and every sentence of it.
 
 Defined results: null, empty and wordless texts hold no sentence and score 0; equal texts score
 equally; without toxic labels every score is 0; an empty table gives an empty result; further
@@ -180,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     met = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked.withColumnRenamed(key, "key")), "key")
     texts = cut(met.groupBy("key", "label").agg(F.min("text").alias("text")))
     # 2 * sample rows of a key and a number each
-    running = F.sum("size").over(Window.partitionBy("label").orderBy(F.xxhash64("key"), "key"))
+    running = F.sum("size").over(Window.partitionBy("label").orderBy("size", F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, 0))
     within = texts.select("key", "label", F.octet_length("text").alias("size")).withColumn("total", running).where(F.col("total") <= most_bytes)
     rows = texts.join(F.broadcast(within.select("key")), "key").collect()
     rows.sort(key=lambda r: r["key"])

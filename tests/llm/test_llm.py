@@ -449,6 +449,20 @@ def test_toxicity_fit_of_repeated_ids(spark):
     assert not toxicity.fit(docs, marks, most_bytes=10).weights
 
 
+def test_toxicity_fit_with_a_text_over_the_bound(spark):
+    """A text over the bound of bytes is left out alone, whatever its place in the order of hashes."""
+    rows = [(i, f"plain words number {i}. " + ("foulness here. " if i % 2 else "fine here. ")) for i in range(60)]
+    marks = labels(spark, 60, toxic_of=lambda i: i % 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    toxic = [i for i in order if i % 2]
+    whole = toxicity.fit(docs, marks, most_bytes=4000)
+    assert whole.weights
+    for long in ((toxic[0],), (toxic[-1],), (toxic[0], order[0], toxic[7])):
+        made = toxicity.fit(docs.withColumn("text", F.when(F.col("doc_id").isin(*long), F.concat("text", F.lit("more foulness. " * 400))).otherwise(F.col("text"))), marks, most_bytes=4000)
+        assert made.weights and made.score("foulness here.") > 0.5 > made.score("fine here.")
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     plain = lambda n: " ".join(f"word{rng.randint(0, 300)}" for _ in range(n)) + "."
