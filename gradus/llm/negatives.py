@@ -37,6 +37,8 @@ from .common import alone, cut, ready
 POSITIVES, NEGATIVES, LOW, HIGH, SCALE = 5, 10, 30, 90, 256
 #: Rows of one group at most: 64 dimensions of them are some 80 MB in a worker.
 GROUP = 131_072
+#: Rows that a group has at least, however many partitions there are: each group sends k rows an anchor on.
+FEWEST = 1024
 CELLS = 16
 #: What a scaled component is held within: scores of 100 dimensions and more then fit 64 bits.
 LARGEST = 2.0**28
@@ -218,7 +220,8 @@ def mine(
     """
     spark = ready(vectors.sparkSession)
     rows = prepared(vectors, key, F.col("label") if label is None else label, vector, anchor, scale)
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // group))
+    n = rows.count()
+    groups = max(1, -(-n // group), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // FEWEST))
     asked = rows.where("anchor").drop("anchor")
 
     near = _met(rows, asked.withColumn("aims", F.lit(None).cast("array<long>")), groups, _Positives(positives), "row long, id long, other long, score long")
