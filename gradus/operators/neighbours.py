@@ -50,6 +50,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
 
 
+def _same(rows: np.ndarray, centres: np.ndarray) -> None:
+    if rows.shape[1] != centres.shape[1]:
+        raise ValueError(f"vectors of {rows.shape[1]} and {centres.shape[1]} dimensions")
+
+
 def _lists(rows: np.ndarray) -> pa.Array:
     ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
@@ -69,8 +74,7 @@ def _dealt(vectors: DataFrame, key: str, vector: str, given) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 rows = _matrix(batch.column(1))
-                if rows.shape[1] != centres.shape[1]:
-                    raise ValueError(f"vectors of {rows.shape[1]} and {centres.shape[1]} dimensions")
+                _same(rows, centres)
                 ball = ((rows @ centres.T) - (centres**2).sum(axis=1) / 2).argmax(axis=1)
                 reach = np.linalg.norm(rows - centres[ball], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(ball.astype(np.int32)), batch.column(0), _lists(rows), pa.array(reach)], names=["ball", key, "unit", "reach"])
@@ -86,6 +90,7 @@ def _asked(queries: DataFrame, qid: str, vector: str, given) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 rows = _matrix(batch.column(1))
+                _same(rows, centres)
                 near = rows @ centres.T
                 home = np.where(radius >= 0, near, -np.inf).argmax(axis=1).astype(np.int32)
                 bounds = np.where(radius >= 0, near + radius, -np.inf)

@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import neighbours
+from . import injected, neighbours
 
 PREFETCH, LIMIT, OVERFETCH, COVERAGE, FLOOR = 20, 5, 3, 0.34, 0.08
 #: Query terms that may be broadcast: some 30 bytes each.
@@ -98,25 +97,34 @@ def deduplicated(hits: DataFrame, *, by: list[str], key: str | list[str], score:
     return hits.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
-def lexical_reranker(query: pd.Series, content: pd.Series) -> pd.Series:
-    """The default scorer: share of the query's words that the content has."""
-    def score(q: str, c: str) -> float:
-        asked = set((q or "").lower().split())
-        return len(asked & set((c or "").lower().split())) / len(asked) if asked else 0.0
+def lexical_score(query: Column, content: Column) -> Column:
+    """Share of the query's distinct words, cut at white space, that the content has; inside the JVM."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+    asked = words(query)
+    return F.when(F.size(asked) == 0, 0.0).otherwise(F.size(F.array_intersect(asked, words(content))) / F.size(asked))
 
-    return pd.Series([score(q, c) for q, c in zip(query, content, strict=True)])
 
+#: The default scorer: ``lexical_score`` of query and content.
+LEXICAL = "lexical"
 
-def reranked(hits: DataFrame, *, by: list[str], key: str, scorer: Callable | None = lexical_reranker, k: int = LIMIT) -> DataFrame:
-    """Hits by ``scorer(query, content)``, cut to k after sorting; by their own score without a scorer, and where a query has one hit."""
-    own = F.col("score")
+
+def reranked(hits: DataFrame, *, by: list[str], key: str, scorer: Callable | Column | str | None = LEXICAL, k: int = LIMIT, attempts: int = injected.ATTEMPTS) -> DataFrame:
+    """Hits by the scorer, cut to k after sorting; ``original_score`` and ``rerank_score`` tell both.
+
+    The scorer is a column, LEXICAL, or a function of two pandas series (query, content). A query keeps the order of its own
+    scores without a scorer, where it has one hit, and where the function failed for any of its hits (see ``injected``).
+    """
+    own, whole = F.col("score"), Window.partitionBy(*by)
     if scorer is None:
         ranked = hits.withColumns({"original_score": own, "rerank_score": F.lit(None).cast("double")})
+        return top(ranked, by, "score", key, k)
+    if callable(scorer) and not isinstance(scorer, Column):
+        made = hits.withColumn("__scored", injected.applied(scorer, "double", "query", "content", attempts=attempts))
+        score = F.when(~F.bool_or(F.col("__scored.value").isNull()).over(whole), F.col("__scored.value"))
     else:
-        single = F.count("*").over(Window.partitionBy(*by)) == 1
-        ranked = hits.withColumns({"original_score": own, "rerank_score": F.when(~single, F.pandas_udf(scorer, "double")("query", "content"))})
-        ranked = ranked.withColumn("score", F.round(F.coalesce("rerank_score", "original_score"), 6))
-    return top(ranked, by, "score", key, k)
+        made, score = hits, lexical_score(F.col("query"), F.col("content")) if isinstance(scorer, str) else scorer
+    ranked = made.withColumns({"original_score": own, "rerank_score": F.when(F.count("*").over(whole) > 1, score)}).drop("__scored")
+    return top(ranked.withColumn("score", F.round(F.coalesce("rerank_score", "original_score"), 6)), by, "score", key, k)
 
 
 def accepted_rewrites(queries: DataFrame, *, qid: str = "qid", query: str = "query", subs: str = "sub_queries", unsafe: Column | None = None, most: int = 4) -> DataFrame:

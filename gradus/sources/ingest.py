@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import versions
+
 MOST = 3
 #: Errors that no further attempt can mend.
 PERMANENT = (FileNotFoundError, IsADirectoryError, NotADirectoryError, PermissionError, ImportError, ValueError, TypeError, KeyError)
@@ -49,39 +51,35 @@ def _folder(spark: SparkSession, path: str) -> tuple[Any, Any]:
 def index_run(batches: Iterable[DataFrame], path: str, run: str) -> int:
     """Append batches as one run; if any fails, what the run wrote goes and older runs stay. Returns the number of batches.
 
-    Each batch is committed by Spark as a whole; the run is a partition of its own, so it is removed as a folder.
+    Each batch is committed by Spark as a whole; the run is a partition of its own, so it is removed as a folder. A run
+    that exists already is refused before anything is written, so that a failure never removes what an earlier run wrote.
     """
     if not run.replace("-", "").replace("_", "").isalnum():
         raise ValueError("a run id holds letters, digits, dashes and underscores")
-    done, spark = 0, None
+    done, own = 0, None
     try:
         for batch in batches:
-            spark = batch.sparkSession
+            if own is None:
+                files, place = _folder(batch.sparkSession, f"{path}/indexing_run_id={run}")
+                if files.exists(place):
+                    raise FileExistsError(f"the run {run} exists")
+                own = files, place
             batch.withColumn("indexing_run_id", F.lit(run)).write.mode("append").partitionBy("indexing_run_id").parquet(path)
             done += 1
     except BaseException:
-        if spark is not None:
-            files, place = _folder(spark, f"{path}/indexing_run_id={run}")
-            files.delete(place, True)
+        if own is not None:
+            own[0].delete(own[1], True)
         raise
     return done
 
 
 def replace_json(rows: DataFrame, path: str) -> None:
-    """Replace a JSON table: the new one is written beside it and moved into its place, the old one goes last."""
-    spark = rows.sparkSession
-    for name in (f"{path}.new", f"{path}.old"):
-        files, place = _folder(spark, name)
-        files.delete(place, True)
-    rows.write.json(f"{path}.new")
-    files, there = _folder(spark, path)
-    fresh, old = _folder(spark, f"{path}.new")[1], _folder(spark, f"{path}.old")[1]
-    if files.exists(there) and not files.rename(there, old):
-        raise OSError(f"cannot move {path}")
-    if not files.rename(fresh, there):
-        files.rename(old, there)
-        raise OSError(f"cannot move the new {path} into its place")
-    files.delete(old, True)
+    """Replace a JSON table as a whole; see ``versions``. ``read_json`` reads what was published last."""
+    versions.publish(rows, path, format="json")
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    return versions.current(spark, path)
 
 
 def append_events(events: DataFrame, path: str) -> None:

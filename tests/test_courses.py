@@ -63,7 +63,7 @@ def test_json_is_replaced_and_appended(spark, tmp_path):
     rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
     for ids in ((1, 2), (3,)):
         ingest.replace_json(rows(*ids), path)
-        assert sorted(r.id for r in spark.read.json(path).collect()) == list(ids)
+        assert sorted(r.id for r in ingest.read_json(spark, path).collect()) == list(ids)
     assert sorted(os.listdir(tmp_path)) == ["state"]
     for ids in ((1,), (2,)):
         ingest.append_events(rows(*ids), str(tmp_path / "log"))
