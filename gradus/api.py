@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import chunking, grants, guardrails, retrieval
-from .plans import workload
+from .operators import chunking, grants, guardrails, pipeline, retrieval
+from .plans import planner, workload
+from .sources import batch
 
 
 class Refused(PermissionError):
@@ -38,10 +40,15 @@ class Tenant:
         return grants.document_list(self.chunks, by=["document_id"], title="content")
 
     def retrieve(self, queries: DataFrame, *, limit: int = retrieval.LIMIT, coverage: float = retrieval.COVERAGE) -> tuple[DataFrame, DataFrame]:
-        """(passages, outcomes) of a batch of queries (qid, query): grounded passages, or the reason for none."""
-        unsafe = guardrails.screen_queries(queries, "query").where(~F.col("is_safe")).select("matched_rules").limit(1).collect()
-        if unsafe:
+        """(passages, outcomes) of a batch of queries (qid, query): grounded passages, or the reason for none.
+
+        Each query is judged for itself: one that is not safe has its own refusal and stops no other. A batch with nothing safe in it is refused as a whole.
+        """
+        judged = guardrails.screen_queries(queries.select("qid", "query"), "query")
+        unsafe = judged.where(~F.col("is_safe")).select("matched_rules").limit(1).collect()
+        if unsafe and judged.where("is_safe").isEmpty():
             raise Refused(", ".join(unsafe[0].matched_rules))
+        whole, queries = judged.select("qid", "is_safe"), judged.where("is_safe").select("qid", "query")
         spots = self.chunks.withColumn("key", F.concat_ws(":", F.col("document_id").cast("string"), F.col("chunk_index").cast("string"))).withColumn("text", F.col("content"))
         hits = retrieval.token_overlap(queries.withColumn("text", F.col("query")), spots, qid="qid", key="key", k=limit * retrieval.OVERFETCH).drop("rank")
         found = hits.join(queries.select("qid", "query"), "qid").join(spots.select("key", "document_id", "content"), "key")
@@ -49,7 +56,16 @@ class Tenant:
         cited = ranked.drop("rank").withColumn("citable", F.col("document_id").isNotNull())
         passages = retrieval.grounded(cited, coverage=coverage)
         allowed = F.lit(not self.grants.where("state = 'active'").isEmpty())
-        return passages, retrieval.outcomes(queries.select("qid"), cited, passages, granted=allowed)
+        ends = retrieval.outcomes(whole, cited, passages, granted=allowed).join(whole, "qid")
+        return passages, ends.withColumn("refusal", F.when(~F.col("is_safe"), pipeline.UNSAFE).otherwise(F.col("refusal"))).drop("is_safe")
+
+    def search(self, queries: DataFrame, **options: Any) -> pipeline.Found:
+        """The whole retrieval plan for queries (qid, query; sub_queries, document_ids, book_titles) over chunks with book_title; see ``pipeline.retrieve``."""
+        place = F.concat_ws(":", F.col("document_id").cast("string"), F.col("chunk_index").cast("string"))
+        chunks = self.chunks if "key" in self.chunks.columns else self.chunks.withColumn("key", place)
+        for name, value in (("book_title", F.lit(None).cast("string")), ("total_chunks", F.lit(None).cast("int"))):
+            chunks = chunks if name in chunks.columns else chunks.withColumn(name, value)
+        return pipeline.retrieve(queries.withColumn("user_id", F.lit(self.user_id)), chunks, self.grants, **options)
 
     def locate(self, requests: DataFrame) -> DataFrame:
         return retrieval.located(requests.withColumn("user_id", F.lit(self.user_id)), self.chunks, self.grants)
@@ -64,6 +80,14 @@ class Tenant:
         hours = topics.withColumns(workload.estimate(F.col("pages"), F.col("difficulty")))
         return workload.packed(hours, by=by, capacity=capacity, most=most)
 
+    def plan(self, topics: DataFrame, *, by: str, **options: Any) -> planner.Plan:
+        """The whole programme plan of evidence-backed topics; see ``planner.plan``."""
+        return planner.plan(topics, by=by, **options)
+
+    def index(self, documents: DataFrame, path: str, run: str, **options: Any) -> batch.Run:
+        """Load, chunk and index documents as one run under ``path``, with an outcome a document; see ``batch.ingested``."""
+        return batch.ingested(documents, path, run, tenant=F.lit(self.user_id), **options)
+
     def tools(self) -> dict[str, Tool]:
         """The verbs by name, with what they do."""
         verbs = (self.list_documents, self.retrieve, self.locate, self.ingest, self.plan_programme)
