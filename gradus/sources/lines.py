@@ -144,12 +144,12 @@ def lines(spark: SparkSession, path: str, *, split: int = SPLIT_BYTES) -> DataFr
 
 def numbered(spark: SparkSession, path: str, *, file: str | None = None, prefix: str | None = None, split: int = SPLIT_BYTES) -> DataFrame:
     """(file, line_no, said) of the lines, of one file or beginning with ``prefix`` if asked; numbers are those of the whole file."""
-    every = lines(spark, path, split=split)
-    every = every.where(F.col("file") == file) if file is not None else every
+    # two loads: Spark keeps what was pushed down with a loaded source, so a filtered and an unfiltered use of one load would be mixed up
+    every, wanted = (x.where(F.col("file") == file) if file is not None else x for x in (lines(spark, path, split=split), lines(spark, path, split=split)))
     sizes = every.groupBy("file", "split").agg(F.max("line").alias("n"))  # a row a split
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("file", "split", before.alias("__before"))
-    wanted = every.where(F.startswith("said", F.lit(prefix))) if prefix is not None else every
+    wanted = wanted.where(F.startswith("said", F.lit(prefix))) if prefix is not None else wanted
     return wanted.join(F.broadcast(starts), ["file", "split"]).select("file", (F.col("line") + F.col("__before")).alias("line_no"), "said")
 
 
@@ -171,7 +171,8 @@ def json_lines(spark: SparkSession, path: str, schema: str, *, required: tuple[s
     rows = rows.withColumn("__made", made)
     parsed = F.try_parse_json("said")
     found = [
-        F.when(parsed.isNull(), MALFORMED), F.when(~F.schema_of_variant(parsed).startswith("OBJECT"), NO_OBJECT), F.when(F.col("__made.__bad").isNotNull() | F.col("__made").isNull(), WRONG_TYPE),
+        F.when(parsed.isNull() | F.coalesce(F.json_array_length(F.concat(F.lit("["), "said", F.lit("]"))) != 1, F.lit(True)), MALFORMED),  # in brackets: nothing may follow the value
+        F.when(~F.schema_of_variant(parsed).startswith("OBJECT"), NO_OBJECT), F.when(F.col("__made.__bad").isNotNull() | F.col("__made").isNull(), WRONG_TYPE),
         *(F.when(F.col(f"__made.`{f}`").isNull(), F.lit(f"{f} is missing")) for f in required),
     ]
     error = F.coalesce(*found)
