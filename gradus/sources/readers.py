@@ -106,9 +106,27 @@ def event_log(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
 
 
 def relational(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """Rows of a query in a relational database."""
+    """Rows of a query in a relational database, by one connection: for what is small, or found by a key."""
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
+def relational_parts(spark: SparkSession, url: str, table: str, column: str, *, parts: int = 8, bounds: tuple[int, int] | None = None, **options: str) -> DataFrame:
+    """A whole table, one connection a range of the integer ``column``; filters and columns are pushed to the database.
+
+    The ranges have equal widths between the column's least and greatest value (asked for where not given). The first range also takes
+    what lies below and rows of null, the last what lies above, so every row is read once, whatever the bounds.
+    """
+    quoted = '"' + column.replace('"', '""') + '"'
+    if bounds is None:
+        ends = relational(spark, url, f"SELECT MIN({quoted}) AS low, MAX({quoted}) AS high FROM {table}", **options).toDF("low", "high").first()
+        bounds = (int(ends["low"] or 0), int(ends["high"] or 0))
+    low, high = bounds
+    cuts = sorted({low + (high - low) * i // parts for i in range(1, parts)} - {low})
+    if not cuts:
+        return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    ranges = [f"{quoted} < {cuts[0]} OR {quoted} IS NULL", *(f"{quoted} >= {a} AND {quoted} < {b}" for a, b in zip(cuts, cuts[1:], strict=False)), f"{quoted} >= {cuts[-1]}"]
+    return spark.read.jdbc(url, table, predicates=ranges, properties=options)
+
+
 def accepted(path: Column, root: str) -> Column:
     return F.startswith(path, F.lit(root.rstrip("/") + "/"))
