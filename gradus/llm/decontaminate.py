@@ -32,7 +32,9 @@ WINDOW, GRAM = 10, 5
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Benchmark fingerprints or windows that may be broadcast (some 100 bytes each at most for windows); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
-CANDIDATE_ROWS = 2_000_000
+CANDIDATE_ROWS = 500_000
+#: Bytes of the windows that may be broadcast: ten words can be long.
+WINDOW_BYTES = 32_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,7 +83,7 @@ def _each_salt(rows: DataFrame) -> DataFrame:
 def _judge(source: DataFrame, benchmark: DataFrame, item: str, item_text: str, bound: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Of ``source`` (id, text, mark): (id, mark, n_words) of its distinct rows, and (id, mark, spans, items) of those with hits.
 
-    Up to ``bound`` fingerprints and windows are broadcast. Beyond, both joins are by shuffle: documents without
+    Up to ``bound`` fingerprints and windows, and WINDOW_BYTES of these, are broadcast. Beyond, both joins are by shuffle: documents without
     fingerprints stay out of them, and the occurrences of a common one are salted by document.
     """
     given = cut(
@@ -98,7 +100,8 @@ def _judge(source: DataFrame, benchmark: DataFrame, item: str, item_text: str, b
         prints = prints.unionByName(given.where(F.size("words") == n).select(F.explode(_grams("words", n)).alias("print")))
     prints = cut(prints.distinct())
     windows = cut(windows)
-    few = prints.count() <= bound and windows.count() <= bound
+    size = windows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0)).alias("bytes")).first()
+    few = prints.count() <= bound and size["rows"] <= bound and size["bytes"] <= WINDOW_BYTES
 
     split = source.select("id", "mark", _exact(F.col("text")).alias("words"))
     n_words = F.size("words").cast("long").alias("n_words")
@@ -169,9 +172,9 @@ def hit_words(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["at"]))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", bound: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` without a hit word, columns unchanged."""
-    _, hit = _judge(_marked(docs, key, text), benchmark, item, item_text)
-    dirty = _small(cut(hit.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))), CANDIDATE_ROWS)
+    _, hit = _judge(_marked(docs, key, text), benchmark, item, item_text, bound)
+    dirty = _small(cut(hit.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))), CANDIDATE_ROWS if bound else 0)
     same = docs[key].eqNullSafe(dirty["__id"]) & (F.xxhash64(docs[text]) == dirty["__mark"])
     return docs.join(dirty, same, "left_anti")

@@ -42,8 +42,8 @@ STATS = "__stats"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: A join key set of this many strata stays below a few MB; more are refused, never dropped.
 MAX_STRATA = 10_000
-#: Ids of labelled good documents that are broadcast: 8 bytes each.
-BROADCAST_IDS = 2_000_000
+#: Ids of labelled good documents that are broadcast: some 100 bytes each in a hashed row.
+BROADCAST_IDS = 500_000
 
 
 @dataclass(frozen=True)

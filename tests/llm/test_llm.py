@@ -402,6 +402,26 @@ def test_decontamination_beyond_the_broadcast_bound(spark):
         t = [*texts, *texts[:5]][r.doc_id]
         assert (r.n_words, sum(s.end - s.at for s in r.spans), r["items"]) == brute_hits(t, items), t
     assert decontaminate.hits(docs, bench, bound=0).count() == docs.count()
+    dirty = {i for i, t in enumerate([*texts, *texts[:5]]) if brute_hits(t, items)[1]}
+    for bound in (0, decontaminate.BROADCAST_ROWS):
+        kept = decontaminate.clean(docs, bench, bound=bound)
+        assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - dirty and kept.columns == docs.columns
+
+
+def test_decontamination_beyond_the_bytes_of_windows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "WINDOW_BYTES", 100)
+    items = [(1, " ".join("long" * 9 + str(i) for i in range(12)))]
+    texts = [items[0][1], "clean text of some other words", "a " + items[0][1] + " b"]
+    found = decontaminate.hits(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in found.collect() if r.spans} == {0, 2}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_quality_rules_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs = frame(spark, [" ".join(f"w{i % 7 + j}" for j in range(60 + i % 30)) for i in range(80)])
+    want = {r.doc_id for r in rules.keep(docs, labels(spark, 80)).collect()}
+    monkeypatch.setattr(rules, "BROADCAST_IDS", 0)
+    assert {r.doc_id for r in rules.keep(docs, labels(spark, 80)).collect()} == want and want
 
 
 # 6 toxicity
