@@ -414,7 +414,7 @@ def test_decontamination_beyond_the_bytes_of_windows(spark, monkeypatch):
     texts = [items[0][1], "clean text of some other words", "a " + items[0][1] + " b"]
     found = decontaminate.hits(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id for r in found.collect() if r.spans} == {0, 2}
-    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert "salt" in found._jdf.queryExecution().sparkPlan().toString()  # joined by shuffle
 
 
 def test_quality_rules_beyond_the_broadcast_bound(spark, monkeypatch):
