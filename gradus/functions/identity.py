@@ -42,3 +42,20 @@ def artifact_key(content: Column, pipeline: Column) -> Column:
 def suffix(name: Column) -> Column:
     """Lower-case extension of a file name, without the dot."""
     return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+
+
+#: What shapes a generated course, by name, in the order in which it is hashed; a number of minutes a page has four digits.
+COURSE_COMPONENTS = (
+    "schema planner lecture_writer target_semester_weeks max_semester_weeks normal_semester_chapters max_chapters_per_semester max_chapters_per_week lecture_minutes_min lecture_minutes_max "
+    "minutes_per_page spoken_words_per_minute narration_sentences_per_slide slides_per_batch min_lecture_questions prompts generation_model"
+).split()
+
+
+def course_fingerprint(**components: Column | str | float) -> Column:
+    """SHA-256 over every component of a course; all of COURSE_COMPONENTS are needed, in any order, and no other."""
+    if set(components) != set(COURSE_COMPONENTS):
+        raise ValueError(f"missing or unknown: {sorted(set(components) ^ set(COURSE_COMPONENTS))}")
+    pace = components["minutes_per_page"]
+    shown = F.format_string("%.4f", pace.cast("double")) if isinstance(pace, Column) else f"{pace:.4f}"
+    given = components | {"minutes_per_page": shown}
+    return fingerprint(**{name: given[name].cast("string") if isinstance(given[name], Column) else str(given[name]) for name in COURSE_COMPONENTS})

@@ -87,3 +87,25 @@ def completeness(runs: DataFrame, *, key: str = "run_id") -> DataFrame:
     """Runs in which lectures and assessments cover exactly the selected topics."""
     sets = runs.groupBy(key).agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("topic_id")))).alias(k) for k in ("selected", "lecture", "assessment")))
     return sets.select(key, ((F.col("selected") == F.col("lecture")) & (F.col("selected") == F.col("assessment"))).alias("complete"))
+
+
+def complete_weeks(artifacts: DataFrame, *, by: str = "book_id", lecture: str = "lecture", script: str = "script") -> DataFrame:
+    """(by, n_complete): how many weeks have slides and segments, by the lengths of the lists in their payloads (JSON texts); what is no list counts as none."""
+    filled = lambda c, field: F.coalesce(F.json_array_length(F.get_json_object(c, f"$.{field}")) > 0, F.lit(False))
+    return artifacts.groupBy(by).agg(F.count_if(filled(lecture, "slides") & filled(script, "segments")).alias("n_complete"))
+
+
+def trace_details(tasks: DataFrame, *, key: str = "run_id", order: list[str]) -> DataFrame:
+    """(key, servings, states): all servings of a run's tasks in order, and the last state of each stage."""
+    each = F.array_sort(F.collect_list(F.struct(*order, F.coalesce("servings", F.array().cast(dict(tasks.dtypes)["servings"])).alias("served"))))
+    served = tasks.groupBy(key).agg(F.flatten(F.transform(each, lambda x: x["served"])).alias("servings"))
+    last = tasks.groupBy(key, "stage").agg(F.max_by("state", F.struct(*order)).alias("state"))
+    states = last.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "state")))).alias("states"))
+    return served.join(states, key)
+
+
+def compared(a: Column, b: Column) -> Column:
+    """Struct (equal, within): whether two arrays have the same members, and whether the first has none that the second lacks; null counts as empty."""
+    left, right = (F.coalesce(x, F.array().cast("array<string>")) if isinstance(x, str) else x for x in (a, b))
+    within = F.size(F.array_except(left, right)) == 0
+    return F.struct((within & (F.size(F.array_except(right, left)) == 0)).alias("equal"), within.alias("within"))

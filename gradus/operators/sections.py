@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from . import contracts
+
 #: Fixed value: the format of quizzes that belong to a learner.
 QUIZ_SCHEMA = "learner-assessment-bank-v1"
 
@@ -91,3 +94,54 @@ def last_artifacts(artifacts: DataFrame, books: DataFrame) -> DataFrame:
 def linked(lectures: DataFrame, artifacts: DataFrame, *, keys: tuple[str, ...] = ("book_id", "student_id", "week")) -> DataFrame:
     """Lectures with the id of their artifact, null without one; the keys identify an artifact."""
     return lectures.join(artifacts.select(*keys, F.col("artifact_id").alias("lecture_artifact_id")), list(keys), "left")
+
+
+#: Why a draft has no content to publish.
+NOTHING, NO_EXAMPLE, NO_TODO = "no_content", "no_worked_example", "no_actionable_todo"
+BUDGET = (30, 120)
+
+
+def _cited(ids: Column) -> Column:
+    """Passage ids as they are compared: trimmed, in capitals, distinct."""
+    return F.array_distinct(F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda x: F.upper(X.strip(x))))
+
+
+def built(drafts: DataFrame, passages: DataFrame, *, key: str = "draft_id", budget: tuple[int, int] = BUDGET) -> DataFrame:
+    """Section packs from drafts and the evidence that each may cite: (key, activities, examples, todos, objectives, total_minutes, passage_ids, problem, refusal).
+
+    ``drafts`` has objectives, activities (title, description, duration_minutes, source_ids), examples (order, prompt, conclusion, source_ids,
+    steps (step, explanation, source_ids)) and todos (text, time_box_minutes, source_ids); ``passages`` (key, passage_id and what a citation shows). Parts come out
+    with ``citations`` in place of their ids, activities and todos numbered, examples in order. A draft with a problem or a refusal publishes nothing:
+    its parts are null. The first problem counts: ids that are not among the passages, minutes outside the budget, objectives or titles that are blank or repeat.
+    A draft's passages are a few, so they are met as a map and nothing is exploded.
+    """
+    details = [c for c in passages.columns if c not in (key, "passage_id")]
+    entry = F.struct(F.upper(X.strip(F.col("passage_id"))).alias("passage_id"), F.struct("passage_id", *details).alias("citation"))
+    known = passages.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("__known"))
+    rows = drafts.join(known, key, "left").withColumn("__known", F.coalesce("__known", F.create_map().cast(dict(known.dtypes)["__known"])))
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast(dict(drafts.dtypes)[c]))
+    activities, examples, todos = listed("activities"), listed("examples"), listed("todos")
+
+    of = lambda parts: F.flatten(F.transform(parts, lambda p: _cited(p["source_ids"])))
+    steps = F.flatten(F.transform(examples, lambda e: F.concat(_cited(e["source_ids"]), of(F.coalesce(e["steps"], F.array().cast(drafts.schema["examples"].dataType.elementType["steps"].dataType))))))
+    ids = F.array_distinct(F.concat(of(activities), steps, of(todos)))
+    cite = lambda p: F.transform(_cited(p["source_ids"]), lambda i: F.try_element_at("__known", i)).alias("citations")
+    minutes = F.aggregate(F.transform(activities, lambda a: a["duration_minutes"].cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    unique = lambda values: F.forall(values, lambda v: X.strip(v) != "") & (F.size(F.array_distinct(F.transform(values, lambda v: F.lower(X.strip(v))))) == F.size(values))
+    cites = lambda parts: F.forall(parts, lambda p: F.size(_cited(p["source_ids"])) > 0)
+    problem = contracts.first_problem(
+        (F.forall(ids, lambda i: F.map_contains_key("__known", i)), "a cited passage is not in the evidence"), (cites(activities) & cites(examples) & cites(todos), "a part cites nothing"),
+        (minutes.between(*budget), "minutes outside the budget"), (unique(listed("objectives")), "objectives repeat or are blank"), (unique(F.transform(activities, lambda a: a["title"])), "titles repeat or are blank"),
+    )
+    none = lambda parts: F.size(parts) == 0
+    refusal = F.when(none(examples) & none(todos), NOTHING).when(none(examples), NO_EXAMPLE).when(none(todos), NO_TODO)
+    made = {
+        "activities": F.transform(activities, lambda a, i: F.struct((i + 1).alias("order"), a["title"].alias("title"), a["description"].alias("description"), a["duration_minutes"].alias("duration_minutes"), cite(a))),
+        "examples": F.array_sort(F.transform(examples, lambda e: F.struct(
+            e["order"].alias("order"), e["prompt"].alias("prompt"), F.transform(e["steps"], lambda s: F.struct(s["step"].alias("step"), s["explanation"].alias("explanation"), cite(s))).alias("steps"), e["conclusion"].alias("conclusion"), cite(e),
+        ))),
+        "todos": F.transform(todos, lambda t, i: F.struct((i + 1).alias("order"), t["text"].alias("text"), t["time_box_minutes"].alias("time_box_minutes"), cite(t))),
+    }
+    fine = rows.withColumns({"problem": problem, "refusal": F.when(problem.isNull(), refusal), "total_minutes": minutes, "passage_ids": ids})
+    publish = F.col("problem").isNull() & F.col("refusal").isNull()
+    return fine.select(key, *(F.when(publish, column).alias(name) for name, column in made.items()), "objectives", "total_minutes", "passage_ids", "problem", "refusal")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import identity
+
 
 def append(points: DataFrame, path: str, tenant: str = "user_id") -> None:
     """Append by tenant; the commit protocol publishes all files of the write or none."""
@@ -61,3 +63,15 @@ def report_markdown(report: dict, cases: list[dict]) -> str:
     head += [f"| {m['metric']} | {m['value']} | {m['threshold']} | {'yes' if m['passed'] else 'no'} |" for m in report["metrics"]]
     body = ["", f"Verdict: {'PASS' if report['passed'] else 'FAIL'} over {len(cases)} cases", "", "| case | precision | recall | reciprocal rank |", "|---|---|---|---|"]
     return "\n".join(head + body + [f"| {c['case_id']} | {c['precision']} | {c['recall']} | {c['rr']} |" for c in cases]) + "\n"
+
+
+def deleted(points: DataFrame, requests: DataFrame, *, tenant: str = "user_id", document: str = "document_id") -> tuple[DataFrame, DataFrame]:
+    """What is left of ``points``, and (request columns, document, n_deleted) of every request (tenant, collection_id, source_filename).
+
+    The id of a document is derived from its collection and name, never taken from the caller, and points are counted before they go.
+    A request for what is not there deletes nothing and says so; equal requests count once.
+    """
+    made = requests.select(tenant, "collection_id", "source_filename").distinct().withColumn(document, identity.document_id(F.col("collection_id"), F.col("source_filename")))
+    counts = points.join(made.select(tenant, document), [tenant, document], "left_semi").groupBy(tenant, document).agg(F.count("*").alias("n_deleted"))
+    report = made.join(counts, [tenant, document], "left").withColumn("n_deleted", F.coalesce("n_deleted", F.lit(0)))
+    return points.join(made.select(tenant, document), [tenant, document], "left_anti"), report

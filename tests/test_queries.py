@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gradus import catalog, catalog_courses, catalog_retrieval  # noqa: F401  (their queries join those of catalog)
+from gradus import catalog, catalog_courses, catalog_records, catalog_retrieval  # noqa: F401  (their queries join those of catalog)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

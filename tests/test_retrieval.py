@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gradus.operators import injected, neighbours, pipeline, retrieval
+from gradus.operators import injected, neighbours, pipeline, postings, retrieval
 from gradus.sources import ingest, versions
 
 # Neighbours
@@ -283,3 +283,36 @@ def test_a_run_that_exists_is_refused_and_stays(spark, tmp_path):
     with pytest.raises(FileExistsError):
         ingest.index_run([rows_of(spark, 2)], path, "run-1")
     assert ids_of(spark.read.parquet(path)) == [1]
+
+
+# Stored postings
+
+
+def corpus(spark, n=400, seed=5):
+    rng = random.Random(seed)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(common) if rng.random() < 0.8 else rng.choice(rare) for _ in range(rng.randrange(1, 60)))) for i in range(n)]
+    rows += [(n, None), (n + 1, ""), (n + 2, "!!"), (n + 3, "c1 " * 400), (n + 4, "c1"), (n + 5, "c1")]
+    queries = [(i, " ".join(rng.sample(common, 1) + rng.sample(rare, 2))) for i in range(30)] + [(30, "c1"), (31, "unknown"), (32, None), (33, "c1 c2 c3"), (34, "r5 unknown")]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(queries, "item_id long, text string")
+
+
+@pytest.mark.parametrize("block", [1, 7, 128])
+def test_stored_postings_are_bm25(spark, tmp_path, block):
+    docs, queries = corpus(spark)
+    index = postings.build(docs, block=block)
+    want = sorted(map(tuple, retrieval.bm25(queries, docs, k=5).collect()))
+    assert sorted(map(tuple, postings.search(index, queries, k=5).collect())) == want
+    index.write(str(tmp_path / "index"))
+    stored = postings.Index.read(spark, str(tmp_path / "index"))
+    assert sorted(map(tuple, postings.search(stored, queries, k=5).collect())) == want
+    assert sorted(map(tuple, postings.search(stored, queries, k=70).collect())) == sorted(map(tuple, retrieval.bm25(queries, docs, k=70).collect()))
+    spent = {r.qid: (r.n_read, r.n_postings) for r in postings.cost(stored, queries, k=5).collect()}
+    assert all(a <= b for a, b in spent.values()) and sum(a for a, _ in spent.values()) < sum(b for _, b in spent.values())
+    assert spent[30][0] < spent[30][1] / 4  # a query of one common term opens its best blocks alone
+
+
+def test_stored_postings_of_nothing(spark):
+    docs, queries = corpus(spark)
+    assert postings.search(postings.build(docs.limit(0)), queries).count() == 0
+    assert postings.search(postings.build(docs), queries.limit(0)).count() == 0

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from gradus.api import Tenant
 from gradus.plans import planner
-from gradus.sources import batch, lines
+from gradus.functions import identity
+from gradus.operators import sections
+from gradus.sources import batch, lines, sinks
 
 
 def write(folder, **texts):
@@ -193,3 +195,47 @@ def test_small_programme(spark):
     totals = {r.programme: (r.considered, r.scheduled, r.source_documents) for r in plan.summary.collect()}
     assert totals == {"p": (4, 3, ["a", "b", "c"]), "q": (1, 1, ["z"])}
     assert planner.plan(spark.createDataFrame([], TOPIC)).summary.count() == 0
+
+
+# Records of courses
+
+
+def test_section_packs(spark):
+    def activity(title, minutes, *ids):
+        return (title, "d", minutes, list(ids))
+
+    def example(order, *ids, step=("S1",)):
+        return (order, "p", "c", list(ids), [(1, "why", list(step))])
+
+    def todo(*ids):
+        return ("t", 5, list(ids))
+
+    parts = "array<struct<title string, description string, duration_minutes int, source_ids array<string>>>"
+    shape = f"draft_id int, objectives array<string>, activities {parts}, examples array<struct<order int, prompt string, conclusion string, source_ids array<string>, steps array<struct<step int, explanation string, source_ids array<string>>>>>, todos array<struct<text string, time_box_minutes int, source_ids array<string>>>"
+    fine = [activity("One", 20, " s1", "S1"), activity("Two", 25, "S2")]
+    drafts = [
+        (1, ["know"], fine, [example(2, "S2"), example(1, "S1", step=("S2", "s2"))], [todo("S2")]), (2, ["know"], fine, [], [todo("S1")]), (3, ["know"], fine, [example(1, "S1")], None), (4, ["know"], fine, None, []),
+        (5, ["know"], [activity("One", 40, "S9")], [example(1, "S1")], [todo("S1")]), (6, ["know"], [activity("One", 5, "S1")], [example(1, "S1")], [todo("S1")]), (7, ["know", " Know"], fine, [example(1, "S1")], [todo("S1")]),
+        (8, ["know"], [*fine, activity(" one", 5, "S1")], [example(1, "S1")], [todo("S1")]), (9, ["know"], fine, [example(1, "S1", step=())], [todo()]), (10, ["know"], fine, [example(1, "S1", step=("S7",))], [todo("S1")]), (11, ["know"], fine, [example(1, "S1")], [todo("S1")]),
+    ]
+    passages = [(d, f"S{n}", f"book {n}", n) for d in range(1, 11) for n in (1, 2)]
+    made = sections.built(spark.createDataFrame(drafts, shape), spark.createDataFrame(passages, "draft_id int, passage_id string, book_title string, page int"))
+    got = {r.draft_id: r for r in made.collect()}
+    assert {d: (r.problem, r.refusal) for d, r in got.items()} == {
+        1: (None, None), 2: (None, "no_worked_example"), 3: (None, "no_actionable_todo"), 4: (None, "no_content"), 5: ("a cited passage is not in the evidence", None), 6: ("minutes outside the budget", None), 7: ("objectives repeat or are blank", None),
+        8: ("titles repeat or are blank", None), 9: ("a part cites nothing", None), 10: ("a cited passage is not in the evidence", None), 11: ("a cited passage is not in the evidence", None),
+    }
+    one = got[1]
+    assert [(a.order, a.title, [(c.passage_id, c.page) for c in a.citations]) for a in one.activities] == [(1, "One", [("S1", 1)]), (2, "Two", [("S2", 2)])]
+    assert [(e.order, [c.book_title for s in e.steps for c in s.citations]) for e in one.examples] == [(1, ["book 2"]), (2, ["book 1"])]
+    assert (one.total_minutes, one.passage_ids, one.todos[0].citations[0].passage_id) == (45, ["S1", "S2"], "S2") and got[5].activities is None
+
+
+def test_deletion_and_fingerprints(spark):
+    made = spark.createDataFrame([("u1", "c", "a.md"), ("u1", "c", "b.md"), ("u2", "c", "a.md")], "user_id string, collection_id string, source_filename string")
+    points = made.withColumn("document_id", identity.document_id(F.col("collection_id"), F.col("source_filename"))).crossJoin(spark.range(3)).drop("collection_id")
+    left, report = sinks.deleted(points, spark.createDataFrame([("u1", "c", "a.md"), ("u1", "c", "a.md"), ("u1", "c", "none.md")], made.schema))
+    assert {(r.user_id, r.source_filename) for r in left.collect()} == {("u1", "b.md"), ("u2", "a.md")}
+    assert {(r.source_filename, r.n_deleted) for r in report.collect()} == {("a.md", 3), ("none.md", 0)} and report.count() == 2
+    with pytest.raises(ValueError, match="planner"):
+        identity.course_fingerprint(schema="1")
