@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .functions import identity
-from .operators import lifecycle, sections
+from .operators import contracts, evaluation, lifecycle, sections
 from .session import table
 from .sources import sinks
 
@@ -83,3 +83,54 @@ def section_packs_built(spark, sf_dir):
     made = sections.built(drafts, passages)
     cited = lambda c: F.aggregate(F.transform(c, lambda p: F.size(p["citations"])), F.lit(0), lambda a, b: a + b)
     return made.select("draft_id", "total_minutes", "problem", "refusal", (cited("activities") + cited("examples")).cast("long").alias("n_citations"))
+
+
+# Rules on material that the tables hold: the SQL evaluates the rules themselves
+
+
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH q AS (SELECT doc_id, string_split(text, chr(10))[1] AS question, string_split(text, ' ') AS w FROM documents),
+c AS (SELECT doc_id, question, w[2] AS answer, list_transform(w[2:5], lambda o: lower({_STRIP.format("regexp_replace(" + _STRIP.format("o") + ", '^[A-Da-d][).:]\\s*', '')")})) AS options FROM q)
+SELECT doc_id, CASE WHEN length({_STRIP.format("question")}) = 0 THEN 'question is blank' WHEN len(options) <> 4 THEN 'wrong number of options' WHEN list_contains(options, '') THEN 'an option is blank'
+  WHEN len(list_distinct(options)) <> 4 THEN 'options repeat' WHEN coalesce(upper({_STRIP.format("left(answer, 1)")}), '') NOT IN ('A', 'B', 'C', 'D') THEN 'answer is no label' END AS problem FROM c""")
+def quiz_of_texts(spark, sf_dir):
+    """The first line asks, the second to fifth word are the options, the second begins with the answer."""
+    words = F.split("text", " ")
+    problem = contracts.quiz_problem(F.get(F.split("text", "\n"), F.lit(0)), F.slice(words, 2, 4), F.left(F.get(words, F.lit(1)), F.lit(1)))
+    return table(spark, sf_dir, "documents").select("doc_id", problem.alias("problem"))
+
+
+_REPLY = """CASE event_type WHEN 'view' THEN '{"faithfulness": ' || n || ', "answer_relevancy": ' || k || 'e-2}' WHEN 'click' THEN '{"score": ' || n || '}' WHEN 'signup' THEN '{"score": ' || n || ', "note": 1}'
+  WHEN 'error' THEN '{"faithfulness": "' || n || '", "score": ' || k || 'e-2, "reasoning": "x"}' ELSE '{"faithfulness": ' || n END"""
+
+
+@query(f"""WITH e AS (SELECT event_id, event_type, round(value * 100)::BIGINT::VARCHAR || 'e-4' AS n, json_extract_string(props, '$.k') AS k FROM events), r AS (SELECT event_id, {_REPLY} AS raw FROM e),
+v AS (SELECT event_id, raw, json_valid(raw) AS ok FROM r), f AS (SELECT event_id, CASE WHEN ok THEN json_keys(raw) END AS keys,
+  CASE WHEN ok THEN coalesce(TRY_CAST(json_extract_string(raw, '$.faithfulness') AS DOUBLE), TRY_CAST(json_extract_string(raw, '$.score') AS DOUBLE)) END AS faithful,
+  CASE WHEN ok THEN coalesce(TRY_CAST(json_extract_string(raw, '$.answer_relevancy') AS DOUBLE), TRY_CAST(json_extract_string(raw, '$.score') AS DOUBLE)) END AS relevant FROM v)
+SELECT event_id, CASE WHEN fine THEN faithful END AS faithfulness, CASE WHEN fine THEN relevant END AS answer_relevancy FROM
+  (SELECT *, coalesce(len(list_filter(keys, lambda y: y NOT IN ('faithfulness', 'answer_relevancy', 'score', 'reasoning'))) = 0 AND faithful BETWEEN 0 AND 1 AND relevant BETWEEN 0 AND 1, false) AS fine FROM f)""")
+def judge_replies(spark, sf_dir):
+    """Replies of a judge made of the values of events: numbers in and out of range, one score for both, unknown fields, cut-off JSON."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.concat(F.round(F.col("value") * 100).cast("long").cast("string"), F.lit("e-4")).alias("n"), F.get_json_object("props", "$.k").alias("k"))
+    card = evaluation.judge_scores(F.col("raw"))
+    return rows.select("event_id", F.expr(_REPLY).alias("raw")).select("event_id", card["faithfulness"].alias("faithfulness"), card["answer_relevancy"].alias("answer_relevancy"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS q, l_returnflag AS f, l_returnflag || l_linestatus || l_linenumber % 3 AS t, l_linestatus = 'O' AS o FROM lineitem),
+a AS (SELECT l_orderkey, sum(q) AS total, count(*) AS n, count(DISTINCT f) AS flags, count(DISTINCT t) AS titles, count(*) FILTER (f = 'N') AS examples, count(*) FILTER (o) AS todos FROM l GROUP BY l_orderkey),
+b AS (SELECT a.*, total + (round(o_totalprice * 100)::BIGINT % 10 = 0)::INT AS budget FROM a JOIN orders ON o_orderkey = l_orderkey)
+SELECT l_orderkey AS section_id, CASE WHEN budget NOT BETWEEN 30 AND 120 THEN 'budget outside 30 to 120 minutes' WHEN total <> budget THEN 'minutes do not make up the budget' WHEN flags < n THEN 'objectives repeat or are blank'
+  WHEN titles < n THEN 'titles repeat or are blank' WHEN examples = 0 THEN 'no grounded example' WHEN todos = 0 THEN 'no grounded exercise' END AS problem FROM b""")
+def section_of_orders(spark, sf_dir):
+    """An order's quantities are the minutes of its parts, its flags the objectives; prices decide which budget is off by one."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.collect_list(F.col("l_quantity").cast("long")).alias("minutes"), F.collect_list("l_returnflag").alias("flags"), F.collect_list(F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 3).cast("string"))).alias("titles"),
+        F.collect_list(F.when(F.col("l_returnflag") == "N", "x")).alias("examples"), F.collect_list(F.when(F.col("l_linestatus") == "O", "x")).alias("todos"), F.sum("l_quantity").cast("long").alias("total"),
+    )
+    rows = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    budget = F.col("total") + (F.round(F.col("o_totalprice") * 100).cast("long") % 10 == 0).cast("int")
+    problem = contracts.section_problem(F.col("minutes"), budget, F.col("flags"), F.col("titles"), F.col("examples"), F.col("todos"))
+    return rows.select(F.col("l_orderkey").alias("section_id"), problem.alias("problem"))

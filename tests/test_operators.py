@@ -331,3 +331,26 @@ def test_evaluate(spark, tmp_path, case, code):
     path.write_text(json.dumps({"id": "1", "query": "q"} | case) if case else "{broken")
     got, report = evaluate.run(spark, str(path), least_recall=0.6, least_faithfulness=0.7)
     assert got == code and ("Verdict" in report) == (code < 2)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_split_text_by_its_properties(seed):
+    """Chunks are stretches of the text in order, within the size, overlap at most as asked, and leave out white space alone."""
+    import random
+
+    rng = random.Random(seed)
+    size, overlap = rng.choice([(20, 5), (40, 0), (33, 10), (100, 20)])
+    body = "".join(f"{i}" + rng.choice(["ab", "c", " ", " ", f". {i}", f"\n{i}", "\n\n", "word ", f"long{i}" * 5, f"\n# {i}", "é", f"\n## h{i}\n"]) for i in range(100, 100 + rng.randrange(0, 120)))
+    marks = rng.choice([chunking.SEPARATORS, chunking.MARKDOWN_SEPARATORS])
+    chunks = chunking.split_text(body, size, overlap, marks)
+    covered, last = set(), 0
+    for chunk in chunks:
+        assert chunk.strip() and len(chunk) <= size
+        follows = next((i for i in range(last, len(body)) if not body[i].isspace()), last)
+        start = follows if body.startswith(chunk, follows) else body.find(chunk, max(0, last - overlap))
+        assert start >= 0, (chunk, body[last:])
+        assert last - overlap <= start <= follows
+        covered |= set(range(start, start + len(chunk)))
+        last = start + len(chunk)
+    assert all(body[i].isspace() for i in set(range(len(body))) - covered)
+    assert chunking.split_text(body, size, overlap, marks) == chunks
