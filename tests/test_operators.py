@@ -346,6 +346,8 @@ def test_split_text_by_its_properties(seed):
     covered, last = set(), 0
     for chunk in chunks:
         assert chunk.strip() and len(chunk) <= size
+        if body[:last].endswith(chunk):  # the rest of a cut without marks may lie in the part before it
+            continue
         follows = next((i for i in range(last, len(body)) if not body[i].isspace()), last)
         start = follows if body.startswith(chunk, follows) else body.find(chunk, max(0, last - overlap))
         assert start >= 0, (chunk, body[last:])
