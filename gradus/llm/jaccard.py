@@ -314,6 +314,8 @@ def _entries(labelled: DataFrame, levels, percent: int, list_rows: int) -> DataF
     return labelled.select("id", "text", "label").mapInArrow(over, "shingle long, deal long, size int, place int, id long, label long")
 
 
+#: Candidate pairs that a task holds before it passes them on: 16 bytes each.
+PAIRS = 500_000
 #: The deal of entries of lists that are not split: part 0, all on one side.
 WHOLE = 2
 
@@ -350,6 +352,13 @@ def _probe(size: np.ndarray, place: np.ndarray, ident: np.ndarray, label: np.nda
                 yield found, np.full(len(found), ident[j])
 
 
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Distinct (a, b), the smaller id first."""
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+
 def _candidates(entries: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) of different labels from the lists; lists of one member or one label are passed over whole."""
 
@@ -373,11 +382,16 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
             _, deal, size, place, ident, label = columns
             mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
             ends = np.append(starts[1:], len(label))
-            found = [pair for s, e in zip(starts[mixed], ends[mixed], strict=True) for pair in _probe(size[s:e].astype(np.int64), place[s:e], ident[s:e], label[s:e], deal[s:e] % 3, percent)]
+            found, held = [], 0
+            for s, e in zip(starts[mixed], ends[mixed], strict=True):
+                for pair in _probe(size[s:e].astype(np.int64), place[s:e], ident[s:e], label[s:e], deal[s:e] % 3, percent):
+                    found.append(pair)
+                    held += len(pair[0])
+                    if held >= PAIRS:  # a list's pairs are passed on as they come
+                        yield _pairs(found)
+                        found, held = [], 0
             if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+                yield _pairs(found)
 
     part = F.floor(F.col("deal") / 3)
     listed = entries.repartition("shingle", part).sortWithinPartitions("shingle", part, "size", "place", "id")

@@ -11,6 +11,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -556,6 +557,30 @@ def test_jaccard_at_every_bound(spark, monkeypatch):
     for bound, list_rows in ((0, 8), (jaccard.BROADCAST_ROWS, 8), (0, jaccard.LIST)):
         assert {r.doc_id: r.component_id for r in jaccard.linked(docs, bound=bound, list_rows=list_rows).collect()} == want, (bound, list_rows)
     assert {r.doc_id for r in jaccard.first_of_each(docs, bound=0).collect()} == set(want.values())
+    monkeypatch.setattr(jaccard, "PAIRS", 3)
+    assert {r.doc_id: r.component_id for r in jaccard.linked(docs).collect()} == want
+
+
+def test_pairs_of_a_list_are_passed_on_in_parts(monkeypatch):
+    """What a task holds of a list's pairs is bounded, and no pair is lost."""
+    monkeypatch.setattr(jaccard, "PAIRS", 100)
+    n = 300
+    columns = [np.zeros(n, dtype=np.int64), np.full(n, jaccard.WHOLE), np.full(n, 50, dtype=np.int32), np.zeros(n, dtype=np.int32), np.arange(n), np.arange(n)]
+
+    class Entries:
+        def __getattr__(self, name):
+            return lambda *args, **options: self
+
+        def mapInArrow(self, over, shape):
+            parts = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 90]) for c in columns], names=list("abcdef")) for i in range(0, n, 90)]
+            self.made = list(over(iter(parts)))
+            return self
+
+    entries = Entries()
+    jaccard._candidates(entries, jaccard.PERCENT)
+    assert max(b.num_rows for b in entries.made) < 100 + n
+    pairs = {p for b in entries.made for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert pairs == {(i, j) for j in range(n) for i in range(j)}
 
 
 def test_jaccard_empty_and_null_ids(spark):
@@ -782,6 +807,27 @@ def test_pipeline(spark, sf):
     assert all(len(r.ids) == 4 * r.n_tokens for r in got.values())
 
 
+def test_pipeline_of_odd_and_of_no_rows(spark, sf, tmp_path):
+    """Null and empty texts, repeated rows, further columns, and a table without rows pass through every stage."""
+    import corpus_pipeline
+
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    long = " ".join(f"word{i}" for i in range(300))
+    odd = frame(spark, [*ODD, long, long, long + " more", "x" * 3000]).withColumn("extra", F.lit("kept"))
+    odd = odd.unionByName(odd)
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, str(tmp_path))
+        assert made.columns == odd.columns and made.where("extra <> 'kept'").isEmpty(), name
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0, name
+    kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality_rules(spark, odd, str(tmp_path)), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {len(ODD)} and kept.count() == 1
+    assert {r.n_tokens for r in corpus_pipeline.byte_bpe(spark, odd.where("text IS NULL OR text = ''"), str(tmp_path)).collect()} == {0}
+    odd.limit(0).drop("extra").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_digest_of_base_spans(spark, sf):
     for r, d in zip(queries.QUERIES["op8_secret_scans"](spark, sf).orderBy("doc_id").collect(), spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect(), strict=True):
         joined = ",".join(f"{secretscan.KINDS[k]}:{s}:{e}" for s, k, e in brute_base(d.text))
