@@ -2,6 +2,9 @@
 
 Stages return the columns of ``documents``; the last returns token ids. ``run`` writes each stage's
 rows as Parquet in the folder that all executors share and rereads them for the next.
+
+An empty table passes through every stage, and further columns go along up to the last. Very long texts, repeated rows and ties
+are as each operator states.
 """
 
 from __future__ import annotations
@@ -20,27 +23,30 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or a certified cutoff reject go."""
+    """Documents that the base rules or a certified cutoff reject go, null and empty texts among them; repeated rows are judged each."""
     return rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked texts the document of smallest id stays."""
+    """Of each component of linked texts the document of smallest id stays, of a repeated id one row; rows without words or id are linked with nothing and stay."""
     return jaccard.first_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark window occurs go."""
+    """Documents in which a benchmark window occurs go; null and empty texts have no words and stay; rows of one id are judged each by its text."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts, and n_chars follows."""
+    """Secrets are masked in the texts, and n_chars follows; null and empty texts stay as they are."""
     return secretscan.redact(docs, secretscan.fit(docs))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_chars, n_tokens, ids): ids little-endian unsigned 32-bit, decoded and held against the text."""
+    """(doc_id, lang, source, n_chars, n_tokens, ids): ids little-endian unsigned 32-bit, decoded and held against the text.
+
+    Null and empty texts have no ids.
+    """
     with open(public_tokenizers.path(VOCABULARY), "rb") as file:
         made = bpe.round_trip(docs, file.read(), public_tokenizers.PATTERN, ids="__ids", decoded="__decoded")
     same = F.col("__decoded") == F.coalesce("text", F.lit("")).cast("binary")
