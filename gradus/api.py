@@ -19,11 +19,46 @@ class Refused(PermissionError):
     """The query was not safe; the rules that matched."""
 
 
+class Mismatch(TypeError):
+    """What a tool was given, or gave, is not of its contract."""
+
+
 @dataclass(frozen=True)
 class Tool:
+    """A verb with its contract: the columns that each of its tables needs, and those that each of its results has."""
+
     name: str
     summary: str
-    call: Callable[..., DataFrame]
+    call: Callable[..., Any]
+    needs: dict[str, tuple[str, ...]]
+    gives: tuple[tuple[str, ...], ...]
+
+    def __call__(self, **given: Any) -> Any:
+        """``call`` between two checks: of the schemas alone, so nothing runs for them."""
+        for name, columns in self.needs.items():
+            if not isinstance(given.get(name), DataFrame):
+                raise Mismatch(f"{self.name} needs a table {name}")
+            _has(given[name], columns, f"{self.name}: {name}")
+        made = self.call(**given)
+        for i, (table, columns) in enumerate(zip(made if isinstance(made, tuple) else (made,), self.gives, strict=True)):
+            _has(table, columns, f"{self.name}: result {i}")
+        return made
+
+
+def _has(table: DataFrame, columns: tuple[str, ...], where: str) -> None:
+    lost = [c for c in columns if c not in table.columns]
+    if lost:
+        raise Mismatch(f"{where} lacks {', '.join(lost)}")
+
+
+#: The contracts of the verbs whose results are tables.
+CONTRACTS: dict[str, tuple[dict[str, tuple[str, ...]], tuple[tuple[str, ...], ...]]] = {
+    "list_documents": ({}, (("document_id",),)),
+    "retrieve": ({"queries": ("qid", "query")}, (("qid", "passage_id", "content"), ("qid", "n_passages", "refusal"))),
+    "locate": ({"requests": ("document_id", "want")}, (("document_id", "refusal", "excerpt"),)),
+    "ingest": ({"documents": ("document_id", "text")}, (("document_id", "chunk_index", "content", "user_id"),)),
+    "plan_programme": ({"topics": ("topic_id", "position", "pages", "difficulty", "parents", "keep_with")}, (("topic_id", "term"),)),
+}
 
 
 class Tenant:
@@ -89,6 +124,20 @@ class Tenant:
         return batch.ingested(documents, path, run, tenant=F.lit(self.user_id), **options)
 
     def tools(self) -> dict[str, Tool]:
-        """The verbs by name, with what they do."""
-        verbs = (self.list_documents, self.retrieve, self.locate, self.ingest, self.plan_programme)
-        return {v.__name__: Tool(v.__name__, (v.__doc__ or "").strip().split("\n")[0], v) for v in verbs}
+        """The verbs by name, with what they do and what they need and give."""
+        found = {}
+        for name, (needs, gives) in CONTRACTS.items():
+            verb = getattr(self, name)
+            found[name] = Tool(name, (verb.__doc__ or "").strip().split("\n")[0], verb, needs, gives)
+        return found
+
+    def call_tool(self, name: str, **given: Any) -> Any:
+        """A verb by name; an unknown one is an error that names those that exist."""
+        tools = self.tools()
+        if name not in tools:
+            raise Mismatch(f"no tool {name}; there are {', '.join(sorted(tools))}")
+        return tools[name](**given)
+
+    def manifest(self) -> list[dict[str, Any]]:
+        """The verbs as plain records."""
+        return [{"name": t.name, "summary": t.summary, "needs": {k: list(v) for k, v in t.needs.items()}, "gives": [list(g) for g in t.gives]} for t in self.tools().values()]

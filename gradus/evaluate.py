@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
+from collections.abc import Callable
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -15,11 +17,20 @@ from .session import session
 from .sources import readers, sinks
 
 
-def run(spark: SparkSession, path: str, *, least_recall: float, least_faithfulness: float) -> tuple[int, str]:
-    """(exit code, report); judge scores are read from the cases."""
+def named(judge: str | None) -> Callable | None:
+    """The function that ``package.module:function`` names."""
+    if judge is None:
+        return None
+    module, _, function = judge.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def run(spark: SparkSession, path: str, *, least_recall: float, least_faithfulness: float, judge: Callable | None = None) -> tuple[int, str]:
+    """(exit code, report); judge scores are read from the cases, or asked of ``judge`` (query, joined ids of what was retrieved)."""
     try:
         cases = readers.eval_cases(spark, path)
-        scored = evaluation.scored(cases).withColumn("faithfulness", F.col("judge")["faithfulness"]).cache()
+        asked = cases.withColumn("answer", F.array_join("retrieved", " "))
+        scored = evaluation.judged(evaluation.scored(asked), judge).cache()
         rows = scored.select(F.col("id").alias("case_id"), "precision", "recall", "rr").orderBy("id").collect()
     except (PySparkException, Py4JError) as error:
         return 2, f"unusable cases: {str(error).splitlines()[0]}\n"
@@ -38,8 +49,9 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("cases")
     parser.add_argument("--recall", type=float, default=evaluation.RECALL)
     parser.add_argument("--faithfulness", type=float, default=evaluation.FAITHFULNESS)
+    parser.add_argument("--judge", help="package.module:function that scores cases; without it their own scores count")
     given = parser.parse_args(argv)
-    code, report = run(session("evaluate"), given.cases, least_recall=given.recall, least_faithfulness=given.faithfulness)
+    code, report = run(session("evaluate"), given.cases, least_recall=given.recall, least_faithfulness=given.faithfulness, judge=named(given.judge))
     print(report)
     return code
 

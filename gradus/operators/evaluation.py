@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import injected
+
 RECALL, FAITHFULNESS = 0.60, 0.70
 
 
@@ -60,3 +64,19 @@ def judge_scores(raw: Column, allowed: tuple[str, ...] = ("faithfulness", "answe
     known = F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) == 0
     fine = parsed.isNotNull() & known & faithful.between(0, 1) & relevancy.between(0, 1)
     return F.when(fine, F.struct(faithful.alias("faithfulness"), relevancy.alias("answer_relevancy")))
+
+
+def judged(cases: DataFrame, judge: Callable | None = None, *, inputs: tuple[str, ...] = ("query", "answer"), attempts: int = injected.ATTEMPTS) -> DataFrame:
+    """``cases`` with faithfulness, answer_relevancy, judge_error and judge_attempts of each.
+
+    Without a judge the scores are those that the cases hold (a map ``judge``); with one, a function of pandas series that returns
+    a reply (a JSON text) a row, each reply must be a scorecard. A case whose reply is none, or that the judge fails
+    for in every attempt, has no scores and the reason: it lowers no mean and stops no other.
+    """
+    if judge is None:
+        held = F.col("judge")
+        return cases.withColumns({"faithfulness": held["faithfulness"], "answer_relevancy": held["answer_relevancy"], "judge_error": F.lit(None).cast("string"), "judge_attempts": F.lit(0)})
+    made = cases.withColumn("__reply", injected.applied(judge, "string", *inputs, attempts=attempts)).withColumn("__card", judge_scores(F.col("__reply.value")))
+    error = F.coalesce(F.col("__reply.error"), F.when(F.col("__card").isNull(), "NoScorecard"))
+    scores = {"faithfulness": F.col("__card.faithfulness"), "answer_relevancy": F.col("__card.answer_relevancy"), "judge_error": error, "judge_attempts": F.col("__reply.attempts")}
+    return made.withColumns(scores).drop("__reply", "__card")

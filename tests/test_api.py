@@ -1,8 +1,11 @@
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
-from gradus.api import Refused, Tenant
-from gradus.operators import prompts, resilience
+from gradus import evaluate
+from gradus.api import Mismatch, Refused, Tenant, Tool
+from gradus.operators import evaluation, prompts, resilience
 
 
 @pytest.fixture
@@ -58,3 +61,41 @@ def test_fallback(spark):
     with trace.span("x"):
         pass
     assert trace.frame(spark).first().ok
+
+
+def test_tools_hold_their_contracts(spark, tenant):
+    asked = spark.createDataFrame([(1, "sorting algorithms")], "qid int, query string")
+    passages, outcomes = tenant.call_tool("retrieve", queries=asked)
+    assert passages.count() == outcomes.count() == 1
+    assert tenant.call_tool("list_documents").count() == 1
+    for name, given, said in (("retrieve", {"queries": asked.drop("query")}, "lacks query"), ("retrieve", {}, "needs a table queries"), ("locate", {"requests": asked}, "lacks document_id, want"), ("dance", {}, "no tool dance")):
+        with pytest.raises(Mismatch, match=said):
+            tenant.call_tool(name, **given)
+    broken = Tool("broken", "", lambda queries: queries, {"queries": ("qid",)}, (("qid", "passage_id"),))
+    with pytest.raises(Mismatch, match="result 0 lacks passage_id"):
+        broken(queries=asked)
+    listed = {t["name"]: t for t in tenant.manifest()}
+    assert listed["retrieve"]["needs"] == {"queries": ["qid", "query"]} and all(t["summary"] for n, t in listed.items() if n not in ("list_documents", "locate"))
+
+
+def test_judges(spark):
+    cases = spark.createDataFrame([(1, "q", "fine", {"faithfulness": 0.4}), (2, "q", "no json", None), (3, "q", "raise", None), (4, "q", "range", None)], "id int, query string, answer string, judge map<string,double>")
+    held = {r.id: (r.faithfulness, r.judge_error) for r in evaluation.judged(cases).collect()}
+    assert held == {1: (0.4, None), 2: (None, None), 3: (None, None), 4: (None, None)}
+
+    def judge(query, answer):
+        if (answer == "raise").any():
+            raise RuntimeError
+        return ['{"faithfulness": 0.9, "answer_relevancy": 0.5}' if a == "fine" else '{"score": 7}' if a == "range" else a for a in answer]
+
+    got = {r.id: (r.faithfulness, r.answer_relevancy, r.judge_error) for r in evaluation.judged(cases, judge, attempts=1).collect()}
+    assert got == {1: (0.9, 0.5, None), 2: (None, None, "NoScorecard"), 3: (None, None, "RuntimeError"), 4: (None, None, "NoScorecard")}
+
+
+def test_evaluation_with_a_judge(spark, tmp_path):
+    path = tmp_path / "cases.jsonl"
+    path.write_text('{"id": "a", "query": "q", "relevant": ["d"], "retrieved": ["d"], "judge": {"faithfulness": 0.1}}\n')
+    assert evaluate.named("textwrap:dedent") is textwrap.dedent and evaluate.named(None) is None
+    assert evaluate.run(spark, str(path), least_recall=0.6, least_faithfulness=0.7)[0] == 1
+    code, report = evaluate.run(spark, str(path), least_recall=0.6, least_faithfulness=0.7, judge=lambda query, answer: ['{"score": 1}'] * len(query))
+    assert code == 0 and "1.0" in report
