@@ -40,11 +40,12 @@ def postings(docs: DataFrame, terms: Column, *, key: str = "doc_id") -> DataFram
     return docs.select(key, terms.alias("__terms")).select(key, F.size("__terms").alias("size"), F.explode("__terms").alias("term"))
 
 
-def _query_terms(queries: DataFrame, terms: Column, qid: str) -> tuple[DataFrame, DataFrame]:
-    """(qid, qsize, term) of the queries, and their distinct terms; both are broadcast where they are few enough, else joined by shuffle."""
+def _query_terms(queries: DataFrame, terms: Column, qid: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(qid, qsize, term) of the queries, and their distinct terms; both are broadcast where they are few enough (the last value tells), else joined by shuffle."""
     rows = queries.select(F.col(qid).alias("qid"), terms.alias("__t")).select("qid", F.size("__t").alias("qsize"), F.explode("__t").alias("term"))
     wanted = rows.select("term").distinct()
-    return (F.broadcast(rows), F.broadcast(wanted)) if rows.count() <= BROADCAST_TERMS else (rows, wanted)
+    few = rows.count() <= BROADCAST_TERMS
+    return (F.broadcast(rows), F.broadcast(wanted), few) if few else (rows, wanted, few)
 
 
 def top(scored: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame:
@@ -55,7 +56,7 @@ def top(scored: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataF
 
 def token_overlap(queries: DataFrame, docs: DataFrame, *, qid: str = "item_id", key: str = "doc_id", body: str = "text", k: int = LIMIT, floor: float = FLOOR) -> DataFrame:
     """(qid, key, overlap, score, rank): shared tokens over the root of both sizes, from ``floor`` up."""
-    asked, _ = _query_terms(queries, X.tokens(F.col(body)), qid)
+    asked, _, _ = _query_terms(queries, X.tokens(F.col(body)), qid)
     met = postings(docs, X.tokens(F.col(body)), key=key).join(asked, "term")
     counted = met.groupBy("qid", key, "qsize", "size").agg(F.count("*").alias("overlap"))
     score = F.round(X.token_score(F.col("overlap"), F.col("qsize"), F.col("size")), 6)
@@ -64,12 +65,13 @@ def token_overlap(queries: DataFrame, docs: DataFrame, *, qid: str = "item_id",
 
 def bm25(queries: DataFrame, docs: DataFrame, *, qid: str = "item_id", key: str = "doc_id", body: str = "text", k: int = LIMIT, k1: float = 1.2, b: float = 0.75, idf: bool = True) -> DataFrame:
     """(qid, key, score, rank) by BM25; ``idf=False`` ranks by saturated term frequencies alone."""
-    asked, wanted = _query_terms(queries, X.tokens(F.col(body)), qid)
+    asked, wanted, few = _query_terms(queries, X.tokens(F.col(body)), qid)
     split = docs.select(key, F.regexp_extract_all(F.lower(body), F.lit(X.TOKEN), F.lit(0)).alias("words"))
     stats = split.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
     found = split.select(key, F.size("words").alias("length"), F.explode("words").alias("term")).join(wanted, "term", "left_semi")
     tf = found.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = F.broadcast(df) if few else df  # as many rows as the queries have terms at most
     weight = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if idf else F.lit(1.0)
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = (
