@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .functions import identity
-from .operators import contracts, evaluation, lifecycle, sections
+from .operators import contracts, evaluation, lifecycle, replies, sections
 from .session import table
 from .sources import sinks
 
@@ -134,3 +134,28 @@ def section_of_orders(spark, sf_dir):
     budget = F.col("total") + (F.round(F.col("o_totalprice") * 100).cast("long") % 10 == 0).cast("int")
     problem = contracts.section_problem(F.col("minutes"), budget, F.col("flags"), F.col("titles"), F.col("examples"), F.col("todos"))
     return rows.select(F.col("l_orderkey").alias("section_id"), problem.alias("problem"))
+
+
+@query(f"""WITH q AS (SELECT doc_id, left(text, 1200) AS prompt, string_split(text, ' ') AS w FROM documents), o AS (SELECT doc_id, prompt, w[2:5] AS options, upper(left(w[2], 1)) AS correct FROM q),
+c AS (SELECT *, list_transform(options, lambda o: lower({_STRIP.format("regexp_replace(o, '^[A-Da-d][).: ]+\\s*', '')")})) AS clean FROM o)
+SELECT doc_id, CASE WHEN length({_STRIP.format("prompt")}) = 0 OR length(prompt) > 1000 THEN 'question 1: no prompt' WHEN len(options) <> 4 THEN 'question 1: not four options' WHEN len(list_filter(options, lambda o: length({_STRIP.format("o")}) = 0)) > 0 THEN 'question 1: an empty option'
+  WHEN len(list_filter(options, lambda o: length(o) > 500)) > 0 THEN 'question 1: a long option' WHEN len(list_distinct(clean)) < 4 THEN 'question 1: options repeat' WHEN coalesce(correct, '') NOT IN ('A', 'B', 'C', 'D') THEN 'question 1: no label of an answer' END AS problem FROM c""")
+def quiz_replies(spark, sf_dir):
+    """A reply of one question a document, made of its words, as JSON."""
+    words = F.split("text", " ")
+    asked = F.struct(F.left("text", F.lit(1200)).alias("prompt"), F.slice(words, 2, 4).alias("options"), F.upper(F.left(F.get(words, F.lit(1)), F.lit(1))).alias("correct"))
+    raw = F.to_json(F.struct(F.array(asked).alias("questions")))
+    return table(spark, sf_dir, "documents").select("doc_id", replies.quiz_problem(raw, 1).alias("problem"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_quantity::INT AS q, l_returnflag AS f, l_partkey AS k FROM lineitem), s AS (SELECT l_orderkey, n, row_number() OVER (PARTITION BY l_orderkey ORDER BY n, k, q, f) AS i,
+  CASE WHEN q < 3 THEN 'no slide' WHEN f = 'R' AND k % 2 = 0 THEN 'no text' WHEN f = 'A' AND q > 45 THEN 'no citation' WHEN k % 50 < 1 THEN 'a citation without a page' END AS p FROM l)
+SELECT l_orderkey AS script_id, arg_min('segment ' || i || ': ' || p, i) FILTER (p IS NOT NULL) AS problem FROM s GROUP BY l_orderkey""")
+def script_files(spark, sf_dir):
+    """Orders as published scripts, their lines as segments: quantities, flags and parts decide what is missing."""
+    q, f, k = F.col("l_quantity").cast("int"), F.col("l_returnflag"), F.col("l_partkey")
+    cited = F.when((f == "A") & (q > 45), F.array().cast("array<struct<page:bigint>>")).otherwise(F.array(F.struct(F.lit(5).cast("long").alias("page")), F.struct((k % 50).cast("long").alias("page"))))
+    segment = F.struct(F.col("l_linenumber").alias("n"), "l_partkey", q.alias("q"), "l_returnflag", F.struct((q - 2).alias("slide"), F.when((f == "R") & (k % 2 == 0), " ").otherwise("said").alias("text"), cited.alias("citations")).alias("own"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(segment)), lambda x: x["own"]).alias("segments"))
+    raw = F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("lectureId"), F.lit("t").alias("title"), "segments"))
+    return rows.select(F.col("l_orderkey").alias("script_id"), replies.script_problem(raw).alias("problem"))
