@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .catalog import query
 from .functions import identity
 from .operators import contracts, evaluation, lifecycle, replies, sections
+from .plans import graph
 from .session import table
 from .sources import sinks
 
@@ -159,3 +160,17 @@ def script_files(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(segment)), lambda x: x["own"]).alias("segments"))
     raw = F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("lectureId"), F.lit("t").alias("title"), "segments"))
     return rows.select(F.col("l_orderkey").alias("script_id"), replies.script_problem(raw).alias("problem"))
+
+
+# Evidence of the edges of a cycle
+
+
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey, s_nationkey AS grp, s_suppkey % 10 AS child, (s_suppkey * 7) % 10 AS parent FROM supplier),
+e AS (SELECT DISTINCT grp, child, parent FROM s WHERE child <> parent), r AS (SELECT grp, child AS a, parent AS b FROM e UNION SELECT r.grp, r.a, e.parent FROM r JOIN e ON e.grp = r.grp AND e.child = r.b)
+SELECT s_suppkey, grp, child, parent FROM s WHERE EXISTS (SELECT 1 FROM r WHERE r.grp = s.grp AND r.a = child AND r.b = parent) AND EXISTS (SELECT 1 FROM r WHERE r.grp = s.grp AND r.a = parent AND r.b = child)""")
+def evidence_within_cycles(spark, sf_dir):
+    k = F.col("s_suppkey")
+    node = lambda x: F.struct("s_nationkey", x.alias("node"))
+    evidence = table(spark, sf_dir, "supplier").select(k, node(k % 10).alias("child"), node((k * 7) % 10).alias("parent"))
+    listed = graph.cycles(evidence.where("child <> parent").select("child", "parent"))
+    return graph.within(evidence, listed).select("s_suppkey", F.col("child.s_nationkey").alias("grp"), F.col("child.node").alias("child"), F.col("parent.node").alias("parent"))
