@@ -1,6 +1,6 @@
 """Retrieval over batches of queries: lexical, dense and fused ranking, grounding and refusal.
 
-Every function takes DataFrames and is lazy. Rankings run on scores rounded to six digits with ids
+Every function takes DataFrames; what counts terms or cuts lineage runs at once, all else is lazy. Rankings run on scores rounded to six digits with ids
 as ties, so equal inputs rank equally whatever the partitioning. Query terms are few next to
 postings: the corpus is cut to postings of query terms before anything is grouped.
 """
