@@ -16,6 +16,7 @@ Defined results: events of null key or time are passed over, unknown events chan
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,23 +30,25 @@ REQUEST, BUILT, FAILED, CORRUPT, REMOVED = "request", "artifact_built", "artifac
 BUILD, RETRY, TAKEN, REUSE, WAIT, SERVED, GIVEN_UP = "build", "retried", "recovered", "reuse", "wait", "served", "timed_out"
 TIMEOUT_MS = 60_000
 SHAPE = "at_ms long, request_id long, decision string"
+#: Decisions that the batch twin passes on at once.
+ROWS = 20_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass
 class Artifact:
-    """What is known of one artifact; times are milliseconds."""
+    """What is known of one artifact; times are milliseconds. Waiters stand in the order in which they came, so the first is due first."""
 
     state: str = "absent"
     since: int = 0
-    waiters: list[list[int]] = field(default_factory=list)
+    waiters: deque[list[int]] = field(default_factory=deque)
 
     def due(self, timeout: int) -> int | None:
         """When something happens by itself."""
-        times = [at + timeout for _, at in self.waiters]
-        if self.state == "building":
-            times.append(self.since + timeout)
-        return min(times, default=None)
+        first = self.waiters[0][1] + timeout if self.waiters else None
+        if self.state != "building":
+            return first
+        return self.since + timeout if first is None else min(first, self.since + timeout)
 
     def _builds(self, at: int) -> None:
         self.state, self.since = "building", at
@@ -56,12 +59,12 @@ class Artifact:
         out = []
         if self.state == "building" and self.since + timeout == at:
             if self.waiters:
-                out.append((at, self.waiters.pop(0)[0], TAKEN))
+                out.append((at, self.waiters.popleft()[0], TAKEN))
                 self._builds(at)
             else:
                 self.state = "abandoned"
         while self.waiters and self.waiters[0][1] + timeout <= at:
-            out.append((at, self.waiters.pop(0)[0], GIVEN_UP))
+            out.append((at, self.waiters.popleft()[0], GIVEN_UP))
         return out
 
     def take(self, ident: int, at: int, event: str) -> list[tuple[int, int, str]]:
@@ -76,18 +79,18 @@ class Artifact:
             return [(at, ident, first)]
         if event == BUILT:
             served = [(at, who, SERVED) for who, _ in self.waiters]
-            self.state, self.since, self.waiters = "ready", at, []
+            self.state, self.since, self.waiters = "ready", at, deque()
             return served
         if event in (FAILED, CORRUPT):
             self.state, self.since = ("failed" if event == FAILED else "corrupt"), at
             if self.waiters:
                 self._builds(at)
-                return [(at, self.waiters.pop(0)[0], RETRY)]
+                return [(at, self.waiters.popleft()[0], RETRY)]
         elif event == REMOVED:
             self.state, self.since = "absent", at
             if self.waiters:
                 self._builds(at)
-                return [(at, self.waiters.pop(0)[0], BUILD)]
+                return [(at, self.waiters.popleft()[0], BUILD)]
         return []
 
     def until(self, limit: int | None, timeout: int) -> list[tuple[int, int, str]]:
@@ -134,7 +137,7 @@ class Builds(StatefulProcessor):
     def _advance(self, key, watermark: int) -> pd.DataFrame:
         said = self.known.get()
         held = json.loads(said[0]) if said else {"state": "absent", "since": 0, "waiters": []}
-        one = Artifact(held["state"], held["since"], held["waiters"])
+        one = Artifact(held["state"], held["since"], deque(held["waiters"]))
         waiting = sorted({(int(t), int(i), str(e)) for i, t, e in self.early.get()})
         ripe, later = [x for x in waiting if x[0] < watermark], [x for x in waiting if x[0] >= watermark]
         out = []
@@ -149,7 +152,7 @@ class Builds(StatefulProcessor):
         if one.idle and not later:
             self.known.clear()
         else:
-            self.known.update((json.dumps({"state": one.state, "since": one.since, "waiters": one.waiters}),))
+            self.known.update((json.dumps({"state": one.state, "since": one.since, "waiters": list(one.waiters)}),))
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         times = [t + 1 for t, _, _ in later[:1]] + [t + 1 for t in (one.due(self.timeout),) if t is not None]
@@ -171,29 +174,31 @@ def live(events: DataFrame, *, timeout_ms: int = TIMEOUT_MS, late: str = "10 min
 
 
 def replayed(events: DataFrame, *, timeout_ms: int = TIMEOUT_MS, until_ms: int | None = None) -> DataFrame:
-    """The batch twin over all events, up to the time ``until_ms``; rows of an artifact are sorted, not held."""
+    """The batch twin over all events, up to the time ``until_ms``; rows of an artifact are sorted, not held, and decisions go out many at a time."""
     rows = _shaped(events)
     rows = rows.where(F.unix_millis("ts") < until_ms) if until_ms is not None else rows
     kind = dict(rows.dtypes)["artifact_key"]
 
     def over(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, one, last = None, Artifact(), None
+        now, one, last, out = None, Artifact(), None, []
         for part in parts:
-            for key, ident, at, event in zip(part["artifact_key"], part["event_id"], part["at"], part["event"], strict=True):
-                out = []
+            for key, ident, at, event in zip(*(part[c].tolist() for c in ("artifact_key", "event_id", "at", "event")), strict=True):
                 if now is None or key != now:
                     if now is not None:
-                        yield _frame(one.until(until_ms, timeout_ms), now)
-                    now, one, last = key, Artifact(), None
+                        yield _frame(out + one.until(until_ms, timeout_ms), now)
+                    now, one, last, out = key, Artifact(), None, []
                 if (at, ident, event) == last:
                     continue
                 last = (at, ident, event)
-                out += one.until(at, timeout_ms) + one.take(ident, at, event)
+                out += one.until(at, timeout_ms)
+                out += one.take(ident, at, event)
                 if one.idle:
                     one = Artifact()
-                yield _frame(out, key)
+                if len(out) >= ROWS:
+                    yield _frame(out, key)
+                    out = []
         if now is not None:
-            yield _frame(one.until(until_ms, timeout_ms), now)
+            yield _frame(out + one.until(until_ms, timeout_ms), now)
 
     ordered = rows.select("artifact_key", "event_id", F.unix_millis("ts").alias("at"), "event").repartition("artifact_key").sortWithinPartitions("artifact_key", "at", "event_id", "event")
     return ordered.mapInPandas(over, f"artifact_key {kind}, {SHAPE}")

@@ -70,3 +70,23 @@ def test_live_is_the_batch_twin_after_a_restart(spark, tmp_path, seed):
     got = decided(spark.read.parquet(out))
     assert got == decided(builds.replayed(frame(spark, rows), until_ms=limit)) and len(got) > 60
     assert {d for *_, d in got} >= {"build", "wait", "served", "reuse", "retried", "recovered"}
+
+
+class Line(list):
+    """Waiters that may not be gone through one by one."""
+
+    def __iter__(self):
+        raise AssertionError("all waiters were gone through")
+
+
+def test_when_something_is_due_does_not_go_through_the_waiters():
+    assert builds.Artifact("building", 0, Line([[1, 5], [2, 6]])).due(60) == 60
+    assert builds.Artifact("failed", 0, Line([[1, 5], [2, 6]])).due(60) == 65
+    assert builds.Artifact().due(60) is None and builds.Artifact("building", 3).due(60) == 63
+
+
+def test_a_burst_of_requests(spark):
+    rows = [(i, 0, "k", "request") for i in range(3000)] + [(3000, 10, "k", "artifact_built")]
+    got = decided(builds.replayed(frame(spark, rows)))
+    want = [("k", 0, 0, "build")] + [("k", 0, i, "wait") for i in range(1, 3000)] + [("k", 10, i, "served") for i in range(1, 3000)]
+    assert got == sorted(want)
