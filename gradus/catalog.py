@@ -379,7 +379,7 @@ def _overlap_hits(spark, sf_dir, k=5):
 @query(f"""WITH {TOKENS} SELECT item_id, doc_id, overlap, score, rank::INT AS rank, '[' || rank::VARCHAR || '] Source: ' || source || ' | Chunk: 0/1 | Score: ' || printf('%.4f', round(score, 4)) AS citation FROM hits JOIN documents USING (doc_id)""")
 def retrieve_token_overlap(spark, sf_dir):
     hits = _overlap_hits(spark, sf_dir).withColumnRenamed("qid", "item_id").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    line = X.citation_line(F.col("rank"), F.col("source"), F.lit(None), F.lit(""), F.lit(0), F.lit(1), F.round("score", 4))
+    line = X.citation_line(F.col("rank"), F.col("source"), F.lit(None), F.lit(""), F.lit(0), F.lit(1), X.shown_score(F.col("score")))
     return hits.select("item_id", "doc_id", "overlap", "score", "rank", line.alias("citation"))
 
 

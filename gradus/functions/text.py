@@ -130,6 +130,11 @@ def label(title: Column, place: Column) -> Column:
     return F.concat(title, F.lit(" — "), place)
 
 
+def shown_score(score: Column) -> Column:
+    """A score at the four digits that are shown: halves go by the double's own value times 10,000, not by the digits that it is written with."""
+    return F.round(score * 10_000.0) / 10_000.0
+
+
 def citation_line(rank: Column, title: Column, page: Column, section: Column, index: Column, total: Column, score: Column) -> Column:
     """``[1] Source: Title | Page: 3 | Section: Sorting | Chunk: 0/9 | Score: 0.5000``; page and section where known."""
     shown = lambda c: F.coalesce(c.cast("string"), F.lit("?"))

@@ -111,7 +111,7 @@ def retrieve(
     whole = best.join(queries.select("qid", "query"), "qid").join(allowed.select("key", *details), "key")
     ranked = promoted(retrieval.reranked(whole, by=["qid"], key="key", scorer=scorer, k=limit))
     has = lambda c, other: F.col(c) if c in ranked.columns else F.lit(other)
-    line = X.citation_line(F.col("rank"), has("book_title", None), has("page_number", None), F.coalesce(has("section", ""), F.lit("")), has("chunk_index", None), has("total_chunks", None), F.round("score", 4))
+    line = X.citation_line(F.col("rank"), has("book_title", None), has("page_number", None), F.coalesce(has("section", ""), F.lit("")), has("chunk_index", None), has("total_chunks", None), X.shown_score(F.col("score")))
     cited = ranked.withColumns({"citation": line, "citable": F.col("document_id").isNotNull()})
     hits = guardrails.screen_sources(cited, "content").withColumn("source_injection_flagged", ~F.col("is_safe")).withColumnRenamed("matched_rules", "source_injection_rules").drop("is_safe")
     passages = retrieval.grounded(hits.drop("rank"), coverage=coverage, least=least)

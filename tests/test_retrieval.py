@@ -316,3 +316,11 @@ def test_stored_postings_of_nothing(spark):
     docs, queries = corpus(spark)
     assert postings.search(postings.build(docs.limit(0)), queries).count() == 0
     assert postings.search(postings.build(docs), queries.limit(0)).count() == 0
+
+
+def test_shown_scores_halve_as_the_sql_does(spark):
+    from gradus.functions import text as X
+
+    said = [0.33945, 0.16645, 0.28855, 0.30415, 0.29255, 0.5, 0.00005, 0.12345]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s double").select("i", F.format_string("%.4f", X.shown_score(F.col("s"))).alias("said"))
+    assert [r.said for r in rows.orderBy("i").collect()] == ["0.3394", "0.1664", "0.2885", "0.3041", "0.2925", "0.5000", "0.0001", "0.1235"]
