@@ -6,8 +6,8 @@ prefix tree whose states are merged where their continuation statistics are comp
 (Hoeffding's test on stop and transition shares, recursively, as in ALERGIA), which leaves a
 probabilistic automaton of the format. Every maximal run of credential characters in a text is
 then a candidate, and so is each part of it between two of ``= / .`` or the run's ends, since a name or a path
-may precede a value and a full stop may follow it. Candidates have 12 to SCORED characters; of a longer run the
-parts are scored. An automaton that can generate a candidate gives it the mean, a character, of its log-likelihood
+may precede a value and a full stop may follow it. Candidates have 12 characters or more; those of over SCORED are
+scored together, as walks through an automaton that meet go on as one. An automaton that can generate a candidate gives it the mean, a character, of its log-likelihood
 less that under the automaton of plain words (states are the classes of the character before); at or above the
 cutoff it is a secret too, and one inside another counts once, as the longer. Those spans have the kind ``format``;
 they add to the base spans and never replace one.
@@ -32,8 +32,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import nsmallest
+from itertools import groupby
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,7 +60,7 @@ LEAST = 12
 SAMPLE = 600
 #: Longer values are not learnt from; the sample is picked in this many hash shards.
 LONGEST, SHARDS = 256, 16
-#: The longest candidate that is scored as a whole.
+#: The longest candidate that is scored by itself; the walks of longer ones are joined where they meet.
 SCORED = 1024
 #: Hoeffding's confidence parameter for merging, the share of held-back values below the cutoff, and that of plain words above it.
 ALPHA, QUANTILE, FALSE = 0.01, 0.02, 0.001
@@ -140,6 +142,60 @@ class Automaton:
         """The last of ``ends`` (ascending) up to which the text from ``start`` on scores the cutoff; 0 if none does."""
         return max((end for end, x in self._ends(text, start, ends) if x >= self.cutoff), default=0)
 
+    def _reached(self, text: str, start: int, end: int) -> tuple[int, float] | None:
+        """State and sum after the text from ``start`` to ``end``; None where the automaton cannot generate it."""
+        state, total, before = 0, 0.0, ""
+        for c in text[start:end].translate(_TABLE):
+            step = self.steps[state].get(c)
+            if step is None:
+                return None
+            state, total = step[0], total + step[1]
+            if self.plain:
+                total, before = total - self.plain[before][c], c
+        return state, total
+
+    def far(self, text: str, starts: list[int], ends: list[int]) -> list[int]:
+        """For each of ``starts`` the last of ``ends`` (both ascending), SCORED characters on or more, up to which the text scores the cutoff; 0 if none does.
+
+        Walks in one state at one place go on as one, so what is walked grows with the text and the states, not with the pairs of starts and ends.
+        """
+        at, found = np.array(starts), np.zeros(len(starts), dtype=np.int64)
+        walks: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}  # of a state: its starts, the sums that they came with, and what came since
+        stops, last, entered = set(ends), ends[-1] if ends else -1, 0
+        place = starts[0] + SCORED if starts else 0
+        classes, first = text[place - 1 : last].translate(_TABLE), place - 1
+
+        def enter(into: dict, state: int, ids: np.ndarray, totals: np.ndarray, since: float) -> None:
+            if state in into:
+                others, sums, own = into[state]
+                into[state] = (np.concatenate([others, ids]), np.concatenate([sums, totals + (since - own)]), own)
+            else:
+                into[state] = (ids, totals, since)
+
+        while place <= last:
+            while entered < len(starts) and starts[entered] + SCORED == place:
+                if reached := self._reached(text, starts[entered], place):
+                    enter(walks, reached[0], np.array([entered]), np.array([reached[1]]), 0.0)
+                entered += 1
+            if not walks:
+                if entered == len(starts):
+                    break
+                place = starts[entered] + SCORED
+                continue
+            before = classes[place - 1 - first]
+            if place in stops:
+                for state, (ids, totals, since) in walks.items():
+                    ended = since + self.stops[state] - (self.plain[before][""] if self.plain else 0.0)
+                    found[ids[(totals + ended) / (place - at[ids] + 1) >= self.cutoff]] = place
+            if place == last:
+                break
+            c, moved = classes[place - first], {}
+            for state, (ids, totals, since) in walks.items():
+                if step := self.steps[state].get(c):
+                    enter(moved, step[0], ids, totals, since + step[1] - (self.plain[before][c] if self.plain else 0.0))
+            walks, place = moved, place + 1
+        return found.tolist()
+
     def calibrate(self, held: list[str], negatives: list[str]) -> None:
         """Set the cutoff from labelled values held back and labelled plain words."""
         good = sorted(map(self.score, held))
@@ -307,6 +363,19 @@ def _apart(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
+def _far(text: str, automata: list[Automaton], starts: list[tuple[int, int]], ends: list[int]) -> dict[int, int]:
+    """The last end, SCORED characters on or more, of the starts (start, limit) of a run that have one."""
+    found: dict[int, int] = {}
+    for limit, some in groupby(starts, key=itemgetter(1)):
+        long = [start for start, _ in some if limit - start > SCORED]
+        stops = ends[bisect_left(ends, long[0] + SCORED) : bisect_right(ends, limit)] if long else []
+        if stops:
+            for automaton in automata:
+                for start, end in zip(long, automaton.far(text, long, stops), strict=True):
+                    found[start] = max(end, found.get(start, 0))
+    return found
+
+
 def spans(text: str | None, automata: list[Automaton]) -> list[tuple[int, int, int]]:
     """All spans of a text: the base spans, and candidates outside them that an automaton accepts."""
     text = text or ""
@@ -315,16 +384,18 @@ def spans(text: str | None, automata: list[Automaton]) -> list[tuple[int, int, i
         covered, until = _apart(found)
         for m in CANDIDATE.finditer(text):
             marks = [x.start() for x in MARK.finditer(text, m.start(), m.end())]
-            ends, past = [*marks, m.end()], 0
+            ends, past, starts = [*marks, m.end()], 0, []
             for start in (m.start(), *(x + 1 for x in marks)):
                 if m.end() - start < LEAST:
                     break
                 near = bisect_right(covered, start)
-                if near and start < until[near - 1]:
-                    continue
-                limit = min(start + SCORED, covered[near] if near < len(covered) else m.end())
-                stops = ends[bisect_left(ends, start + LEAST) : bisect_right(ends, limit)]
+                if not near or start >= until[near - 1]:
+                    starts.append((start, covered[near] if near < len(covered) else m.end()))
+            far = _far(text, automata, starts, ends)
+            for start, limit in starts:
+                stops = ends[bisect_left(ends, start + LEAST) : bisect_right(ends, min(start + SCORED, limit))]
                 end = max((a.longest(text, start, stops) for a in automata), default=0) if stops else 0
+                end = max(end, far.get(start, 0))
                 if end > past:  # else inside a candidate that counts
                     found.append((start, 3, end))
                     past = end

@@ -669,6 +669,36 @@ def test_secret_parts_and_letters():
         assert secretscan.spans(text, [automaton, dotted]) == brute(text), text
 
 
+def test_long_candidates_are_scored_whole(monkeypatch):
+    rng = random.Random(8)
+    automata = [secretscan.infer(["".join(rng.choice("abcdef0123456789") for _ in range(rng.randint(8, 60))) + ".zq=" * rng.randint(0, 3) for _ in range(400)]), secretscan.infer([".".join(str(rng.randint(10, 99999)) for _ in range(rng.randint(2, 9))) for _ in range(300)])]
+    plain = secretscan.background(["international.cooperation", "Haus/Garten", "WORDS"])
+    for automaton in automata:
+        automaton.plain, automaton.cutoff = plain, 0.0
+
+    def brute(text):
+        base = brute_base(text)
+        found = set()
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+            cuts = [i for i in range(m.start(), m.end()) if text[i] in "=/."]
+            for s in (m.start(), *(i + 1 for i in cuts)):
+                for e in (*cuts, m.end()):
+                    if e - s >= 12 and not any(a < e and s < b for a, _, b in base) and any(x.score(text[s:e]) >= x.cutoff for x in automata):
+                        found.add((s, 3, e))
+        return sorted(base + [x for x in found if not any(y != x and y[0] <= x[0] and x[2] <= y[2] for y in found)])
+
+    digits = ".".join(str(rng.randint(10, 99999)) for _ in range(400))
+    assert len(digits) > 2 * secretscan.SCORED and (0, 3, len(digits)) in secretscan.spans(digits, automata)  # one candidate, longer than any scored by itself
+    monkeypatch.setattr(secretscan, "SCORED", 24)
+    seen = 0
+    for _ in range(200):
+        text = "".join(rng.choice(["1234", ".", ".", "90.", "17.", "55081", "abc.", "zq=", "/", " ", "token=", "W", "0123456789abcdef"]) for _ in range(rng.randint(10, 60)))
+        got = secretscan.spans(text, automata)
+        assert got == brute(text), text
+        seen += any(k == 3 and e - s > 24 for s, k, e in got)
+    assert seen > 5
+
+
 def test_automaton_scores_equal_brute_force():
     """Likelihoods by walking explicit probability tables, and the ratio to plain words by counting."""
     rng = random.Random(12)
