@@ -1,6 +1,7 @@
 """Single operators against hand-made values."""
 
 import json
+import random
 import uuid
 
 import pytest
@@ -241,6 +242,24 @@ def test_overlap(spark):
     assert {tuple(r) for r in overlap.rewritten(edges, swap).collect()} == {(9, 1), (1, 9)}
 
 
+@pytest.mark.parametrize("least", [0.3, 0.55])
+def test_similar_sets_over_blocks_equal_brute_force(spark, monkeypatch, least):
+    """Sets of 1 to 900 terms in two groups, many of them near copies, dealt to several blocks of each size."""
+    monkeypatch.setattr(overlap, "LEAST", 5)
+    rng = random.Random(3)
+    base = [set(rng.sample(range(2000), rng.choice([1, 2, 5, 30, 90, 150, 900]))) for _ in range(40)]
+    sets = [(i, "xy"[i % 2], sorted({t if rng.random() < 0.75 else rng.randrange(2000) for t in base[rng.randrange(40)]})) for i in range(300)]
+    rows = spark.createDataFrame([(i, g, [f"w{t}" for t in s]) for i, g, s in sets], "topic_id long, g string, terms array<string>")
+    want = {}
+    for i, g, s in sets:
+        for j, h, t in sets[i + 1 :]:
+            same = int(len(set(s) & set(t)) / len(set(s) | set(t)) * 1e6 + 0.5) / 1e6
+            if g == h and same >= least:
+                want[i, j] = (same, sorted(f"w{x}" for x in set(s) & set(t)))
+    got = {(r.a, r.b): (r.similarity, r.shared) for r in overlap.similar(rows, within="g", least=least).collect()}
+    assert got == want and len(want) > 50
+
+
 def test_paths(spark):
     books = spark.createDataFrame([(1, 10, 1), (1, 20, 2), (1, 30, 3)], "collection_id int, book_id int, upload_order int")
     edges = spark.createDataFrame([(1, 30, 10)], "collection_id int, prerequisite int, dependent int")
