@@ -242,6 +242,15 @@ def test_overlap(spark):
     assert {tuple(r) for r in overlap.rewritten(edges, swap).collect()} == {(9, 1), (1, 9)}
 
 
+def test_packing_streams_past_a_programme_of_thousands(spark):
+    """No list of a programme is held in the plan; the last term takes all that is left."""
+    frame = spark.range(20_000).selectExpr("'p' AS programme", "id AS topic_id", "id AS position", "50.0D AS total_hours", "array(id - 3) AS parents", "array(id + 1) AS keep_with")
+    made = workload.packed(frame, by="programme", capacity=120.0, most=4)
+    assert "collect_list" not in made._jdf.queryExecution().toString()
+    terms = [r.term for r in made.orderBy("topic_id").collect()]
+    assert terms == [1, 1, 1, 2, 2, 2, 3, 3, 3] + [4] * 19_991
+
+
 @pytest.mark.parametrize("least", [0.3, 0.55])
 def test_similar_sets_over_blocks_equal_brute_force(spark, monkeypatch, least):
     """Sets of 1 to 900 terms in two groups, many of them near copies, dealt to several blocks of each size."""
