@@ -378,7 +378,7 @@ def _overlap_hits(spark, sf_dir, k=5):
 
 @query(f"""WITH {TOKENS} SELECT item_id, doc_id, overlap, score, rank::INT AS rank, '[' || rank::VARCHAR || '] Source: ' || source || ' | Chunk: 0/1 | Score: ' || printf('%.4f', round(score, 4)) AS citation FROM hits JOIN documents USING (doc_id)""")
 def retrieve_token_overlap(spark, sf_dir):
-    hits = _overlap_hits(spark, sf_dir).withColumnRenamed("qid", "item_id").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    hits = retrieval.small(_overlap_hits(spark, sf_dir).withColumnRenamed("qid", "item_id")).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     line = X.citation_line(F.col("rank"), F.col("source"), F.lit(None), F.lit(""), F.lit(0), F.lit(1), X.shown_score(F.col("score")))
     return hits.select("item_id", "doc_id", "overlap", "score", "rank", line.alias("citation"))
 
@@ -422,8 +422,8 @@ def retrieve_rrf(spark, sf_dir):
 @query(f"""WITH {TOKENS}, v AS (SELECT item_id, lang, doc_id, score, row_number() OVER (PARTITION BY item_id, lang ORDER BY score DESC, doc_id) AS rank FROM overlapped JOIN documents USING (doc_id) WHERE score >= 0.08 QUALIFY rank <= 3)
 SELECT item_id, lang AS variant, doc_id, score, rank::INT AS rank FROM v""")
 def filter_variants_topk(spark, sf_dir):
-    hits = retrieval.token_overlap(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=2**31 - 1).drop("rank")
-    met = hits.join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("variant")), "doc_id").withColumnRenamed("qid", "item_id")
+    hits = retrieval.token_overlap(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=None)
+    met = retrieval.small(hits).join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("variant")), "doc_id").withColumnRenamed("qid", "item_id")
     return retrieval.top(met, ["item_id", "variant"], "score", "doc_id", 3).select("item_id", "variant", "doc_id", "score", "rank")
 
 
@@ -454,7 +454,7 @@ SELECT item_id, doc_id, score, original_score, (row_number() OVER (PARTITION BY
 def retrieve_reranked(spark, sf_dir):
     hits = _overlap_hits(spark, sf_dir, k=retrieval.LIMIT * retrieval.OVERFETCH).drop("rank")
     asked, said = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    found = retrieval.reranked(hits.join(asked, "qid").join(said, "doc_id"), by=["qid"], key="doc_id")
+    found = retrieval.reranked(retrieval.small(hits.join(asked, "qid")).join(said, "doc_id"), by=["qid"], key="doc_id")
     return found.select(F.col("qid").alias("item_id"), "doc_id", "score", "original_score", "rank")
 
 
@@ -468,7 +468,7 @@ GROUNDED = f"""{TOKENS}, h AS (
 
 def _cited_hits(spark, sf_dir):
     asked, said = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    hits = _overlap_hits(spark, sf_dir).drop("rank").join(asked, "qid").join(said, "doc_id")
+    hits = retrieval.small(_overlap_hits(spark, sf_dir).drop("rank").join(asked, "qid")).join(said, "doc_id")
     return hits.withColumn("citable", F.col("doc_id") % 6 != 0).withColumnRenamed("doc_id", "key")
 
 

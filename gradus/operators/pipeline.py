@@ -102,13 +102,13 @@ def retrieve(
     ``search(scopes, chunks, k)`` returns (qid, position, variant, key, score, rank) of each scope; ``scorer`` is what ``retrieval.reranked`` takes.
     """
     judged = guardrails.screen_queries(queries, "query").withColumn("__safe", F.col("is_safe")).drop("matched_rules", "is_safe")
-    allowed = chunks.join(_active(grants), ["user_id", "document_id"], "left_semi")
+    allowed = chunks.join(retrieval.small(_active(grants)), ["user_id", "document_id"], "left_semi")
     scoped = scopes(judged.where("__safe"), grants, rewrites=rewrites)
     found = search(scoped, allowed, limit * (1 if scorer is None else retrieval.OVERFETCH))
     best = retrieval.deduplicated(found, by=["qid"], key="key", arrival=["position", "variant", "rank"]).drop("rank")
 
     details = [c for c in ("document_id", "book_title", "page_number", "section", "chunk_index", "total_chunks", "content", "metadata", "page_is_estimated", "collection_id") if c in allowed.columns]
-    whole = best.join(queries.select("qid", "query"), "qid").join(allowed.select("key", *details), "key")
+    whole = retrieval.small(best.join(queries.select("qid", "query"), "qid")).join(allowed.select("key", *details), "key")
     ranked = promoted(retrieval.reranked(whole, by=["qid"], key="key", scorer=scorer, k=limit))
     has = lambda c, other: F.col(c) if c in ranked.columns else F.lit(other)
     line = X.citation_line(F.col("rank"), has("book_title", None), has("page_number", None), F.coalesce(has("section", ""), F.lit("")), has("chunk_index", None), has("total_chunks", None), X.shown_score(F.col("score")))

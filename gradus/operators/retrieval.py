@@ -2,7 +2,9 @@
 
 Every function takes DataFrames; what counts terms or cuts lineage runs at once, all else is lazy. Rankings run on scores rounded to six digits with ids
 as ties, so equal inputs rank equally whatever the partitioning. Query terms are few next to
-postings: the corpus is cut to postings of query terms before anything is grouped.
+postings: the corpus is cut to postings of query terms before anything is grouped. Blocks
+of queries are broadcast to them, so the pairs of a query and a document are summed and cut to the best of each task where they stand (see ``blocks``); only those
+best are shuffled. Where a key repeats, its rows count together: documents are then dealt by key first, and pairs are grouped by key.
 """
 
 from __future__ import annotations
@@ -10,15 +12,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import cut, importable
+from . import blocks as B
 from . import injected, neighbours
 
 PREFETCH, LIMIT, OVERFETCH, COVERAGE, FLOOR = 20, 5, 3, 0.34, 0.08
-#: Query terms that may be broadcast: some 30 bytes each.
+#: Query terms that may be broadcast at once: some 30 bytes each.
 BROADCAST_TERMS = 500_000
+#: Pairs of a query and a document that a task may sum at once: some 100 bytes each.
+PAIRS = 2_000_000
 NO_GRANT, NO_HITS, UNCITABLE, UNGROUNDED = "no_grant", "no_passages", "uncitable", "no_grounding"
 
 
@@ -40,12 +47,74 @@ def postings(docs: DataFrame, terms: Column, *, key: str = "doc_id") -> DataFram
     return docs.select(key, terms.alias("__terms")).select(key, F.size("__terms").alias("size"), F.explode("__terms").alias("term"))
 
 
-def _query_terms(queries: DataFrame, terms: Column, qid: str) -> tuple[DataFrame, DataFrame, bool]:
-    """(qid, qsize, term) of the queries, and their distinct terms; both are broadcast where they are few enough (the last value tells), else joined by shuffle."""
+def _query_terms(queries: DataFrame, terms: Column, qid: str) -> tuple[list[DataFrame], DataFrame, bool, int]:
+    """Blocks of (qid, qsize, term), each to broadcast; all distinct terms, whether these are few enough to broadcast, and how many queries there are in the largest block or so."""
     rows = queries.select(F.col(qid).alias("qid"), terms.alias("__t")).select("qid", F.size("__t").alias("qsize"), F.explode("__t").alias("term"))
-    wanted = rows.select("term").distinct()
-    few = rows.count() <= BROADCAST_TERMS
-    return (F.broadcast(rows), F.broadcast(wanted), few) if few else (rows, wanted, few)
+    n, asked = rows.agg(F.count("*"), F.approx_count_distinct("qid")).first()
+    wanted, blocks = rows.select("term").distinct(), max(1, -(-n // BROADCAST_TERMS))
+    if blocks == 1:
+        return [F.broadcast(rows)], F.broadcast(wanted), True, asked
+    rows = cut(rows)
+    dealt = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    return [F.broadcast(rows.where(dealt == b)) for b in range(blocks)], wanted, False, -(-asked // blocks)
+
+
+def dealt(docs: DataFrame, key: str, queries: int) -> DataFrame:
+    """Rows by key, in as many parts as keep PAIRS in each, so that the work of a task does not grow with the corpus."""
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() * max(1, queries) // PAIRS))
+    return docs.repartition(parts, key)
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """``rows``, computed once, to broadcast where they are few: what they meet is then not shuffled."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
+
+
+def repeated(docs: DataFrame, key: str) -> bool:
+    """Whether a key stands in more rows than one, or is null."""
+    return not docs.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).isEmpty()
+
+
+def _overlap_in_place(queries: DataFrame, docs: DataFrame, blocks: list[DataFrame], qid: str, key: str, body: str, k: int | None, floor: float) -> DataFrame:
+    said, kinds = importable(docs.sparkSession) and docs.select(key, X.tokens(F.col(body)).alias("words")), dict(queries.dtypes)
+    once, share = lambda counts, sizes: np.ones(len(counts)), lambda sums, asked, sizes: sums / np.sqrt(asked * np.maximum(sizes, 1))
+    score = F.round(X.token_score(F.col("overlap"), F.col("qsize"), F.col("size")), 6)
+
+    def scored(block: DataFrame) -> DataFrame:
+        given = docs.sparkSession.sparkContext.broadcast(B.Block.of(block))
+        if given.value is None:
+            return docs.sparkSession.createDataFrame([], f"qid {kinds[qid]}, `{key}` {dict(docs.dtypes)[key]}, overlap long, score double, rank int")
+        met = B.best(B.coded(said, key, "words", given), key, kinds[qid], given, once, share, B.MOST + 1 if k is None else k, floor)
+        counted = met.select("qid", key, F.col("sum").cast("long").alias("overlap"), F.col("qsize").cast("int").alias("qsize"), "size")
+        found = counted.withColumn("score", score).where(F.col("score") >= floor)
+        return found if k is None else top(found, ["qid"], "score", key, k)
+
+    return reduce(DataFrame.unionByName, map(scored, blocks)).select("qid", key, "overlap", "score", *["rank"][: k is not None])
+
+
+def _bm25_in_place(queries: DataFrame, docs: DataFrame, blocks: list[DataFrame], qid: str, key: str, body: str, k: int, k1: float, b: float, idf: bool) -> DataFrame:
+    spark, kinds = importable(docs.sparkSession), dict(queries.dtypes)
+    said = docs.select(key, F.regexp_extract_all(F.lower(body), F.lit(X.TOKEN), F.lit(0)).alias("words"))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        block = B.Block.of(rows.withColumn("qsize", F.lit(0)))  # terms of repeated query ids are pooled
+        nothing = spark.createDataFrame([], f"qid {kinds[qid]}, `{key}` {dict(docs.dtypes)[key]}, score double, rank int")
+        if block is None:
+            return nothing
+        coded = cut(B.coded(said, key, "words", spark.sparkContext.broadcast(block)))
+        n, mean = coded.agg(F.count("*"), F.avg("size")).first()
+        if not mean:
+            return nothing
+        df = np.zeros(len(block.terms))
+        for held in B.holders(coded, len(df)).toArrow().to_batches():  # as many rows as the block has terms at most
+            df[held.column(0).to_numpy()] = held.column(1).to_numpy()
+        given = spark.sparkContext.broadcast(B.weighed(block, np.log1p((n - df + 0.5) / (df + 0.5)) if idf else np.ones(len(df))))
+        part = lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+        met = B.best(coded, key, kinds[qid], given, part, lambda sums, asked, sizes: sums, k)
+        return top(met.select("qid", key, F.round("sum", 6).alias("score")), ["qid"], "score", key, k)
+
+    return reduce(DataFrame.unionByName, map(scored, blocks)).select("qid", key, "score", "rank")
 
 
 def top(scored: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame:
@@ -54,31 +123,43 @@ def top(scored: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataF
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def token_overlap(queries: DataFrame, docs: DataFrame, *, qid: str = "item_id", key: str = "doc_id", body: str = "text", k: int = LIMIT, floor: float = FLOOR) -> DataFrame:
-    """(qid, key, overlap, score, rank): shared tokens over the root of both sizes, from ``floor`` up."""
-    asked, _, _ = _query_terms(queries, X.tokens(F.col(body)), qid)
-    met = postings(docs, X.tokens(F.col(body)), key=key).join(asked, "term")
-    counted = met.groupBy("qid", key, "qsize", "size").agg(F.count("*").alias("overlap"))
-    score = F.round(X.token_score(F.col("overlap"), F.col("qsize"), F.col("size")), 6)
-    return top(counted.withColumn("score", score).where(F.col("score") >= floor), ["qid"], "score", key, k).select("qid", key, "overlap", "score", "rank")
+def token_overlap(queries: DataFrame, docs: DataFrame, *, qid: str = "item_id", key: str = "doc_id", body: str = "text", k: int | None = LIMIT, floor: float = FLOOR) -> DataFrame:
+    """(qid, key, overlap, score, rank): shared tokens over the root of both sizes, from ``floor`` up; without ``k`` all of them, unranked."""
+    blocks, _, _, asked = _query_terms(queries, X.tokens(F.col(body)), qid)
+    if not repeated(docs, key):
+        return _overlap_in_place(queries, docs, blocks, qid, key, body, k, floor)
+    held = postings(dealt(docs.select(key, body), key, asked), X.tokens(F.col(body)), key=key)
+
+    def scored(block: DataFrame) -> DataFrame:
+        counted = held.join(block, "term").groupBy("qid", key, "qsize", "size").agg(F.count("*").alias("overlap"))
+        score = F.round(X.token_score(F.col("overlap"), F.col("qsize"), F.col("size")), 6)
+        found = counted.withColumn("score", score).where(F.col("score") >= floor)
+        return found if k is None else top(found, ["qid"], "score", key, k)
+
+    return reduce(DataFrame.unionByName, map(scored, blocks)).select("qid", key, "overlap", "score", *["rank"][: k is not None])
 
 
 def bm25(queries: DataFrame, docs: DataFrame, *, qid: str = "item_id", key: str = "doc_id", body: str = "text", k: int = LIMIT, k1: float = 1.2, b: float = 0.75, idf: bool = True) -> DataFrame:
     """(qid, key, score, rank) by BM25; ``idf=False`` ranks by saturated term frequencies alone."""
-    asked, wanted, few = _query_terms(queries, X.tokens(F.col(body)), qid)
-    split = docs.select(key, F.regexp_extract_all(F.lower(body), F.lit(X.TOKEN), F.lit(0)).alias("words"))
-    stats = split.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
-    found = split.select(key, F.size("words").alias("length"), F.explode("words").alias("term")).join(wanted, "term", "left_semi")
-    tf = found.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    blocks, wanted, few, asked = _query_terms(queries, X.tokens(F.col(body)), qid)
+    if not repeated(docs, key):
+        return _bm25_in_place(queries, docs, blocks, qid, key, body, k, k1, b, idf)
+    words = F.regexp_extract_all(F.lower(body), F.lit(X.TOKEN), F.lit(0)).alias("words")
+    stats = docs.select(words).agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
+    said = dealt(docs.select(key, body), key, asked).select(key, words).select(key, F.size("words").alias("length"), F.explode("words").alias("term"))
+    tf = (said.join(wanted, "term", "left_semi") if few else said).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    df = F.broadcast(df) if few else df  # as many rows as the queries have terms at most
+    df = (df if few else df.join(wanted, "term", "left_semi")).crossJoin(F.broadcast(stats))  # one row of totals
+    df = cut(df)  # as many rows as the queries have terms at most
     weight = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if idf else F.lit(1.0)
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = (
-        tf.join(df, "term").join(asked.select("qid", "term"), "term").crossJoin(F.broadcast(stats))  # one row of totals
-        .groupBy("qid", key).agg(F.round(F.sum(part), 6).alias("score"))
-    )
-    return top(scored, ["qid"], "score", key, k).select("qid", key, "score", "rank")
+
+    def scored(block: DataFrame) -> DataFrame:
+        weighed = F.broadcast(block.select("qid", "term").join(df, "term"))
+        summed = tf.join(weighed, "term").groupBy("qid", key).agg(F.round(F.sum(part), 6).alias("score"))
+        return top(summed, ["qid"], "score", key, k)
+
+    return reduce(DataFrame.unionByName, map(scored, blocks)).select("qid", key, "score", "rank")
 
 
 def dense(queries: DataFrame, vectors: DataFrame, *, qid: str = "qid", key: str = "vec_id", vector: str = "embedding", k: int = LIMIT, centres: int = neighbours.CENTRES, block: int = neighbours.BLOCK) -> DataFrame:

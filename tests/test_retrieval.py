@@ -324,3 +324,46 @@ def test_shown_scores_halve_as_the_sql_does(spark):
     said = [0.33945, 0.16645, 0.28855, 0.30415, 0.29255, 0.5, 0.00005, 0.12345]
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s double").select("i", F.format_string("%.4f", X.shown_score(F.col("s"))).alias("said"))
     assert [r.said for r in rows.orderBy("i").collect()] == ["0.3394", "0.1664", "0.2885", "0.3041", "0.2925", "0.5000", "0.0001", "0.1235"]
+
+
+def _exchanged(df):
+    """The Exchange lines of a plan."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+
+
+@pytest.mark.parametrize("ranked", [retrieval.token_overlap, retrieval.bm25])
+def test_pairs_of_a_query_and_a_document_are_not_shuffled(spark, ranked):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("one two"), F.col("id") % 7, F.col("id") % 11, F.repeat(F.lit("three "), (F.col("id") % 5).cast("int"))).alias("text"))
+    queries = spark.range(40).select(F.col("id").alias("item_id"), F.concat_ws(" ", F.lit("one three"), F.col("id") % 7).alias("text"))
+    found = ranked(queries, docs, k=4)
+    assert all("overlap" not in x and "doc_id" not in x for x in _exchanged(found))
+    assert found.count() == 160
+
+
+def test_blocks_of_queries_and_of_matches_give_what_one_gives(spark, monkeypatch):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("one two"), F.col("id") % 7, F.col("id") % 11).alias("text")).unionByName(spark.createDataFrame([(900, None), (901, "")], "doc_id long, text string"))
+    queries = spark.range(30).select(F.col("id").alias("item_id"), F.concat_ws(" ", F.lit("one"), F.col("id") % 7, F.col("id") % 11).alias("text"))
+    for ranked in (retrieval.token_overlap, retrieval.bm25):
+        whole = sorted(map(tuple, ranked(queries, docs, k=3).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "repeated", lambda *a: True)
+            assert sorted(map(tuple, ranked(queries, docs, k=3).collect())) == whole
+            m.setattr(retrieval, "PAIRS", 50)
+            assert sorted(map(tuple, ranked(queries, docs, k=3).collect())) == whole
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "BROADCAST_TERMS", 20)
+            assert sorted(map(tuple, ranked(queries, docs, k=3).collect())) == whole
+
+
+def test_rows_of_a_repeated_key_count_together(spark):
+    docs = spark.createDataFrame([(1, "a b x y"), (1, "a c z w"), (2, "a b c d")], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
+    assert {r.doc_id: r.overlap for r in retrieval.token_overlap(queries, docs).collect()} == {1: 4, 2: 3}
+
+
+def test_sums_at_the_half_of_the_last_digit_round_as_spark_rounds(spark):
+    from gradus.operators import blocks
+
+    values = [i / 128 for i in range(1, 129)] + [0.0000005, 0.1234565, 2.0000015, 12.3456785]
+    got = blocks._six(np.array(values)) / 1e6
+    assert got.tolist() == [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 6).alias("x")).collect()]
