@@ -33,9 +33,8 @@ def checked(proposals: DataFrame, books: DataFrame, *, confidence: float = CONFI
 
 def ordered(books: DataFrame, edges: DataFrame, *, by: str = "collection_id") -> DataFrame:
     """(by, book_id, position, cyclic): prerequisites first, ties by the given order; with a cycle the given order stands."""
-    book = lambda c: F.struct(F.col(by).alias("by"), F.col(c).alias("book"))
-    deep = graph.layers(edges.select(book("dependent").alias("child"), book("prerequisite").alias("parent")), books.select(book("book_id").alias("node")))
-    rows = books.select(by, "book_id", "upload_order").join(deep.select(F.col("node.by").alias(by), F.col("node.book").alias("book_id"), "level"), [by, "book_id"])
+    deep = graph.layers_by(edges.select(by, F.col("dependent").alias("child"), F.col("prerequisite").alias("parent")), books.select(by, F.col("book_id").alias("node")), by=by)
+    rows = books.select(by, "book_id", "upload_order").join(deep.withColumnRenamed("node", "book_id"), [by, "book_id"])
     stuck = F.bool_or(F.col("level").isNull()).over(Window.partitionBy(by))
     order = Window.partitionBy(by).orderBy(F.when(~stuck, F.col("level")), "upload_order", "book_id")
     return rows.select(by, "book_id", F.row_number().over(order).alias("position"), F.col("level").isNull().alias("cyclic"))
