@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import spread
 
 RICH = ("diagram", "comparison", "timeline", "equation", "code", "chart")
 
@@ -46,8 +47,8 @@ def deck_problems(slides: DataFrame, *, deck: str = "deck_id", order: str = "pos
     """(deck, n_layouts, n_rich, longest_run_of_3, problem): variety of the layouts of each deck."""
     own = Window.partitionBy(deck).orderBy(order)
     run = (F.col(layout) == F.lag(layout, 1).over(own)) & (F.col(layout) == F.lag(layout, 2).over(own))
-    seen = slides.withColumn("__run", F.coalesce(run, F.lit(False)))
-    counted = seen.groupBy(deck).agg(F.count_distinct(layout).alias("n_layouts"), F.count_if(F.col(layout).isin(*RICH)).alias("n_rich"), F.bool_or("__run").alias("has_run"))
+    seen = spread(slides, deck).withColumn("__run", F.coalesce(run, F.lit(False)))
+    counted = seen.groupBy(deck).agg(F.size(F.collect_set(layout)).alias("n_layouts"), F.count_if(F.col(layout).isin(*RICH)).alias("n_rich"), F.bool_or("__run").alias("has_run"))
     return counted.withColumn("problem", first_problem((F.col("n_layouts") >= 3, "fewer than 3 layouts"), (F.col("n_rich") >= 2, "fewer than 2 rich layouts"), (~F.col("has_run"), "one layout three times in a row")))
 
 

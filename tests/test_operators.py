@@ -384,3 +384,21 @@ def test_split_text_by_its_properties(seed):
         last = start + len(chunk)
     assert all(body[i].isspace() for i in set(range(len(body))) - covered)
     assert chunking.split_text(body, size, overlap, marks) == chunks
+
+
+def test_parts_grow_with_the_rows_that_are_dealt(spark):
+    from gradus.session import spread
+
+    rows = spark.range(1_000).withColumn("k", F.col("id") % 100)
+    assert spread(rows, "k", rows=50).rdd.getNumPartitions() == 20
+    assert spread(rows, "k").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(rows, "k", rows=50).count() == 1_000
+
+
+def test_chunks_leave_the_worker_as_rows(spark):
+    text = "\n".join(f"line {i} of some words" for i in range(400))
+    docs = spark.createDataFrame([(1, text, "md"), (2, None, None), (3, "", "txt"), (4, "short", "txt")], "doc_id long, text string, kind string")
+    made = chunking.recursive_chunks(docs, kind="kind")
+    assert "MapInArrow" in made._jdf.queryExecution().toString()
+    want = chunking.split_text(text, separators=chunking.MARKDOWN_SEPARATORS)
+    assert [tuple(r) for r in made.orderBy("doc_id", "chunk_index").collect()] == [(1, i, len(want), c) for i, c in enumerate(want)] + [(4, 0, 1, "short")]
