@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import importable
 
 SIZE, OVERLAP = 1000, 200
+#: Characters of chunks that a worker holds before it passes them on.
+HELD = 4_000_000
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 MARKDOWN_SEPARATORS = ("\n# ", "\n## ", "\n### ", *SEPARATORS)
 
@@ -60,15 +63,23 @@ def split_text(body: str, size: int = SIZE, overlap: int = OVERLAP, separators:
 def recursive_chunks(docs: DataFrame, *, key: str = "doc_id", body: str = "text", kind: str | None = None, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(key, chunk_index, total_chunks, content); Markdown and PDF texts also part at headings."""
 
-    @F.pandas_udf("array<string>")
-    def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for bodies, marked in parts:
-            yield pd.Series([
-                split_text(b or "", size, overlap, MARKDOWN_SEPARATORS if m else SEPARATORS) for b, m in zip(bodies, marked, strict=True)
-            ])
-
-    marked = F.col(kind).isin("md", "markdown", "pdf") if kind else F.lit(False)
-    return numbered(docs.select(key, cut(body, marked).alias("__chunks")), key)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, index, total, content, held = [], [], [], [], 0
+            for i, (text, marked) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                made = split_text(text.as_py() or "", size, overlap, MARKDOWN_SEPARATORS if marked.as_py() else SEPARATORS)
+                rows += [i] * len(made)
+                index += range(len(made))
+                total += [len(made)] * len(made)
+                content += made
+                held += sum(map(len, made))
+                if held > HELD or (i == batch.num_rows - 1 and rows):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(index, pa.int32()), pa.array(total, pa.int32()), pa.array(content, pa.string())], names=[key, "chunk_index", "total_chunks", "content"])
+                    rows, index, total, content, held = [], [], [], [], 0
+
+    marked = F.coalesce(F.col(kind).isin("md", "markdown", "pdf"), F.lit(False)) if kind else F.lit(False)
+    rows = importable(docs.sparkSession) and docs.select(key, body, marked.alias("__marked"))
+    return rows.mapInArrow(cut, f"`{key}` {dict(docs.dtypes)[key]}, chunk_index int, total_chunks int, content string")
 
 
 def numbered(docs: DataFrame, key: str) -> DataFrame:
