@@ -367,3 +367,17 @@ def test_sums_at_the_half_of_the_last_digit_round_as_spark_rounds(spark):
     values = [i / 128 for i in range(1, 129)] + [0.0000005, 0.1234565, 2.0000015, 12.3456785]
     got = blocks._six(np.array(values)) / 1e6
     assert got.tolist() == [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 6).alias("x")).collect()]
+
+
+def test_postings_are_grouped_where_they_stand(spark):
+    docs, queries = corpus(spark)
+    # repeated keys: texts of one length count as one, others on their own; a null key is one too
+    again = docs.where("doc_id % 5 = 0").unionByName(docs.where("doc_id % 7 = 0").withColumn("text", F.concat_ws(" ", "text", F.lit("c1 r5")))).unionByName(spark.createDataFrame([(None, "c1 r5 r5"), (None, "c1 c2")], "doc_id long, text string"))
+    both = docs.unionByName(again)
+    for given, segment, k in ((docs, 300, 5), (docs, postings.SEGMENT, 2_000), (both, 1, 5), (both, 300, 70)):
+        found = postings.search(postings.build(given, segment=segment), queries, k=k)
+        assert sorted(map(str, found.collect())) == sorted(map(str, retrieval.bm25(queries, given, k=k).collect()))
+    assert "Exchange" not in postings.build(docs).blocks._jdf.queryExecution().executedPlan().toString()
+    found = postings.search(postings.build(docs), queries)
+    met = _exchanged(found)
+    assert sum("segment" in x for x in met) == 1 and not any("doc_id" in x or "salt" in x for x in met)
