@@ -157,7 +157,7 @@ def script_files(spark, sf_dir):
     q, f, k = F.col("l_quantity").cast("int"), F.col("l_returnflag"), F.col("l_partkey")
     cited = F.when((f == "A") & (q > 45), F.array().cast("array<struct<page:bigint>>")).otherwise(F.array(F.struct(F.lit(5).cast("long").alias("page")), F.struct((k % 50).cast("long").alias("page"))))
     segment = F.struct(F.col("l_linenumber").alias("n"), "l_partkey", q.alias("q"), "l_returnflag", F.struct((q - 2).alias("slide"), F.when((f == "R") & (k % 2 == 0), " ").otherwise("said").alias("text"), cited.alias("citations")).alias("own"))
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(segment)), lambda x: x["own"]).alias("segments"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(segment)), lambda x: x["own"]).alias("segments"))
     raw = F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("lectureId"), F.lit("t").alias("title"), "segments"))
     return rows.select(F.col("l_orderkey").alias("script_id"), replies.script_problem(raw).alias("problem"))
 

@@ -21,6 +21,11 @@ TITLE, INTRO, BULLET, NARRATION, PROMPT, OPTION, SPOKEN, BULLETS = 200, 2_000, 5
 _EVERY = "$"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, the value computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _at(v: Column, field: str) -> Column:
     return F.try_variant_get(v, f"$.{field}", "variant")
 
@@ -32,16 +37,17 @@ def _kind(v: Column) -> Column:
 
 def _string(v: Column) -> Column:
     """The text of a string, null for anything else."""
-    return F.when(_kind(v) == "STRING", F.try_variant_get(v, _EVERY, "string"))
+    return _let(v, lambda x: F.when(_kind(x) == "STRING", F.try_variant_get(x, _EVERY, "string")))
 
 
 def _whole(v: Column) -> Column:
     """The value of a whole number, null for anything else."""
-    return F.when(_kind(v) == "BIGINT", F.try_variant_get(v, _EVERY, "bigint"))
+    return _let(v, lambda x: F.when(_kind(x) == "BIGINT", F.try_variant_get(x, _EVERY, "bigint")))
 
 
 def _list(v: Column) -> Column:
-    return F.when(F.startswith(_kind(v), F.lit("ARRAY")), F.try_variant_get(v, _EVERY, "array<variant>"))
+    """The members of an array, null for anything else; nothing else can be read as one, so no schema of all members is made."""
+    return F.try_variant_get(v, _EVERY, "array<variant>")
 
 
 def _object(v: Column) -> Column:
@@ -118,19 +124,26 @@ def quiz_problem(raw: Column, fewest: int, most: int | None = None) -> Column:
     return F.when(~_object(v), F.lit("no object")).otherwise(F.coalesce(_first((_only(v, QUIZ), "unknown fields")), size, _each(listed, "question", _question)))
 
 
-def _segment(v: Column) -> Column:
-    cited = _list(_at(v, "citations"))
+#: The fields of segments that count; what is of another kind reads as null.
+SEGMENTS = "array<struct<slide:variant,text:variant,citations:array<struct<page:variant>>>>"
+
+
+def _segment(own: Column) -> Column:
+    cited = own["citations"]
     return _first(
-        (_whole(_at(v, "slide")) >= 1, "no slide"), (_said(_string(_at(v, "text"))), "no text"), (F.size(cited) > 0, "no citation"), (F.forall(cited, lambda c: F.coalesce(_whole(_at(c, "page")) > 0, F.lit(False))), "a citation without a page"),
+        (_whole(own["slide"]) >= 1, "no slide"), (_said(_string(own["text"])), "no text"), (F.size(cited) > 0, "no citation"), (F.forall(cited, lambda c: F.coalesce(_whole(c["page"]) > 0, F.lit(False))), "a citation without a page"),
     )
 
 
 def script_problem(raw: Column) -> Column:
     """A published script: its lecture, a title, and segments that each name a slide, say something and cite pages."""
-    v = F.try_parse_json(raw)
-    listed = _list(_at(v, "segments"))
-    named = lambda f: F.coalesce(F.length(_string(_at(v, f))) > 0, F.lit(False))
-    return F.coalesce(_first((named("lectureId"), "no lecture"), (named("title"), "no title"), (F.size(listed) > 0, "no segments")), _each(listed, "segment", _segment))
+
+    def problem(v: Column) -> Column:
+        named = lambda f: F.coalesce(F.length(_string(_at(v, f))) > 0, F.lit(False))
+        listed = _let(F.try_variant_get(v, "$.segments", SEGMENTS), lambda x: F.coalesce(_first((F.size(x) > 0, "no segments")), _each(x, "segment", _segment)))
+        return F.coalesce(_first((named("lectureId"), "no lecture"), (named("title"), "no title")), listed)
+
+    return _let(F.try_parse_json(raw), problem)
 
 
 def _published(v: Column) -> Column:
@@ -141,10 +154,13 @@ def _published(v: Column) -> Column:
 
 def week_quiz_problem(raw: Column, week: Column | None = None) -> Column:
     """A published quiz of a week, of the given one where it is given."""
-    v = F.try_parse_json(raw)
-    own, listed = _whole(_at(v, "week")), _list(_at(v, "questions"))
-    rules = [(own >= 1, "no week")] + ([(own == week, "another week")] if week is not None else []) + [(F.size(listed) > 0, "no questions")]
-    return F.coalesce(_first(*rules), _each(listed, "question", _published))
+
+    def problem(v: Column) -> Column:
+        own = lambda x: _first((x >= 1, "no week"), *([(x == week, "another week")] if week is not None else []))
+        listed = lambda x: F.coalesce(_first((F.size(x) > 0, "no questions")), _each(x, "question", _published))
+        return F.coalesce(_let(_whole(_at(v, "week")), own), _let(_list(_at(v, "questions")), listed))
+
+    return _let(F.try_parse_json(raw), problem)
 
 
 def course_problems(weeks: DataFrame, *, by: str = "course_id", week: str = "week", script: str = "script", quiz: str = "quiz", slides: str = "slides") -> DataFrame:

@@ -87,3 +87,17 @@ def test_courses(spark):
     assert {r.course_id: r.problem for r in made.collect()} == {
         "good": None, "gap": "weeks are not 1, 2, ...", "late": "weeks are not 1, 2, ...", "twice": "weeks are not 1, 2, ...", "script": "week 2: script: no title", "quiz": "week 1: quiz: another week", "slides": "week 1: no slides", "null": "weeks are not 1, 2, ...",
     }
+
+
+def test_fields_of_another_kind_and_one_parse(spark):
+    good = '{"slide": 1, "text": "said", "citations": [{"page": 2}]}'
+    odd = {
+        "[1]": "segment 1: no slide", "[null]": "segment 1: no slide", f"[{good}, []]": "segment 2: no slide", "{}": "no segments", '"x"': "no segments", "[]": "no segments",
+        '[{"slide": "1", "text": "said", "citations": [{"page": 2}]}]': "segment 1: no slide", '[{"slide": 1, "text": 5, "citations": [{"page": 2}]}]': "segment 1: no text",
+        '[{"slide": 1, "text": "said", "citations": {"page": 2}}]': "segment 1: no citation", '[{"slide": 1, "text": "said", "citations": [{"page": 2}, 7]}]': "segment 1: a citation without a page",
+        '[{"slide": 1, "text": "said", "citations": [{"page": "2"}]}]': "segment 1: a citation without a page", f"[{good}, {good}]": None,
+    }
+    rows = spark.createDataFrame([(f'{{"lectureId": "a", "title": "t", "segments": {x}}}', y) for x, y in odd.items()], "raw string, want string")
+    found = rows.select("want", replies.script_problem(F.col("raw")).alias("got"))
+    assert all(r.got == r.want for r in found.collect())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
