@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 EXPLICIT, LISTED, WHOLE = 0.95, 0.80, 0.35
 #: Patterns of chapter headings, contents pages and their entries, and what is stripped from titles.
 CHAPTER = r"(?i)^chapter\s+(\d+|[ivxlcdm]+)\s*[:.\-–—]?\s*([^.]{0,100})$"
@@ -23,6 +25,8 @@ HEADING_STOP = ("a", "an", "and", "for", "is", "of", "the", "to", "when")
 HEADING_LINES, CONTENTS_LINES, OPENING_LINES = 8, 30, 3
 #: Dice from which a line is the entry's heading, and the sequence ratio that forgives misspelling.
 LIKELY, SPELT = 0.65, 0.80
+#: White space of any kind, as Unicode has it.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
@@ -40,17 +44,20 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _alike(pairs: DataFrame) -> DataFrame:
-    """The (title, line) rows of ``pairs`` whose subject words agree, or that are nearly spelt alike."""
+    """The rows of ``pairs`` (title, line and more) whose subject words agree, or that are nearly spelt alike.
+
+    ``x`` and ``y`` are the words of both; what neither way can find goes before anything is kept or compared.
+    """
     stops = F.array(*map(F.lit, HEADING_STOP))
-    rows = pairs.select("title", "line").distinct().withColumns({"x": _heading_words(F.col("title")), "y": _heading_words(F.col("line"))})
-    rows = rows.where("size(x) > 0 AND size(y) > 0")
+    rows = pairs.where("size(x) > 0 AND size(y) > 0")
     rows = rows.withColumns({"p": F.array_except("x", stops), "q": F.array_except("y", stops)})
     subject = (F.size("p") > 0) & (F.size("q") > 0)
     sure = subject & (2 * F.size(F.array_intersect("p", "q")) >= LIKELY * (F.size("p") + F.size("q")))
-    left = rows.where(~sure).select("title", "line", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"), F.when(subject, SPELT).otherwise(LIKELY).alias("least"))
+    rows = rows.withColumns({"sure": sure, "x": F.array_join("x", " "), "y": F.array_join("y", " "), "least": F.when(subject, SPELT).otherwise(LIKELY)}).drop("p", "q")
     # the ratio is at most that of equal letters as many as the shorter has
-    left = left.where(2 * F.least(F.length("x"), F.length("y")) >= F.col("least") * (F.length("x") + F.length("y")))
-    return rows.where(sure).select("title", "line").unionByName(left.withColumn("ratio", _ratio("x", "y")).where("ratio >= least").select("title", "line"))
+    rows = cut(rows.where(F.col("sure") | (2 * F.least(F.length("x"), F.length("y")) >= F.col("least") * (F.length("x") + F.length("y")))))
+    spelt = rows.where("NOT sure").withColumn("ratio", _ratio("x", "y")).where("ratio >= least").drop("ratio")
+    return rows.where("sure").unionByName(spelt).drop("sure", "least", "x", "y")
 
 
 def _explicit(lines: DataFrame) -> DataFrame:
@@ -82,15 +89,21 @@ def _numbered(lines: DataFrame) -> DataFrame:
     return whole.where("gapless AND k >= 2").select("book", "start_page", "title")
 
 
-def _listed(lines: DataFrame) -> DataFrame:
+def _listed(lines: DataFrame, openings: DataFrame) -> DataFrame:
     """(book, start_page, title) of contents entries, each on the first likely page after that of the entry before; two at least."""
     heads = lines.where(F.col("line").rlike(CONTENTS)).groupBy("book", F.col("page").alias("listing")).agg(F.min("at").alias("head"))
     under = lines.withColumnRenamed("page", "listing").join(heads, ["book", "listing"]).where("at > head").where(F.col("line").rlike(ITEM))
     entries = under.select("book", "listing", "at", _stripped(F.regexp_extract("line", ITEM, 1), TITLE_EDGE).alias("title"))
     entries = entries.withColumn("k", F.count("*").over(Window.partitionBy("book", "listing"))).where("k >= 2").drop("k")
-    openings = lines.where(F.col("at") < OPENING_LINES).select("book", "page", "line")
+    entries = cut(entries.withColumn("x", _heading_words(F.col("title"))))
+    # a line of more words and of more letters than the longest title allows is like none: it goes before the join
+    subject = lambda c: F.array_except(c, F.array(*map(F.lit, HEADING_STOP)))
+    words, letters = entries.agg(F.max(F.size(subject(F.col("x")))), F.max(F.length(F.array_join("x", " ")))).first()
+    allowed = lambda most: (most or 0) * (2 - LIKELY) / LIKELY + 1e-6
+    openings = openings.select("book", "page", _heading_words(F.col("line")).alias("y"))
+    openings = openings.where((F.size(subject(F.col("y"))) <= allowed(words)) | (F.length(F.array_join("y", " ")) <= allowed(letters)))
     pairs = entries.join(openings, "book").where("page > listing")
-    met = pairs.join(_alike(pairs), ["title", "line"]).groupBy("book", "listing", "at", "title").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    met = _alike(pairs).groupBy("book", "listing", "at", "title").agg(F.array_sort(F.collect_set("page")).alias("pages"))
     lists = met.groupBy("book", "listing").agg(F.array_sort(F.collect_list(F.struct("at", "title", "pages"))).alias("entries"))
     kind = lines.schema["page"].dataType
     none = F.array().cast(T.ArrayType(T.StructType([T.StructField("start_page", kind), T.StructField("title", T.StringType())])))
@@ -106,15 +119,18 @@ def _listed(lines: DataFrame) -> DataFrame:
 def discovered(pages: DataFrame, *, book: str = "book_id", number: str = "page_no", body: str = "text", title: str = "Uploaded book") -> DataFrame:
     """(book, chapter_no, title, start_page, end_page, confidence): by explicit headings, else contents, else numbers, else the whole book.
 
-    The first lines of all pages become rows, and each way is a plan over them; only headings and entries that
+    The first lines of all pages become rows; only what looks like a heading, a contents page or an entry is kept and made distinct, and each way is a plan over that; headings and entries that
     matched are folded, in arrays of a book. Pages of null text hold no line; repeated pages count once.
     """
     given = pages.select(F.col(book).alias("book"), F.col(number).alias("page"), F.col(body).alias("text"))
     parts = F.slice(F.split(F.coalesce("text", F.lit("")), _BREAK), 1, CONTENTS_LINES)
-    lines = given.select("book", "page", F.posexplode(parts).alias("at", "line")).withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
-    lines = lines.where("line <> ''").distinct()
-    ways = ((_explicit, EXPLICIT), (_listed, LISTED), (_numbered, LISTED))
-    starts = reduce(DataFrame.unionByName, (way(lines).withColumns({"way": F.lit(i), "confidence": F.lit(c)}) for i, (way, c) in enumerate(ways)))
+    lines = given.select("book", "page", F.posexplode(parts).alias("at", "line")).withColumn("line", F.btrim("line", F.lit(WHITE))).where("line <> ''")
+    # what may be a heading, a contents page or its entry is found in one pass; openings are read again, for books with entries alone
+    line, heads = F.col("line"), F.col("at") < HEADING_LINES
+    said = cut(lines.where((heads & (line.rlike(CHAPTER) | line.rlike(NUMBERED))) | (F.contains(F.lower(line), F.lit("contents")) & line.rlike(CONTENTS)) | line.rlike(ITEM)).distinct())
+    listed = lambda x: _listed(x, lines.where(F.col("at") < OPENING_LINES))
+    ways = ((_explicit, EXPLICIT), (listed, LISTED), (_numbered, LISTED))
+    starts = reduce(DataFrame.unionByName, (way(said).withColumns({"way": F.lit(i), "confidence": F.lit(c)}) for i, (way, c) in enumerate(ways)))
     starts = starts.withColumn("best", F.min("way").over(Window.partitionBy("book"))).where("way = best").select("book", "start_page", "title", "confidence")
     spans = given.groupBy("book").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
     chapters = bounded(starts, spans, book="book")

@@ -185,6 +185,16 @@ def test_chapter_discovery(spark):
     assert chapters.discovered(rows.limit(0)).count() == 0
 
 
+def test_chapter_lines_that_say_nothing_are_not_shuffled(spark):
+    white = "\u3000\u00a0\u2003"
+    rows = [(1, 1, "Contents\n1. Maps of sets\n2. Graphs and trees"), (1, 2, f"{white}Maps of sets\t{white}"), (1, 2, f"{white}Maps of sets\t{white}"), (1, 3, "Graphs and trees " + "and more of them " * 9), (1, 4, "Graphs and trees")]
+    rows += [(2, i, f"nothing to see on page {i} " * 9) for i in range(1, 40)]
+    found = chapters.discovered(spark.createDataFrame(rows, "book_id int, page_no int, text string"), title="B")
+    assert sorted((r.book_id, r.title, r.start_page, r.end_page) for r in found.collect()) == [(1, "Graphs and trees", 3, 4), (1, "Maps of sets", 1, 2), (2, "B", 1, 39)]  # a long line of few words counts
+    # no exchange of a plan over the lines carries them: only what is kept was made distinct
+    assert not [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x and "line" in x]
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "b"), ("d", "c")], "child string, parent string")
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "node string")
