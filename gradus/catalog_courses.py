@@ -8,7 +8,7 @@ from .catalog import _TERMS, BM25, ESTIMATE, GROUNDED, LINES, _cited_hits, _esti
 from .functions import text as X
 from .operators import contracts, hybrid, lifecycle, retrieval, sections
 from .plans import approval, chapters, overlap, paths, programme, workload
-from .session import table
+from .session import spread, table
 from .sources import ingest
 
 # Retrieval
@@ -254,7 +254,9 @@ def course_adoption(spark, sf_dir):
     named = lambda start, *parts: F.concat(F.lit(start), F.concat_ws(":", *(p.cast("string") for p in parts)))
     own = named("a", k, F.col("l_linenumber"))
     quiz = F.to_json(F.struct(F.lit(sections.QUIZ_SCHEMA).alias("schema_version"), owner.alias("owner_student_id"), k.alias("owner_book_id"), F.lit("g1").alias("generation_id")))
-    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    # counted from the file and dealt before rows are made wide: the join of weeks then keeps these parts
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "l_linenumber", rows=250_000)
+    one = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     rows = one.select(
         own.alias("artifact_id"), k.alias("book_id"), named("s", k % 5).alias("student_id"), F.col("l_linenumber").alias("week"), F.concat(F.lit("week "), F.col("l_linenumber").cast("string")).alias("title"), F.col("l_partkey").alias("lecture"),
         F.create_map(F.lit("lectureId"), own, F.lit("kept"), F.col("l_partkey").cast("string")).alias("script"), F.lit("{}").alias("slides"), quiz.alias("quiz"),

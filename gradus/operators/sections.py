@@ -63,13 +63,21 @@ def adopted(existing: DataFrame, wanted: DataFrame, new_id: Column) -> DataFrame
     over book_id and week, so that a repeated task makes the same id. The script names the artifact that it now belongs to.
     """
     given = existing.select(F.col("book_id").alias("donor"), "week", "title", "lecture", "script", "slides")
-    there = existing.select("book_id", "week", F.col("artifact_id").alias("__id"), F.col("quiz").alias("__quiz"))
-    rows = wanted.select("book_id", "student_id", "donor").join(given, "donor").join(there, ["book_id", "week"], "left")
-    own = F.coalesce("__id", new_id)
-    script = F.map_concat(F.map_filter("script", lambda k, _: k != "lectureId"), F.create_map(F.lit("lectureId"), own))
-    quiz = F.when(quiz_owned(F.col("__quiz"), F.col("student_id"), F.col("book_id")), F.col("__quiz"))
-    made = rows.select(own.alias("artifact_id"), "book_id", "student_id", "week", "title", "lecture", script.alias("script"), "slides", quiz.alias("quiz"))
-    return existing.join(made.select("book_id", "week"), ["book_id", "week"], "left_anti").select(*made.columns).unionByName(made)
+    rows = wanted.select("book_id", "student_id", "donor").join(given, "donor")
+    # one full join instead of a lookup and an anti join: weeks that nobody adopts stay, new ones come, the others are taken over
+    columns = ["student_id", "title", "lecture", "script", "slides"]
+    new = rows.select("book_id", "week", F.struct(*columns).alias("__new"))
+    old = existing.select("book_id", "week", F.struct("artifact_id", *columns, "quiz").alias("__old"))
+    met = old.join(new, ["book_id", "week"], "full")
+    taken = F.col("__new").isNotNull()
+    own = F.coalesce("__old.artifact_id", new_id)
+    script = F.map_concat(F.map_filter("__new.script", lambda k, _: k != "lectureId"), F.create_map(F.lit("lectureId"), own))
+    quiz = F.when(quiz_owned(F.col("__old.quiz"), F.col("__new.student_id"), F.col("book_id")), F.col("__old.quiz"))
+    either = lambda c, made: F.when(taken, made).otherwise(F.col(f"__old.{c}")).alias(c)
+    return met.select(
+        either("artifact_id", own), "book_id", either("student_id", F.col("__new.student_id")), "week", either("title", F.col("__new.title")), either("lecture", F.col("__new.lecture")),
+        either("script", script), either("slides", F.col("__new.slides")), either("quiz", quiz),
+    )
 
 
 def approved_packs(packs: DataFrame, programmes: DataFrame, *, keys: list[str]) -> DataFrame:

@@ -127,6 +127,19 @@ def test_adopted_quizzes(spark):
     assert got[1, 2].artifact_id == "n:1:2" and got[1, 3].title == "old" and got[2, 1].quiz is None and got[9, 1].quiz == quiz("t", 9)
 
 
+def test_adoption_meets_the_rows_there_once(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("d", 9, "t", 1, "W", "l", {}, "{}", None), ("n", 9, "t", None, "W", "l", {}, "{}", None), ("x", None, "t", 1, "W", "l", {}, "{}", None), ("o", 1, "s", 1, "old", "lo", {}, "{}", None), ("p", 1, "s", 1, "old", "lo", {}, "{}", None)]
+    existing = spark.createDataFrame(rows, "artifact_id string, book_id int, student_id string, week int, title string, lecture string, script map<string,string>, slides string, quiz string")
+    wanted = spark.createDataFrame([(1, "s", 9)], "book_id int, student_id string, donor int")
+    found = sections.adopted(existing, wanted, F.concat_ws(":", F.lit("n"), "book_id", "week"))
+    got = sorted(((r.artifact_id, r.book_id, r.week, r.title) for r in found.collect()), key=str)
+    assert got == sorted([("d", 9, 1, "W"), ("n", 9, None, "W"), ("x", None, 1, "W"), ("o", 1, 1, "W"), ("p", 1, 1, "W"), ("n:1", 1, None, "W")], key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 1 and "LeftAnti" not in plan and plan.count("Join") == 2
+
+
 def test_linked_and_ordered(spark):
     lectures = spark.createDataFrame([(1, "s", 1), (1, "s", 2)], "book_id int, student_id string, week int")
     artifacts = spark.createDataFrame([("a", 1, "s", 1)], "artifact_id string, book_id int, student_id string, week int")
