@@ -279,6 +279,26 @@ def test_similar_sets_over_blocks_equal_brute_force(spark, monkeypatch, least):
     assert got == want and len(want) > 50
 
 
+def test_similar_sets_are_compared_where_their_blocks_meet(spark, monkeypatch):
+    """Small blocks and steps, many equal and contained sets: as by brute force, the first shared terms only, and no pair fetches its terms by a join."""
+    for name, value in (("BLOCK", 900), ("COUNTERS", 50), ("COUNTED", 40), ("COMPARED", 60), ("SET", 1)):
+        monkeypatch.setattr(overlap, name, value)
+    rng = random.Random(5)
+    base = sorted(rng.sample(range(300), 120))
+    sets = [(i, sorted(base[: rng.choice([1, 3, 36, 40, 119, 120])] if i % 3 else rng.sample(range(300), rng.choice([1, 2, 20, 60])))) for i in range(120)]
+    found = overlap.similar(spark.createDataFrame([(i, [f"w{t:03}" for t in s]) for i, s in sets], "topic_id long, terms array<string>"), shown=2)
+    after, _, before = found._jdf.queryExecution().optimizedPlan().toString().partition("MapInArrow")
+    assert "Join" not in after and "Join" in before
+    want = {}
+    for i, s in sets:
+        for j, t in sets[i + 1 :]:
+            same = sorted(set(s) & set(t))
+            if (value := int(len(same) / len(set(s) | set(t)) * 1e6 + 0.5) / 1e6) >= 0.3:
+                want[i, j] = (value, [f"w{x:03}" for x in same[:2]])
+    rows = found.collect()
+    assert {(r.a, r.b): (r.similarity, r.shared) for r in rows} == want and len(rows) == len(want) > 500
+
+
 def test_paths(spark):
     books = spark.createDataFrame([(1, 10, 1), (1, 20, 2), (1, 30, 3)], "collection_id int, book_id int, upload_order int")
     edges = spark.createDataFrame([(1, 30, 10)], "collection_id int, prerequisite int, dependent int")
