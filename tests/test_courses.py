@@ -184,3 +184,11 @@ def test_keepers_by_definition(spark, sf):
             label.update({k: a for k, v in label.items() if k[0] == group and v == b})
     got = {(r.lang, r.absorbed): r.keeper for r in catalog.QUERIES["overlap_merge_keepers"](spark, sf).collect()}
     assert got == {k: v for k, v in label.items() if k[1] != v}
+
+
+def test_keepers_ask_for_merging_pairs_alone(spark, sf, monkeypatch):
+    asked = []
+    similar = catalog.overlap.similar
+    monkeypatch.setattr(catalog.overlap, "similar", lambda *a, **chosen: asked.append(chosen) or similar(*a, **chosen))
+    rows = catalog.QUERIES["overlap_merge_keepers"](spark, sf)
+    assert asked == [{"least": catalog.overlap.MERGE, "shown": 0}] and rows.columns == ["lang", "absorbed", "keeper"]
