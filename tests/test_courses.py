@@ -192,3 +192,17 @@ def test_keepers_ask_for_merging_pairs_alone(spark, sf, monkeypatch):
     monkeypatch.setattr(catalog.overlap, "similar", lambda *a, **chosen: asked.append(chosen) or similar(*a, **chosen))
     rows = catalog.QUERIES["overlap_merge_keepers"](spark, sf)
     assert asked == [{"least": catalog.overlap.MERGE, "shown": 0}] and rows.columns == ["lang", "absorbed", "keeper"]
+
+
+def test_overlap_decisions_are_numbered_by_similarity(spark):
+    """Ids count on over pairs of one similarity, in no window over a programme's pairs; the reason comes from the same row."""
+    from pyspark.sql import functions as F
+
+    rows = [(p, a, b, (a * b % 4) / 10 + 0.3, "sequence") for p in "pq" for a in range(12) for b in range(a + 1, 12)]
+    found = programme.overlap_decisions(spark.createDataFrame(rows, "p string, a int, b int, similarity double, decision string"), by="p", rationale=F.concat_ws("-", "a", "b"))
+    number = lambda r: int(r.decision_id.removeprefix("overlap-"))
+    for p in "pq":
+        want = [f"{a}-{b}" for _, _, a, b in sorted((-s, 0, a, b) for q, a, b, s, _ in rows if q == p)]
+        assert [r.rationale for r in sorted((r for r in found.collect() if r.p == p), key=number)] == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(p#" in plan and all(", similarity#" in x[:60] for x in plan.split("row_number() windowspecdefinition(p#")[1:])
